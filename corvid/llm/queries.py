@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontaminate, language, quality
+from . import byte_bpe, chat, decontaminate, language, line_dedup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are the pages, and ``source`` is their site."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"), host="source")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.hit_report(docs, table(spark, sf_dir, "benchmark"))
@@ -38,10 +43,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language": op7_language,
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.REPORT_SQL,
+}
