@@ -1,14 +1,19 @@
-"""Byte-level BPE encoding and decoding with Spark higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-Texts are split by the pre-tokeniser pattern; the distinct words of each block of documents are
-encoded once by a fold over ranked merges (``aggregate`` over an array of byte strings) that looks
-ranks up in one literal map, sharded by CRC-32 because Spark searches a map from front to back.
-Block-local distinct words need no shuffle, where distinct words of the corpus would have to be
-joined back to every occurrence. Words of more than ``FOLD_BYTES`` bytes, for which a fold over
-arrays takes quadratic time, are merged with a heap in the Python stage that assembles documents.
-Decoding concatenates the byte strings of the ids.
+Texts are split by the pre-tokeniser pattern and each distinct word is encoded once by ranked
+merges; documents are assembled from the ids of their words by array gathers, and decoding
+concatenates the byte strings of the ids. Distinct words are those of a block of documents and of
+the task's memo, so nothing is shuffled: distinct words of the whole corpus would have to be joined
+back to every occurrence.
 
-Bytes are held as strings of the characters U+0000 to U+00FF, one for each byte.
+Two ways to merge give the same ids. ``method="merge"`` merges in the Python stage that splits the
+texts. ``method="fold"`` hands the distinct words to Spark higher-order functions, which fold ranked
+merges over arrays of byte strings with ranks from one literal map (sharded by CRC-32, because Spark
+searches a map from front to back); it takes several times the CPU, as the README records, so it is
+not the default. Words of more than ``FOLD_BYTES`` bytes, for which arrays take quadratic time, are
+merged with a heap either way.
+
+In the fold, bytes are held as strings of the characters U+0000 to U+00FF, one for each byte.
 
 Defined results: null and empty texts have no ids and decode to no bytes; repeated rows are each
 encoded; kept columns may have any name.
@@ -31,6 +36,8 @@ from pyspark.sql import types as T
 SHARDS = 1 << 16
 FOLD_BYTES = 64
 BLOCK_BYTES = 8 << 20
+#: Words a task remembers; beyond this it starts anew.
+MEMO_WORDS = 400_000
 NONE = 2**31 - 1
 
 
@@ -91,6 +98,29 @@ def fold_word(word: Column, ranks: Column) -> Column:
     return _let(rank(word), lambda whole: F.when(whole != none, F.array(whole)).otherwise(folded))
 
 
+def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    if len(word) > FOLD_BYTES:
+        return heap_merge(word, ranks)
+    pieces = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
+    while pairs:
+        least = min(pairs)
+        if least == NONE:
+            break
+        i = pairs.index(least)
+        pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(pieces[i] + pieces[i + 1], NONE)
+        if i:
+            pairs[i - 1] = ranks.get(pieces[i - 1] + pieces[i], NONE)
+    return [ranks[p] for p in pieces]
+
+
 def heap_merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one long word in O(n log n): the same merges, taken from a heap of (rank, place)."""
     n = len(word)
@@ -216,8 +246,48 @@ def _assemble(holder, keep: list[str], output):
     return run
 
 
-def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: list[str], output, added: list[T.StructField]) -> DataFrame:
+def _merge_blocks(holder, pattern: str, text: str, keep: list[str], output):
+    """Documents to ``output(ids, vocabulary)`` in one stage."""
+
+    def run(batches):
+        import regex
+
+        find = regex.compile(pattern).findall
+        vocabulary = holder.value
+        ranks, memo = vocabulary.ranks, {}
+        for batch in batches:
+            texts, columns, first = batch.column(text), [], 0
+            while first < len(texts):
+                words: dict[str, int] = {}
+                numbers, size, last = [], 0, first
+                while last < len(texts) and (last == first or size < BLOCK_BYTES):
+                    value = texts[last].as_py() or ""
+                    found = find(value)
+                    numbers.append(np.fromiter([words.setdefault(w, len(words)) for w in found], np.int64, len(found)))
+                    size += len(value)
+                    last += 1
+                if len(memo) > MEMO_WORDS:
+                    memo.clear()
+                ids = [memo.get(w) or memo.setdefault(w, merge(w.encode(), ranks)) for w in words]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
+                values = np.fromiter((v for x in ids for v in x), np.int32, int(offsets[-1]))
+                columns += [output(_gather(values, offsets, n)[0], vocabulary) for n in numbers]
+                first = last
+            if columns:
+                arrays = [batch.column(c) for c in keep] + [pa.array(c) for c in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f"c{k}" for k in range(len(arrays))])
+
+    return run
+
+
+def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, keep: list[str], output, added: list[T.StructField], method: str) -> DataFrame:
     fields = [docs.schema[c] for c in keep]
+    out = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate([*fields, *added])])
+    names = [f.name for f in [*fields, *added]]
+    holder = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
+    picked = docs.select(*[docs[c] for c in dict.fromkeys([text, *keep])])
+    if method == "merge":
+        return picked.mapInArrow(_merge_blocks(holder, pattern, text, keep, output), out).toDF(*names)
     named = T.StructType([T.StructField(f"k{k}", f.dataType) for k, f in enumerate(fields)])
     blocks = T.StructType([
         T.StructField("kept", T.ArrayType(named)),
@@ -225,18 +295,16 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str,
         T.StructField("numbers", T.BinaryType()),
         T.StructField("words", T.ArrayType(T.StringType())),
     ])
-    split = docs.select(*[docs[c] for c in dict.fromkeys([text, *keep])]).mapInArrow(_split_blocks(pattern, text, keep), blocks)
+    split = picked.mapInArrow(_split_blocks(pattern, text, keep), blocks)
     literal = rank_literal(ranks)
     ids = F.transform("words", lambda w: F.when(F.length(w) <= FOLD_BYTES, fold_word(w, literal)))
-    holder = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
-    out = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate([*fields, *added])])
-    return split.withColumn("ids", ids).mapInArrow(_assemble(holder, keep, output), out).toDF(*[f.name for f in [*fields, *added]])
+    return split.withColumn("ids", ids).mapInArrow(_assemble(holder, keep, output), out).toDF(*names)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: list[str] | None = None, out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: list[str] | None = None, out: str = "ids", method: str = "merge") -> DataFrame:
     """The kept columns (all but ``text`` unless named) and the ids of each text as ``array<int>``."""
     keep = [c for c in docs.columns if c not in (text, out)] if keep is None else keep
-    return _encoded(docs, ranks, pattern, text, keep, lambda ids, _: (ids,), [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    return _encoded(docs, ranks, pattern, text, keep, lambda ids, _: (ids,), [T.StructField(out, T.ArrayType(T.IntegerType()))], method)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -255,7 +323,7 @@ def _digests(ids: np.ndarray, vocabulary: Vocabulary):
     return (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(vocabulary.decode(ids)).hexdigest())
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", key: str = "doc_id", method: str = "merge") -> DataFrame:
     """Number of ids, digest of the ids and digest of the decoded bytes of each text."""
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _encoded(docs, ranks, pattern, text, [key], _digests, added)
+    return _encoded(docs, ranks, pattern, text, [key], _digests, added, method)

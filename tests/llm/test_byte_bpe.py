@@ -25,10 +25,11 @@ def texts(seed=5):
     return out + [None, "", "a" * 5000, "anable" * 3000, "!?" * 700, " " * 300 + "x", out[0]]
 
 
-def test_ids_equal_the_library(spark, library):
+@pytest.mark.parametrize("method", ["merge", "fold"])
+def test_ids_equal_the_library(spark, library, method):
     rows = list(enumerate(texts()))
     docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, ids string").repartition(3)
-    got = {r.doc_id: r for r in digests(docs, RANKS, PATTERN).collect()}
+    got = {r.doc_id: r for r in digests(docs, RANKS, PATTERN, method=method).collect()}
     assert len(got) == len(rows)
     for i, t in rows:
         ids = library.encode_ordinary(t or "")
