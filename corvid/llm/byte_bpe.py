@@ -327,3 +327,13 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str
     """Number of ids, digest of the ids and digest of the decoded bytes of each text."""
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return _encoded(docs, ranks, pattern, text, [key], _digests, added, method)
+
+
+def _with_ids(ids: np.ndarray, vocabulary: Vocabulary):
+    return (ids, len(ids), hashlib.sha256(vocabulary.decode(ids)).hexdigest())
+
+
+def tokenised(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", key: str = "doc_id", method: str = "merge") -> DataFrame:
+    """``key``, the ids of each text, their number and the digest of the bytes that they decode to."""
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())]
+    return _encoded(docs, ranks, pattern, text, [key], _with_ids, added, method)
