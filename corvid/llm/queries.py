@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import byte_bpe, chat, decontaminate, language, line_dedup, parity_join, quality
+from . import byte_bpe, chat, decontaminate, katz, language, license_scan, line_dedup, parity_join, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_report(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = license_scan.document_paths(spark, table(spark, sf_dir, "documents"))
+    return license_scan.license_report(files)
+
+
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_report(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,6 +60,8 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
+    "op4_license_scan": op4_license_scan,
+    "op5_katz": op5_katz,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_language": op7_language,
     "op8_chat": op8_chat,
@@ -60,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.REPORT_SQL,
+    "op4_license_scan": license_scan.REPORT_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
