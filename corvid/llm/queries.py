@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import byte_bpe, chat, decontaminate, katz, language, license_scan, line_dedup, parity_join, quality
+from . import byte_bpe, chat, decontaminate, forest_search, katz, language, license_scan, line_dedup, parity_join, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hit_report(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op3_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_search.neighbour_report(table(spark, sf_dir, "embeddings"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = license_scan.document_paths(spark, table(spark, sf_dir, "documents"))
     return license_scan.license_report(files)
@@ -60,6 +64,7 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_forest_search": op3_forest_search,
     "op4_license_scan": op4_license_scan,
     "op5_katz": op5_katz,
     "op6_byte_bpe": op6_byte_bpe,
