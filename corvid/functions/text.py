@@ -29,7 +29,8 @@ def _strings(values: list[str]) -> Column:
 def tokenize(text: Column | str) -> Column:
     """Whole identifiers, each followed by its parts; a plain word is its own part and so comes twice."""
     whole = F.regexp_extract_all(_c(text), F.lit(TOKEN), F.lit(0))
-    return F.flatten(F.transform(whole, lambda t: F.concat(F.array(F.lower(t)), F.filter(F.split(F.lower(t), r"[-_/.()]+"), lambda p: p != ""))))
+    parts = lambda t: F.concat(F.array(F.lower(t)), F.filter(F.split(F.lower(t), r"[-_/.()]+"), lambda p: p != ""))
+    return F.flatten(F.transform(whole, lambda t: F.when(t.rlike(r"[-_/.()]"), parts(t)).otherwise(F.array(F.lower(t), F.lower(t)))))
 
 
 def normalize(text: Column | str) -> Column:

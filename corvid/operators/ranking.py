@@ -38,7 +38,8 @@ def ranked(scored: DataFrame, k: int, score: str = "score", by: str = "qid", tie
 def term_counts(chunks: DataFrame, group: list[str] | None = None) -> DataFrame:
     """``chunk_id, term, tf, length`` (and the scope columns), one tokenising pass."""
     keep = ["chunk_id", *(group or [])]
-    tokens = chunks.select(*keep, X.tokenize("text").alias("tokens"))
+    # a generator of one row keeps the tokens from being computed once for each use
+    tokens = chunks.select(*keep, F.explode(F.array(X.tokenize("text"))).alias("tokens"))
     return tokens.select(*keep, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy(*keep, "term", "length").agg(F.count("*").alias("tf"))
 
 
