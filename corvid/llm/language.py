@@ -30,6 +30,7 @@ from .text_arrays import WordHasher, mix
 
 UNKNOWN = "und"
 _MARK = 0x110000
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -274,9 +275,13 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
 
     Ids are ranked by hash within a language, then at most that many ids are broadcast to fetch texts.
     """
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string")), key)
+    first = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
     ids = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, lang)
-    chosen = ids.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= settings.documents).select(key).distinct()
+    # a language may hold most rows, so its first rows are taken per salt, then among those
+    salted = ids.withColumn("_salt", F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(1)), F.lit(SALTS)))
+    for by in ([lang, "_salt"], [lang]):
+        salted = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*first))).where(F.col("_rank") <= settings.documents)
+    chosen = salted.select(key).distinct()
     picked = docs.where(F.col(lang).isNotNull()).join(F.broadcast(chosen), key, "left_semi").select(key, lang, text)
     fitting: dict[str, list[str]] = {}
     left_out: dict[str, list[str]] = {}
