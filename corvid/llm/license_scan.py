@@ -6,8 +6,8 @@ lower case, the inverse document frequency comes from the templates, and a term
 weighs most. The best template at or above ``threshold`` is the file's own licence. A file without
 one takes the licence of the licence file in its nearest ancestor directory.
 
-Only segments with an anchor term are scored. Anchors are, per template, the heaviest terms without
-which the rest of the vector is shorter than the threshold, so by Cauchy-Schwarz no segment without
+Only segments with an anchor term are scored. Anchors are, per template, terms (function words last, else
+the heaviest) without which the rest of the vector is shorter than the threshold, so by Cauchy-Schwarz no segment without
 an anchor can reach it. Detection needs no shuffle; inheritance joins distinct directories, not
 files, to licensed directories over path prefixes. All of it is DataFrame functions.
 
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import free_column
+from .cluster import free_column, materialise
 
 THRESHOLD = 0.75
 LICENSE_NAME = r"(?i)^(licen[sc]e|copying|notice|unlicense)([._-].*)?$"
@@ -39,9 +39,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("LGPL-2.1-only", "Licensed under the GNU Lesser General Public License, version 2.1."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that conditions hold"),
     ("BSD-3-Clause", "Licensed under the 3-Clause BSD License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -51,6 +51,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("all-rights-reserved", "All rights reserved."),
 ]
+#: Words that anchor a template only where its other words do not suffice, as they stand in any prose.
+FUNCTION_WORDS = set("a all an and any are as at be by for from has have in into is it may not of on or that the this to under with you 0 1 2 3 4".split())
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,7 +84,7 @@ class Templates:
             unit = {t: round(x / norm, 9) for t, x in raw.items()}
             vectors.append([unit.get(t, 0.0) for t in vocabulary])
             rest = 1.0
-            for t in sorted(unit, key=lambda t: (-unit[t], t)):
+            for t in sorted(unit, key=lambda t: (t in FUNCTION_WORDS, -unit[t], t)):
                 if math.sqrt(max(rest, 0)) < threshold - 1e-6:
                     break
                 anchors.add(t)
@@ -104,13 +106,14 @@ def _let(value: Column, body) -> Column:
 
 def _best(segment: Column, t: Templates) -> Column:
     """Struct of the best score (6 decimals) and the negated number of its template."""
-    vocabulary = _literal([{"term": v, "idf": w} for v, w in zip(t.vocabulary, t.idf, strict=True)], "array<struct<term:string,idf:double>>")
+    vocabulary = _literal([{"term": v, "idf": w, "at": k} for k, (v, w) in enumerate(zip(t.vocabulary, t.idf, strict=True))], "array<struct<term:string,idf:double,at:int>>")
     vectors = _literal([{"i": -i, "w": v} for i, v in enumerate(t.vectors)], "array<struct<i:int,w:array<double>>>")
     known = _literal(t.vocabulary, "array<string>")
     zero = F.lit(0.0)
 
     def with_terms(terms: Column) -> Column:
-        weighted = F.transform(vocabulary, lambda v: F.size(F.filter(terms, lambda x: x == v["term"])) * v["idf"])
+        present = F.filter(vocabulary, lambda v: F.array_contains(terms, v["term"]))
+        weighted = F.transform(present, lambda v: F.struct(v["at"].alias("at"), (F.size(F.filter(terms, lambda x: x == v["term"])) * v["idf"]).alias("x")))
         others = F.array_sort(F.filter(terms, lambda x: ~F.array_contains(known, x)))
         start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), zero.alias("total"))
 
@@ -121,10 +124,10 @@ def _best(segment: Column, t: Templates) -> Column:
         unseen = F.aggregate(others, start, count, lambda acc: acc["total"]) * (t.unseen_idf**2)
 
         def with_weights(w: Column) -> Column:
-            norm = F.sqrt(F.aggregate(w, zero, lambda acc, x: acc + x * x) + unseen)
+            norm = F.sqrt(F.aggregate(w, zero, lambda acc, p: acc + p["x"] * p["x"]) + unseen)
             scored = F.transform(
                 vectors,
-                lambda v: F.struct(F.round(F.aggregate(F.zip_with(w, v["w"], lambda x, y: x * y), zero, lambda acc, x: acc + x) / norm, 6).alias("score"), v["i"].alias("i")),
+                lambda v: F.struct(F.round(F.aggregate(w, zero, lambda acc, p: acc + p["x"] * F.get(v["w"], p["at"])) / norm, 6).alias("score"), v["i"].alias("i")),
             )
             return F.array_max(scored)
 
@@ -200,7 +203,8 @@ def document_paths(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def license_report(files: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """Licence of every file: own, or inherited."""
-    found = detect(files, **options).select(key, "path", "own")
+    # three branches of the inheritance read the detections, so these are made once
+    found = materialise(detect(files, **options).select(key, "path", "own"), "licenses")
     return inherit(found).select(key, "path", "license", "score", "via", "from_dir")
 
 
