@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .cluster import Shipped
+
 SHARDS = 1 << 16
 FOLD_BYTES = 64
 BLOCK_BYTES = 8 << 20
@@ -284,7 +286,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str,
     fields = [docs.schema[c] for c in keep]
     out = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate([*fields, *added])])
     names = [f.name for f in [*fields, *added]]
-    holder = docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
+    holder = Shipped(docs.sparkSession, Vocabulary(ranks))
     picked = docs.select(*[docs[c] for c in dict.fromkeys([text, *keep])])
     if method == "merge":
         return picked.mapInArrow(_merge_blocks(holder, pattern, text, keep, output), out).toDF(*names)
@@ -309,7 +311,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the binary column ``out``; null ids decode to null."""
-    holder = encoded.sparkSession.sparkContext.broadcast(Vocabulary(ranks))
+    holder = Shipped(encoded.sparkSession, Vocabulary(ranks))
 
     def run(batches):
         for batch in batches:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,6 +39,30 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Shipped:
+    """A broadcast of a value of this package's classes, pickled by value, as executors need not have the package."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.unpacked = None
+
+    @property
+    def value(self):
+        if self.unpacked is None:
+            self.unpacked = pickle.loads(self.packed.value)
+        return self.unpacked
+
+    def __getstate__(self) -> dict:
+        return {"packed": self.packed, "unpacked": None}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows where the session sets no number, as texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, "2000")
+
+
 def free_column(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it (case aside)."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import free_column
+from .cluster import Shipped, free_column
 from .text_arrays import WordHasher, alphanumeric, ascii_lower_table, text_blocks, word_spans
 
 WINDOW = 13
@@ -255,7 +255,7 @@ def find_benchmark_hits(
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         scanner = Scanner([(r.item, r.text) for r in part.collect()], window)
-        docs = docs.mapInArrow(_scan_with(spark.sparkContext.broadcast(scanner), text, out, k > 0), schema)
+        docs = docs.mapInArrow(_scan_with(Shipped(spark, scanner), text, out, k > 0), schema)
     return docs
 
 

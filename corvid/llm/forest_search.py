@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cluster import materialise
+from .cluster import Shipped, materialise
 
 
 @dataclass(frozen=True)
@@ -211,7 +211,7 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 5, key: str = "vec_id", em
     asked = materialise(asked, "queries")
     sample = table.select("vec", "mark", "rep").orderBy("mark", "rep").limit(settings.sample).collect()
     forest = fit_forest(_unit([r.vec for r in sample]), settings, k) if sample else Forest([])
-    holder = spark.sparkContext.broadcast(forest)
+    holder = Shipped(spark, forest)
     vec = table.schema["vec"].dataType.simpleString()
     ddl = f"tree long, leaf long, rep long, vec {vec}, ids array<long>"
     queries = table.join(asked.select("rep").distinct(), "rep", "left_semi").mapInArrow(_leaves(holder, False), ddl)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .cluster import Shipped
 from .quality import fold
 from .text_arrays import WordHasher, mix
 
@@ -305,7 +306,7 @@ def hash_share(key: object, share: int) -> bool:
 
 def identify(docs: DataFrame, identifier: Identifier, *, text: str = "text") -> DataFrame:
     """``docs`` with columns ``lang_pred``, ``score`` and ``rejected``."""
-    holder = docs.sparkSession.sparkContext.broadcast(identifier)
+    holder = Shipped(docs.sparkSession, identifier)
 
     def run(batches):
         for batch in batches:

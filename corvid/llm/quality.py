@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import free_column
+from .cluster import Shipped, free_column
 from .text_arrays import WordHasher, space_separated, text_blocks, word_spans
 
 BUCKETS = 1024
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
 
 def score(docs: DataFrame, model: PuModel, *, text: str = "text", out: str = "score") -> DataFrame:
     """``docs`` with the double column ``out`` (0 to 1, higher is better)."""
-    holder = docs.sparkSession.sparkContext.broadcast(model)
+    holder = Shipped(docs.sparkSession, model)
 
     def run(batches):
         featurize = Featurizer()
