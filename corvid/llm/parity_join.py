@@ -13,8 +13,17 @@ document could match by nothing else: equal words hold equal shingles, so either
 heavy, or all ``parts - distance`` equal words are light in both documents, and then both key their
 light words.
 
+The same argument counts: a linked pair shares at least ``parts - distance - light`` heavy words at its
+level, where the distance may be taken for the document's own size. Each key carries this need of its document, and a pair is verified only once the keys that it
+shares outweigh the larger need of the two; pairs that never do cannot link.
+
+The need prunes before any pair is made: a document with fewer shared keys at a level than it needs can
+link with nothing there, and its keys go; this is repeated, as it leaves other keys unshared.
+
 Copies (equal sets) are first reduced to one representative. Within a bucket the documents are not
-paired with each other: pivots are, with those of other components. Components of verified links
+paired with each other: pivots are, with those of other components. Pivots are the most central
+documents (the sum of the sizes of their buckets), the same ones in all buckets of a group of near
+copies, so one round mostly joins such a group. Components of verified links
 are then formed, and buckets that still hold several components get further pivots until each pivot
 has met every document outside its component. So no link between components is lost, work per round
 is linear in the bucket, and links inside a component need no check.
@@ -35,16 +44,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cluster import free_column, materialise, path_of, remove
+from .cluster import free_column, materialise, path_of, remove, small_batches
 from .components import connected_components
 from .text_arrays import WordHasher, ascii_lower_table, mix, space_separated, text_blocks, word_spans
 
 #: Shingles of a sketch word below which it counts as light.
 LIGHT = 2
-#: Pivots of a bucket in each round after the first.
-PIVOTS = 16
+#: Pivots of a bucket in the rounds over open buckets; the last number holds for all later rounds.
+PIVOTS = (2, 8, 32, 64)
+#: Times that documents without enough shared keys are taken out.
+PRUNINGS = 2
+#: Shared keys, each weighing one over the need, that a linked pair has at least (but for rounding).
+_ENOUGH = 1.0 - 1e-6
 #: Bits of the fixed-size filter of ids whose texts are fetched for verification.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
+
+
+#: Ids that are broadcast at most (16 MB).
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -121,16 +138,24 @@ class Sketcher:
     def __init__(self, rule: Rule) -> None:
         self.rule, self.edges = rule, [rule.edge(0), rule.edge(1)]
 
+    def edge(self, k: int) -> int:
+        while len(self.edges) <= k:
+            self.edges.append(self.rule.edge(len(self.edges)))
+        return self.edges[k]
+
     def level(self, n: int) -> int:
         while self.edges[-1] <= n:
-            self.edges.append(self.rule.edge(len(self.edges)))
+            self.edge(len(self.edges))
         return int(np.searchsorted(self.edges, n, side="right")) - 1
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
+    def keys(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket keys, and for each twice the number of keys of its level that a linked document shares at
+        least, plus one at the second level."""
         if not len(shingles):
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32)
         k = self.level(len(shingles))
-        return np.concatenate([self._at(shingles, level) for level in (k, k + 1)])
+        (a, need_a), (b, need_b) = self._at(shingles, k), self._at(shingles, k + 1)
+        return np.concatenate((a, b)), np.repeat(np.array([2 * need_a, 2 * need_b + 1], np.int32), (len(a), len(b)))
 
     def sketch(self, shingles: np.ndarray, level: int):
         """Sketch words that have shingles: part numbers, XORed bits, shingles in each."""
@@ -140,15 +165,20 @@ class Sketcher:
         word = np.bitwise_xor.reduceat(np.uint64(1) << (shingles & np.uint64(63)), begin)
         return part[begin], word, np.diff(np.concatenate((begin, [len(part)]))), parts
 
-    def _at(self, shingles: np.ndarray, level: int) -> np.ndarray:
+    def _at(self, shingles: np.ndarray, level: int) -> tuple[np.ndarray, int]:
         part, word, sizes, parts = self.sketch(shingles, level)
         heavy = sizes >= LIGHT
-        if parts - int(heavy.sum()) < parts - self.rule.distance(level):
+        # no partner at this level is larger than the level or than the threshold allows
+        n, rule = len(shingles), self.rule
+        partner = min(n * rule.over // rule.share, self.edge(level + 1) - 1)
+        need = int(heavy.sum()) - (rule.over - rule.share) * (n + partner) // (rule.over + rule.share)
+        if need > 0:
             part, word = part[heavy], word[heavy]
         else:
+            need = 1
             empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part, assume_unique=True)
             part, word = np.concatenate((part, empty)), np.concatenate((word, np.zeros(len(empty), np.uint64)))
-        return mix(mix(word + np.uint64(level * 1_000_003)) + part * np.uint64(0x9E3779B97F4A7C15))
+        return mix(mix(word + np.uint64(level * 1_000_003)) + part * np.uint64(0x9E3779B97F4A7C15)), need
 
 
 def _signed(rule: Rule):
@@ -177,15 +207,17 @@ def _bucketed(rule: Rule, holder):
         shingler, sketcher = Shingler(rule), Sketcher(rule)
         for batch in batches:
             batch = _filtered(batch, holder.value)
-            ids, keys, size = batch.column("id").to_numpy(), [], 0
+            ids, keys, needs, size = batch.column("id").to_numpy(), [], [], 0
             first = 0
             for row, shingles in enumerate(shingler(batch.column("text"))):
-                keys.append(sketcher.keys(shingles).view(np.int64))
-                size += len(keys[-1])
+                key, need = sketcher.keys(shingles)
+                keys.append(key.view(np.int64))
+                needs.append(need)
+                size += len(key)
                 if size >= 1 << 19 or row == len(ids) - 1:
-                    counts = [len(x) for x in keys]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids[first : row + 1], counts))], names=["key", "id"])
-                    keys, size, first = [], 0, row + 1
+                    owner = np.repeat(ids[first : row + 1], [len(x) for x in keys])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owner), pa.array(np.concatenate(needs))], names=["key", "id", "need"])
+                    keys, needs, size, first = [], [], 0, row + 1
 
     return run
 
@@ -248,11 +280,17 @@ def _maybe_in(holder):
     return run
 
 
+def _need(column: str):
+    """The need without its level bit."""
+    return F.shiftright(column, 1)
+
+
 class ParityJoin:
     """One run of the join over a table of documents."""
 
     def __init__(self, docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id", text: str = "text") -> None:
         self.spark, self.rule = docs.sparkSession, rule
+        small_batches(self.spark)
         self.docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
         self.tables: list[tuple[str, DataFrame]] = []
 
@@ -272,34 +310,53 @@ class ParityJoin:
         """``id, n_shingles, component_id, n_links`` (verified links of the representative) for every document."""
         classes = self._keep(self.classes(), "classes")
         holder = self.spark.sparkContext.broadcast(_id_filter(self.spark, classes.where("id = rep and n > 0").select("id")))
-        rows = self.docs.mapInArrow(_bucketed(self.rule, holder), "key long, id long")
+        rows = self.docs.mapInArrow(_bucketed(self.rule, holder), "key long, id long, need int")
         in_bucket = Window.partitionBy("key")
-        shared = rows.withColumn("first", F.min("id").over(in_bucket)).withColumn("last", F.max("id").over(in_bucket)).where("first <> last")
-        buckets = self._keep(shared.select("key", "id", "first"), "buckets")
-        # the first round pairs each document with one other: the smallest id that it shares a bucket with
-        pairs = buckets.where("id <> first").groupBy("id").agg(F.min("first").alias("a")).select("a", F.col("id").alias("b"))
+        rows = self._shared(rows)
+        for _ in range(PRUNINGS):
+            own = rows.withColumn("mine", F.count("*").over(Window.partitionBy("id", "need")))
+            rows = self._shared(own.where(F.col("mine") >= _need("need")).select("key", "id", "need"))
+        central = rows.withColumn("central", F.sum("size").over(Window.partitionBy("id")))
+        lead = F.max_by("id", F.struct("central", -F.col("id"))).over(in_bucket)
+        buckets = self._keep(central.withColumn("first", lead).select("key", "id", "need", "central", "first"), "buckets")
+        # the first round verifies, for each document, the pair with a bucket's most central one that shares most
+        stars = buckets.where("id <> first").groupBy("first", "id").agg(F.sum(1.0 / _need("need")).alias("weight")).where(F.col("weight") >= _ENOUGH)
+        pairs = stars.groupBy("id").agg(F.max_by("first", F.struct("weight", -F.col("first"))).alias("a")).select("a", F.col("id").alias("b"))
         tried = self._keep(pairs, "pairs-0")
         links = self._verify(tried, "links-0")
-        rows = buckets.select("key", "id").distinct()
+        rows, light = buckets.select("key", "id", "need", "central"), None
         done = 0
         while True:
             labels = connected_components(links)
-            left = rows.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+            left = rows.join(labels, "id", "left").select("key", "id", "need", "central", F.coalesce("component", "id").alias("component"))
             left = left.withColumn("low", F.min("component").over(in_bucket)).withColumn("high", F.max("component").over(in_bucket)).where("low <> high").drop("low", "high")
-            ranked = left.withColumn("rank", F.row_number().over(in_bucket.orderBy("id")))
+            most = PIVOTS[min(done, len(PIVOTS) - 1)]
+            ranked = left.withColumn("rank", F.row_number().over(in_bucket.orderBy(F.desc("central"), "id")))
             ranked = self._keep(ranked, f"open-{done}")
             if not ranked.take(1):
                 result = self._result(classes, labels, links)
-                remove(self.spark, *[path_of(t) for name, t in self.tables if name.startswith(("buckets", "pairs", "open")) and t.inputFiles()])
+                remove(self.spark, *[path_of(t) for name, t in self.tables if name.startswith(("buckets", "pairs", "open", "met")) and t.inputFiles()])
                 return result
-            pivots = ranked.where(F.col("rank") <= PIVOTS).select("key", F.col("id").alias("a"), F.col("component").alias("of"), F.col("rank").alias("at"))
+            pivots = ranked.where(F.col("rank") <= most).select("key", F.col("id").alias("a"), F.col("component").alias("of"), F.col("rank").alias("at"), F.col("need").alias("need_a"))
             met = ranked.join(pivots, "key").where((F.col("component") != F.col("of")) & (F.col("at") < F.col("rank")))
-            pairs = met.select("a", F.col("id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            met = met.groupBy("a", F.col("id").alias("b")).agg(F.sum(1.0 / F.greatest(_need("need"), _need("need_a"))).alias("weight"))
+            if light is not None:
+                met = met.unionByName(light).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+            met = self._keep(met, f"met-{done}")
+            light = met.where(F.col("weight") < _ENOUGH)
+            pairs = met.where(F.col("weight") >= _ENOUGH).select("a", "b").join(tried, ["a", "b"], "left_anti")
             done += 1
             pairs = self._keep(pairs, f"pairs-{done}")
             tried = tried.unionByName(pairs)
             links = links.unionByName(self._verify(pairs, f"links-{done}"))
-            rows = ranked.where(F.col("rank") > PIVOTS).select("key", "id")
+            rows = ranked.where(F.col("rank") > most).select("key", "id", "need", "central")
+
+    @staticmethod
+    def _shared(rows: DataFrame) -> DataFrame:
+        """Rows of buckets with more than one document, and the size of the bucket."""
+        w = Window.partitionBy("key")
+        sized = rows.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("size", F.count("*").over(w))
+        return sized.where("low <> high").select("key", "id", "need", "size")
 
     def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs ``a < b`` that link, judged on whole sets."""
@@ -328,7 +385,12 @@ def keep_representatives(docs: DataFrame, rule: Rule = Rule(5, 80), *, key: str
     """
     found = near_duplicates(docs, rule, key=key, text=text)
     drop = found.where((F.col(key) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(key)
-    kept = docs.join(drop, key, "left_anti")
+    drop = materialise(drop, "parity-drop")
+    # ids of 8 bytes, counted before they are broadcast; beyond the bound both sides are shuffled
+    kept = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, key, "left_anti")
+    repeated = materialise(docs.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(key), "parity-repeated")
+    if not repeated.take(1):
+        return kept
     order = free_column(docs, "order")
-    again = kept.withColumn(order, F.row_number().over(Window.partitionBy(key).orderBy(text))).where((F.col(order) == 1) | F.col(key).isNull())
-    return again.select(*docs.columns)
+    again = kept.join(repeated, key, "left_semi").withColumn(order, F.row_number().over(Window.partitionBy(key).orderBy(text))).where(F.col(order) == 1)
+    return kept.join(repeated, key, "left_anti").unionByName(again.select(*docs.columns)).select(*docs.columns)

@@ -60,7 +60,7 @@ def test_components_equal_brute_force(spark, seed, rule):
 def test_chain_in_one_bucket_needs_more_rounds(spark, monkeypatch):
     from corvid.llm import parity_join
 
-    monkeypatch.setattr(parity_join, "PIVOTS", 1)
+    monkeypatch.setattr(parity_join, "PIVOTS", (1, 2))
     base = [f"w{k}" for k in range(100)]
     data = [(k, " ".join(base[: 100 - k] + [f"x{k}_{j}" for j in range(k // 2)])) for k in range(30)]
     df = spark.createDataFrame(data, "doc_id long, text string")
@@ -87,7 +87,9 @@ def test_hamming_distance_bounds_difference():
         assert int(np.bitwise_count(sketches[0] ^ sketches[1]).sum()) <= difference
         if 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
             assert difference <= rule.distance(level)
-            assert np.intersect1d(sketcher.keys(a), sketcher.keys(b)).size
+            (ka, na), (kb, nb) = sketcher.keys(a), sketcher.keys(b)
+            _, x, y = np.intersect1d(ka, kb, return_indices=True)
+            assert (1.0 / np.maximum(na[x] >> 1, nb[y] >> 1)).sum() >= 1 - 1e-6
 
 
 def test_levels():
