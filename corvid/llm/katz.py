@@ -22,6 +22,7 @@ is unseen with probability one.
 from __future__ import annotations
 
 import gc
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import materialise
+from .cluster import materialise, small_batches
 from .quality import fold
 from .text_arrays import WordHasher, ascii_lower_table, space_separated, text_blocks, word_spans
 
@@ -168,7 +169,7 @@ def _histories(partitions: int):
             hs.append(np.repeat(h, runs))
             ws.append(w)
             held = np.unpackbits(marks, count=int(n)).astype(bool)
-            entries.append((np.repeat(np.arange(len(w)) + base, holders), np.full(len(doc), len(blocks)), doc.astype(np.int64), count.astype(np.int64), held[doc]))
+            entries.append((np.repeat(np.arange(len(w), dtype=np.int32) + np.int32(base), holders), np.full(len(doc), len(blocks), np.int32), doc.astype(np.int32), count.astype(np.int32), held[doc]))
             base += len(w)
             blocks.append((row["block"], held, int(n)))
         if not blocks:
@@ -185,11 +186,12 @@ def _histories(partitions: int):
         fresh = np.ones(len(uh), dtype=bool)
         fresh[1:] = uh[1:] != uh[:-1]
         hist_of, hist = np.cumsum(fresh) - 1, uh[fresh]
-        g = number[pair]
+        g = number.astype(np.int32)[pair]
+        del hs, ws, entries, h, w, order, sh, sw, number, pair
         c2 = _grouped_sum(g, cnt * ~held, len(uh)).astype(np.int64)
         ch = _grouped_sum(hist_of, c2, len(hist)).astype(np.int64)
         small = (c2 >= 1) & (c2 <= CUTOFF)
-        n_small = _grouped_sum(hist_of, small, len(hist))
+        plain = _grouped_sum(hist_of, small, len(hist)) > 0
         real = hist != _START
         stats = [int((c2 == r).sum()) for r in range(1, CUTOFF + 2)]
         stats += [int(((ch == r) & real).sum()) for r in range(1, CUTOFF + 2)]
@@ -197,30 +199,26 @@ def _histories(partitions: int):
         out.append({"kind": "stats", "part": part, "stats": stats})
         known = real & (ch > 0)
         out.append({"kind": "words", "part": part, "data": pack(hist[known], ch[known])})
-        # terms of each (document, pair)
-        e2, eh = c2[g], hist_of[g]
-        seen = e2 > 0
-        plain = n_small[eh] > 0
-        with np.errstate(divide="ignore"):
-            term = np.where(seen, np.log10(np.maximum(e2, 1)) - np.log10(np.where(plain, ch[eh], ch[eh] + 1).clip(1)), 0.0) * cnt
-        token = real[eh]
-        sums = {"seen": term, "base": np.where(token, np.log10(ch[eh] + 0.1), 0.0) * cnt, "known": cnt * (token & (ch[eh] > 0)), "tokens": cnt * token}
-        for r in range(1, CUTOFF + 1):
-            sums[f"r{r}"] = cnt * (e2 == r)
-        sums["unseen"] = np.zeros(len(cnt))
+        # terms of each (document, pair), a block at a time
+        pair_term = np.where(c2 > 0, np.log10(np.maximum(c2, 1)) - np.log10(np.where(plain, ch, ch + 1).clip(1))[hist_of], 0.0)
+        word_term = np.where(real, np.log10(ch + 0.1), 0.0)
         first = np.searchsorted(blk, np.arange(len(blocks) + 1))
         for k, (block, _, n) in enumerate(blocks):
-            a, b = int(first[k]), int(first[k + 1])
-            out.append({"kind": "sums", "part": block, "block": block, "data": pack(*[_grouped_sum(doc[a:b], sums[s][a:b], n) for s in SUMS])})
+            rows = slice(int(first[k]), int(first[k + 1]))
+            e, d, c = g[rows], doc[rows], cnt[rows]
+            e2, eh = c2[e], hist_of[e]
+            sums = {"seen": pair_term[e] * c, "base": word_term[eh] * c, "known": c * known[eh], "tokens": c * real[eh], "unseen": np.zeros(len(c))}
+            sums |= {f"r{r}": c * (e2 == r) for r in range(1, CUTOFF + 1)}
+            out.append({"kind": "sums", "part": block, "block": block, "data": pack(*[_grouped_sum(d, sums[s], n).astype(np.float64 if s in ("seen", "base", "unseen") else np.uint32) for s in SUMS])})
         # unseen pairs of held-out texts
-        ask = np.flatnonzero(~seen)
+        ask = np.flatnonzero(c2[g] == 0)
         if len(ask):
             word, home = uw[g[ask]], _home(uw[g[ask]], partitions)
             for p in np.unique(home):
                 m = ask[home == p]
                 out.append({"kind": "tokens", "part": int(p), "data": pack(word[home == p], np.array([blocks[k][0] for k in blk[m]], np.int64), doc[m].astype(np.uint32), cnt[m].astype(np.uint32))})
-            m = ask[ch[eh[ask]] > 0]
-            needed, local = np.unique(eh[m], return_inverse=True)
+            m = ask[ch[hist_of[g[ask]]] > 0]
+            needed, local = np.unique(hist_of[g[m]], return_inverse=True)
             if len(needed):
                 index = np.full(len(hist), -1)
                 index[needed] = np.arange(len(needed))
@@ -378,9 +376,11 @@ def _finish(model: Discounts):
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced; it needs a moment."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def katz_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -389,6 +389,7 @@ def katz_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "
     Rows for which ``held_out`` is true are scored but not learned from. Scores are log10 probabilities.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PARTITION_BYTES))
@@ -403,6 +404,8 @@ def katz_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "
     model = Discounts.of(stats)
     questions = counts.where(F.col("kind").isin("words", "tokens", "after"))
     answers = materialise(questions.groupBy("part").applyInArrow(_words(model), _OUT_DDL), "katz-words")
+    del questions
+    _release(spark)
     weights = counts.where("kind = 'history'").unionByName(answers.where("kind = 'mass'")).groupBy("part").applyInArrow(_backoff(model), _OUT_DDL)
     pieces = counts.where(F.col("kind").isin("docs", "sums")).unionByName(answers.where("kind = 'unseen'")).unionByName(weights)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
