@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import byte_bpe, decontaminate, line_dedup, parity_join, quality
-from corvid.llm.cluster import materialise
+from corvid.llm.cluster import free_column, materialise
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -30,8 +30,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source go; documents stay."""
-    return _counted(line_dedup.drop_boilerplate(docs, host="source"))
+    """Lines that are boilerplate of their site, and passages repeated on it, go; documents stay.
+
+    The site is the host of the URL where there is one, else the source.
+    """
+    site = free_column(docs, "site")
+    by = F.coalesce(line_dedup.url_host("url"), F.col("source")) if "url" in docs.columns else F.col("source")
+    cleaned = line_dedup.drop_boilerplate(docs.withColumn(site, by), host=site, long_words=line_dedup.LONG_WORDS)
+    return _counted(cleaned.drop(site))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import duckdb
 import pytest
 
+import corpus_pipeline
 from corvid.llm import line_dedup
 from corvid.llm.line_dedup import drop_boilerplate, html_lines, line_report, url_host
 
@@ -59,3 +60,27 @@ def test_html(spark):
     html = "<title>T</title><script>var t='</p>';</script><nav><ul><li><a href='x'>Home</a></li></ul></nav><p>A <b>b</b><br>c</p><!-- ad -->"
     row = spark.createDataFrame([("https://M.example.com/en/25#top", html)], "url string, html string").select(url_host("url"), html_lines("html")).first()
     assert row[0] == "m.example.com" and row[1] == "T\nHome\nA b\nc"
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_stage_drops_passages_repeated_on_a_hot_site(spark, monkeypatch, limit):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)
+    passage, near, short = (" ".join(f"{p}{k}" for k in range(n)) for p, n in (("p", 50), ("n", 50), ("s", 49)))
+    data = [(i, f"own {i}\n{passage if i % 50 == 0 else 'x'}\n{short if i % 50 == 1 else 'y'}", "hot") for i in range(0, 200)]
+    data += [(300 + i, f"own\n {near} \nend", "b") for i in range(2)] + [(310 + i, f"{near}\nz{i}", None) for i in range(3)] + [(320, None, "b")]
+    data += data[:1]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    got = {r.doc_id: r.text for r in stage(spark, docs, "").collect()}
+    # four pages of 200 are far below the ratio, but the passage goes; a line of 49 words and one on two pages of its site stay
+    assert not any(passage in (t or "") for t in got.values())
+    assert sum(short in (t or "") for t in got.values()) == 4
+    assert got[0] == "own 0" and got[300] == f"own\n {near} \nend" and got[310] == "z0" and got[320] is None
+
+
+def test_stage_takes_the_url_host(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    data = [(i, f"{passage}\nown {i}", "one", f"https://{h}.org/{i}") for i, h in enumerate("aaab")] + [(9, f"{passage}\nlast", "one", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, url string")
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, "").collect()}
+    assert got[0] == "own 0" and got[3] == f"{passage}\nown 3" and got[9] == f"{passage}\nlast"
