@@ -34,6 +34,16 @@ def visible(grants: DataFrame, requesters: DataFrame, key: str = "chunk_id") ->
     return grants.join(identity, ["kind", "grantee"]).select("requester", key).distinct()
 
 
+def readable(policies: DataFrame, requesters: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``requester, key`` pairs that may be read, by the policies as they stand: the OR condition over few
+    requesters, that shares nothing with ``explode_grants``, ``visible`` or ``SecuredTable`` and so can judge them."""
+    who = requesters.select("requester", F.col("principal").alias("_principal"), F.col("groups").alias("_groups"))
+    may = F.col("public").isNull() | F.col("public")
+    for given in (F.array_contains("principals", F.col("_principal")), F.arrays_overlap("groups", F.col("_groups"))):
+        may = may | F.coalesce(given, F.lit(False))
+    return policies.crossJoin(F.broadcast(who)).where(may).select("requester", key)
+
+
 class SecuredTable:
     """A table that can only be read through its grants: the row-level-security form of ``visible``."""
 

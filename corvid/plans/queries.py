@@ -8,6 +8,7 @@ judgements. A document's vector is the one at its id modulo the number of vector
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql.window import Window
 
 from corvid.functions import text as X
 from corvid.functions import vectors as V
+from corvid.llm.cluster import materialise
 from corvid.operators import access as A
 from corvid.operators import analysis as N
 from corvid.operators import ingest as I
@@ -255,9 +257,11 @@ def restricted_overlay(spark, d):
 
 @query("SELECT 0::BIGINT AS leaked")
 def leakage_check(spark, d):
-    allowed = A.visible(A.explode_grants(_policies(spark, d)), _requesters(spark))
-    results = allowed.where(F.col("chunk_id") % 7 == 0)
-    return A.leaked(results, allowed).agg(F.count("*").alias("leaked"))
+    """Answers to all questions, ranked among what each requester can read, against the policies themselves."""
+    requesters, scores = _requesters(spark), materialise(R.bm25(chunks_of(spark, d), questions(spark, d)), "leak-scores")
+    secured = A.SecuredTable(scores, A.explode_grants(_policies(spark, d)))
+    answers = [R.ranked(secured.read(r.principal, r.groups), 10).select(F.lit(r.requester).alias("requester"), "chunk_id") for r in requesters.collect()]
+    return A.leaked(reduce(DataFrame.union, answers), A.readable(_policies(spark, d), requesters)).agg(F.count("*").alias("leaked"))
 
 
 @query("SELECT source AS document_id, array_to_string(list_sort(list(DISTINCT lang)), ',') AS versions FROM documents GROUP BY source")

@@ -1,5 +1,8 @@
 """Small cases of operators that SQL does not express, and of expressions."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from corvid.functions import text as X
@@ -7,9 +10,12 @@ from corvid.operators import access as A
 from corvid.operators import analysis as N
 from corvid.operators import ingest as I
 from corvid.operators import ranking as R
+from corvid.plans import queries as Q
 from corvid.sources import files
 from corvid.streaming import jobs
 
+TABLES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
@@ -98,3 +104,19 @@ def test_files_and_stream(spark, tmp_path):
     for _ in range(2):
         jobs.run_jobs(jobs.job_stream(spark, str(tmp_path / "jobs")), lambda b: b.withColumn("done", F.lit(True)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_readable_by_policy(spark):
+    policies = spark.createDataFrame([(1, True, None, None), (2, None, None, None), (3, False, ["ann"], None), (4, False, None, ["g", "h"]), (5, False, [], [])], "chunk_id long, public boolean, principals array<string>, groups array<string>")
+    people = spark.createDataFrame([("a", "ann", ["x"]), ("b", None, ["h"]), ("c", "cy", [])], "requester string, principal string, groups array<string>")
+    got = sorted(map(tuple, A.readable(policies, people).collect()))
+    assert got == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 4), ("c", 1), ("c", 2)]
+    assert got == sorted(map(tuple, A.visible(A.explode_grants(policies), people).collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_leakage_check_finds_grants_that_are_too_wide(spark, monkeypatch):
+    assert Q.QUERIES["leakage_check"](spark, TABLES).first().leaked == 0
+    exact = A.explode_grants
+    monkeypatch.setattr(A, "explode_grants", lambda policies: exact(policies.withColumn("public", F.lit(True))))
+    assert Q.QUERIES["leakage_check"](spark, TABLES).first().leaked > 0
