@@ -40,7 +40,7 @@ from math import floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,8 +56,12 @@ PIVOTS = (2, 8, 32, 64)
 PRUNINGS = 2
 #: Shared keys, each weighing one over the need, that a linked pair has at least (but for rounding).
 _ENOUGH = 1.0 - 1e-6
-#: Bits of the fixed-size filter of ids whose texts are fetched for verification.
+#: Least and most bits of a filter of ids; between, it has ``BITS_PER_ID`` for each id.
 FILTER_BITS = 1 << 24
+MOST_FILTER_BITS = 1 << 28
+BITS_PER_ID = 16
+#: Documents of a bucket that one task pairs with the others of the bucket.
+PAIRED_AT_ONCE = 512
 
 
 #: Ids that are broadcast at most (16 MB).
@@ -245,8 +249,11 @@ def _verified(rule: Rule):
 
 
 def _id_filter(spark, ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``FILTER_BITS`` bits, whatever the number of ids; partial filters are ORed by tree."""
-    bits = FILTER_BITS
+    """A Bloom filter whose bits follow the number of ids; partial filters are ORed by tree.
+
+    It only saves work: what must hold exactly is joined with the ids themselves.
+    """
+    bits = min(max(FILTER_BITS, 1 << (BITS_PER_ID * ids.count()).bit_length()), MOST_FILTER_BITS)
 
     def run(batches):
         mine = np.zeros(bits, dtype=bool)
@@ -266,8 +273,8 @@ def _id_filter(spark, ids: DataFrame) -> np.ndarray:
 
 def _filtered(batch: pa.RecordBatch, packed: np.ndarray) -> pa.RecordBatch:
     h = mix(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-    ok = np.ones(len(h), dtype=bool)
-    for x in (h % np.uint64(FILTER_BITS), (h >> np.uint64(32)) % np.uint64(FILTER_BITS)):
+    ok, bits = np.ones(len(h), dtype=bool), np.uint64(8 * len(packed))
+    for x in (h % bits, (h >> np.uint64(32)) % bits):
         ok &= (packed[(x >> np.uint64(3)).astype(np.int64)] >> (7 - (x & np.uint64(7)).astype(np.uint8))) & 1 == 1
     return batch.filter(pa.array(ok))
 
@@ -306,16 +313,47 @@ class ParityJoin:
         signs = signed.groupBy("id").agg(F.min_by(F.struct("n", "sign_a", "sign_b"), F.struct("n", "sign_a", "sign_b")).alias("s"))
         return signs.select("id", "s.*").withColumn("rep", F.min("id").over(same)).select("id", "n", "rep")
 
-    def run(self) -> DataFrame:
-        """``id, n_shingles, component_id, n_links`` (verified links of the representative) for every document."""
-        classes = self._keep(self.classes(), "classes")
+    def _rows(self, classes: DataFrame) -> DataFrame:
+        """``key, id, need, size``: bucket keys of representatives, without documents that share too few to link."""
         holder = self.spark.sparkContext.broadcast(_id_filter(self.spark, classes.where("id = rep and n > 0").select("id")))
-        rows = self.docs.mapInArrow(_bucketed(self.rule, holder), "key long, id long, need int")
-        in_bucket = Window.partitionBy("key")
-        rows = self._shared(rows)
+        rows = self._shared(self.docs.mapInArrow(_bucketed(self.rule, holder), "key long, id long, need int"))
         for _ in range(PRUNINGS):
             own = rows.withColumn("mine", F.count("*").over(Window.partitionBy("id", "need")))
             rows = self._shared(own.where(F.col("mine") >= _need("need")).select("key", "id", "need"))
+        return rows
+
+    def _links(self, classes: DataFrame) -> DataFrame:
+        """``a, b``: every pair of representatives that links, ``a < b``."""
+        rows = self._keep(self._rows(classes), "buckets")
+        parts = F.ceil(F.col("size") / PAIRED_AT_ONCE).cast("int")
+        left = rows.select("key", F.col("id").alias("a"), F.col("need").alias("need_a"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+        right = rows.select("key", F.col("id").alias("b"), "need", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        met = left.join(right, ["key", "part"]).where("a < b").groupBy("a", "b").agg(F.sum(1.0 / F.greatest(_need("need"), _need("need_a"))).alias("weight"))
+        pairs = met.where(F.col("weight") >= _ENOUGH).select("a", "b")
+        # the filter of the rows may have let copies through
+        reps = classes.where("id = rep").select("id")
+        for c in "ab":
+            pairs = pairs.join(reps.withColumnRenamed("id", c), c, "left_semi")
+        return self._verify(self._keep(pairs.select("a", "b"), "pairs-all"), "links-all")
+
+    def links(self) -> DataFrame:
+        return self._links(self._keep(self.classes(), "classes"))
+
+    def run(self) -> DataFrame:
+        """``id, n_shingles, component_id, n_links`` for every document: ``n_links`` counts the representatives of
+        other sets that link with its own."""
+        classes = self._keep(self.classes(), "classes")
+        links = self._links(classes)
+        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+        out = self._result(classes.join(degree, "rep", "left"), connected_components(links), [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")])
+        self._clear()
+        return out
+
+    def components(self) -> DataFrame:
+        """``id, n_shingles, component_id`` for every document; links inside a component are not looked for."""
+        classes = self._keep(self.classes(), "classes")
+        rows = self._rows(classes)
+        in_bucket = Window.partitionBy("key")
         central = rows.withColumn("central", F.sum("size").over(Window.partitionBy("id")))
         lead = F.max_by("id", F.struct("central", -F.col("id"))).over(in_bucket)
         buckets = self._keep(central.withColumn("first", lead).select("key", "id", "need", "central", "first"), "buckets")
@@ -334,9 +372,8 @@ class ParityJoin:
             ranked = left.withColumn("rank", F.row_number().over(in_bucket.orderBy(F.desc("central"), "id")))
             ranked = self._keep(ranked, f"open-{done}")
             if not ranked.take(1):
-                result = self._result(classes, labels, links)
-                remove(self.spark, *[path_of(t) for name, t in self.tables if name.startswith(("buckets", "pairs", "open", "met")) and t.inputFiles()])
-                return result
+                self._clear()
+                return self._result(classes, labels)
             pivots = ranked.where(F.col("rank") <= most).select("key", F.col("id").alias("a"), F.col("component").alias("of"), F.col("rank").alias("at"), F.col("need").alias("need_a"))
             met = ranked.join(pivots, "key").where((F.col("component") != F.col("of")) & (F.col("at") < F.col("rank")))
             met = met.groupBy("a", F.col("id").alias("b")).agg(F.sum(1.0 / F.greatest(_need("need"), _need("need_a"))).alias("weight"))
@@ -367,10 +404,14 @@ class ParityJoin:
         both = pairs.join(right, "b").join(left, "a")
         return self._keep(both.mapInArrow(_verified(self.rule), "a long, b long"), name)
 
-    def _result(self, classes: DataFrame, labels: DataFrame, links: DataFrame) -> DataFrame:
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-        named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-        return named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    def _clear(self) -> None:
+        """The tables that the result does not read go."""
+        remove(self.spark, *[path_of(t) for name, t in self.tables if name.startswith(("buckets", "pairs", "open", "met")) and t.inputFiles()])
+
+    @staticmethod
+    def _result(classes: DataFrame, labels: DataFrame, more: list[Column] = []) -> DataFrame:  # noqa: B006
+        named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+        return named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), *more)
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -378,12 +419,22 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id"
     return ParityJoin(docs, rule, key=key, text=text).run().withColumnRenamed("id", key)
 
 
+def near_components(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every document, without pairing whole groups."""
+    return ParityJoin(docs, rule, key=key, text=text).components().withColumnRenamed("id", key)
+
+
+def linked_pairs(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``a, b``: all verified pairs of representatives (the smallest ids of their sets), ``a < b``."""
+    return ParityJoin(docs, rule, key=key, text=text).links()
+
+
 def keep_representatives(docs: DataFrame, rule: Rule = Rule(5, 80), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one of smallest id; repeats of its row go as well.
 
     Documents with a null id or an empty set stay.
     """
-    found = near_duplicates(docs, rule, key=key, text=text)
+    found = near_components(docs, rule, key=key, text=text)
     drop = found.where((F.col(key) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(key)
     drop = materialise(drop, "parity-drop")
     # ids of 8 bytes, counted before they are broadcast; beyond the bound both sides are shuffled

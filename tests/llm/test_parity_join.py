@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from corvid.llm import parity_join
 from corvid.llm.components import connected_components
 from corvid.llm.parity_join import Rule, Shingler, Sketcher, keep_representatives, near_duplicates
 
@@ -132,3 +133,38 @@ def test_components(spark):
 
 def test_short_text_is_one_shingle():
     assert [len(s) for s in Shingler(Rule())(pa.array(["a b", None, "a b c d", "a b c d e"]))] == [1, 0, 1, 2]
+
+
+def linked(data, rule):
+    """All linked pairs of the smallest ids of distinct sets, by brute force."""
+    shingles = dict(zip([i for i, _ in data], [frozenset(x.tolist()) for x in Shingler(rule)(pa.array([t for _, t in data], pa.string()))], strict=True))
+    rep = {i: min(j for j in shingles if shingles[j] == s) if s else i for i, s in shingles.items()}
+    reps = sorted({r for r in rep.values() if shingles[r]})
+    alike = lambda x, y: rule.over * len(x & y) >= rule.share * len(x | y)
+    pairs = {(a, b) for a in reps for b in reps if a < b and alike(shingles[a], shingles[b])}
+    return rep, pairs
+
+
+@pytest.mark.parametrize("at_once,bits", [(512, 1 << 24), (3, 8)])
+def test_links_equal_brute_force(spark, monkeypatch, at_once, bits):
+    monkeypatch.setattr(parity_join, "PAIRED_AT_ONCE", at_once)
+    # a filter that lets nearly all copies through must not add links
+    monkeypatch.setattr(parity_join, "FILTER_BITS", bits)
+    monkeypatch.setattr(parity_join, "MOST_FILTER_BITS", bits)
+    base = [f"b{k}" for k in range(120)]
+    group = [(2000 + k, " ".join([*base[:k], f"x{k}", *base[k:]])) for k in range(9)]
+    data = rows(1) + group + [(3000, group[0][1]), (3001, ""), (3002, None)]
+    rep, pairs = linked(data, Rule())
+    assert sum(2000 <= a and b < 2009 for a, b in pairs) == 36
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in parity_join.linked_pairs(df).collect()} == pairs
+    got = {r.doc_id: r.n_links for r in near_duplicates(df).collect()}
+    assert got == {i: sum(r in p for p in pairs) for i, r in rep.items()}
+
+
+def test_components_alone_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "PIVOTS", (1, 2))
+    base = [f"w{k}" for k in range(100)]
+    data = rows(2) + [(2000 + k, " ".join(base[: 100 - k] + [f"x{k}_{j}" for j in range(k // 2)])) for k in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.near_components(df).collect()} == reference(data, Rule())
