@@ -180,6 +180,15 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 20
     return sums.groupBy(F.lit(1).alias("g")).applyInPandas(lambda k, p: run(p), "mean double, low double, high double, clusters long")
 
 
+def paired_bootstrap(rows: DataFrame, cluster: str, left: str, right: str, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """``cluster_bootstrap`` of left minus right, the same clusters drawn for both, and whether 0 is in the interval.
+
+    Rows without one of the two values are no pairs and are left out.
+    """
+    pairs = rows.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(cluster, (F.col(left) - F.col(right)).alias("difference"))
+    return cluster_bootstrap(pairs, cluster, "difference", draws, seed).withColumn("within_noise", F.lit(0.0).between(F.col("low"), F.col("high")))
+
+
 def best_threshold(rows: DataFrame, score: str, label: str, steps: int = 21) -> DataFrame:
     """Threshold of best balanced accuracy on a grid over 0..1; the lowest wins ties."""
     grid = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.round(i / F.lit(float(steps - 1)), 6))

@@ -515,7 +515,7 @@ def calibrate_grid(spark, d):
 
 @query()
 def cluster_bootstrap(spark, d):
-    return N.cluster_bootstrap(table(spark, d, "events"), "user_id", "value", draws=500)
+    return N.cluster_bootstrap(table(spark, d, "events"), "user_id", "value")
 
 
 @query("SELECT round(avg(b - a), 6) AS difference, count(*) AS n FROM (SELECT user_id, avg(value) FILTER (event_id % 2 = 0) AS a, avg(value) FILTER (event_id % 2 = 1) AS b FROM events GROUP BY user_id) WHERE a IS NOT NULL AND b IS NOT NULL")
@@ -525,6 +525,14 @@ def paired_difference(spark, d):
     return per.agg(F.round(F.avg(F.col("b") - F.col("a")), 6).alias("difference"), F.count("*").alias("n"))
 
 
+@query()
+def paired_bootstrap(spark, d):
+    """Each user's mean over odd events against that over even ones, users resampled."""
+    even = F.col("event_id") % 2 == 0
+    per = table(spark, d, "events").groupBy("user_id").agg(F.avg(F.when(even, F.col("value"))).alias("a"), F.avg(F.when(~even, F.col("value"))).alias("b"))
+    return N.paired_bootstrap(per, "user_id", "b", "a")
+
+
 # --- answers ------------------------------------------------------------------------------------
 @query(f"""WITH {BM25}, s AS ({TOP_SPARSE.format(5)}), m AS (SELECT s.qid, s.rank, s.chunk_id, d.text, coalesce(sum(length(d.text)) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM s JOIN documents d ON d.doc_id = chunk_id)
 SELECT qid, rank, chunk_id, length(substr(text, 1, 3000 - used::BIGINT)) AS n_chars FROM m WHERE used < 3000 AND text <> ''""")

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,30 @@ def test_leakage_check_finds_grants_that_are_too_wide(spark, monkeypatch):
     exact = A.explode_grants
     monkeypatch.setattr(A, "explode_grants", lambda policies: exact(policies.withColumn("public", F.lit(True))))
     assert Q.QUERIES["leakage_check"](spark, TABLES).first().leaked > 0
+
+
+def interval(groups, draws=2000):
+    """Mean and interval by the reference's way of drawing: all clusters' indices at once."""
+    keys = sorted(groups)
+    sums, counts = np.array([sum(groups[k]) for k in keys]), np.array([len(groups[k]) for k in keys])
+    picks = np.random.default_rng(42).integers(0, len(keys), (draws, len(keys)))
+    return [sums.sum() / counts.sum(), *np.quantile(sums[picks].sum(axis=1) / counts[picks].sum(axis=1), [0.025, 0.975])]
+
+
+def test_paired_bootstrap(spark):
+    data = [(f"c{k % 7}", float(k % 5) + 1, float(k % 3)) for k in range(40)] + [("c1", None, 1.0), ("c9", 1.0, None)]
+    got = N.paired_bootstrap(spark.createDataFrame(data, "c string, a double, b double"), "c", "a", "b").first()
+    groups = {}
+    for c, a, b in data[:40]:
+        groups.setdefault(c, []).append(a - b)
+    assert [got.mean, got.low, got.high] == pytest.approx(interval(groups), abs=1e-9)
+    assert got.clusters == 7 and got.within_noise == (got.low <= 0 <= got.high)
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
+def test_cluster_bootstrap_query_draws_as_often_as_the_reference(spark):
+    groups = {}
+    for r in spark.read.parquet(f"{TABLES}/events.parquet").select("user_id", "value").collect():
+        groups.setdefault(str(r.user_id), []).append(r.value)
+    got = Q.QUERIES["cluster_bootstrap"](spark, TABLES).first()
+    assert [got.mean, got.low, got.high] == pytest.approx(interval(groups), abs=1e-9)
