@@ -5,15 +5,18 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set and the master is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.corvid.scratch", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corvid-")
         spark.conf.set("spark.corvid.scratch", folder)
     return folder.rstrip("/")
@@ -26,11 +29,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def path_of(df: DataFrame) -> str:
-    """Folder of a materialised table."""
-    return df.inputFiles()[0].rsplit("/", 1)[0]
-
-
 def remove(spark: SparkSession, *paths: str) -> None:
     """Delete folders through Hadoop's file system, wherever they are."""
     jvm = spark.sparkContext._jvm
@@ -39,6 +37,25 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Materialised tables of one run, by name; a name that is written again replaces its table once that is done."""
+
+    def __init__(self, spark: SparkSession, prefix: str) -> None:
+        self.spark, self.prefix, self.paths = spark, prefix, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/{self.prefix}-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        old, self.paths[name] = self.paths.get(name), path
+        if old:
+            remove(self.spark, old)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, *names: str) -> None:
+        """Delete the tables of these names, all where none is given."""
+        remove(self.spark, *[self.paths.pop(n) for n in names or list(self.paths) if n in self.paths])
+
+
 class Shipped:
     """A broadcast of a value of this package's classes, pickled by value, as executors need not have the package."""
 
@@ -56,11 +73,18 @@ class Shipped:
         return {"packed": self.packed, "unpacked": None}
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2,000 rows where the session sets no number, as texts are long."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Inside, Arrow batches have at most ``rows`` rows where the session sets no number, as texts are long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, "2000")
+    own = spark.conf.get(name, None) is None
+    if own:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(name)
 
 
 def free_column(df: DataFrame, name: str) -> str:

@@ -389,12 +389,12 @@ def katz_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "
     Rows for which ``held_out`` is true are scored but not learned from. Scores are log10 probabilities.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PARTITION_BYTES))
     packed = rows.mapInArrow(_blocks(partitions), "part long, kind string, block long, data binary, ids array<long>")
-    counts = materialise(packed.repartition(partitions, "part").groupBy("part").applyInArrow(_histories(partitions), _OUT_DDL), "katz-counts")
+    with small_batches(spark):
+        counts = materialise(packed.repartition(partitions, "part").groupBy("part").applyInArrow(_histories(partitions), _OUT_DDL), "katz-counts")
     del packed
     _release(spark)
     summed = counts.where("kind = 'stats'").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()

@@ -1,6 +1,7 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set is its distinct shingles of ``width`` words. Each size level has ``parts`` words of a
+A document's set is its distinct shingles of ``width`` words, and its identity in the join is a hash of
+that set, so copies are one document from the first step on. Each size level has ``parts`` words of a
 parity sketch: the 64-bit hash of a shingle picks a part and a bit, and the bit is flipped (XOR). One
 shingle flips one bit, so the Hamming distance of two sketches is at most the size of the sets'
 symmetric difference. Sets that reach the threshold differ by at most ``distance(level)`` shingles, so
@@ -11,61 +12,61 @@ in neighbouring ones, so a document is sketched at its own level and at the next
 Sketch words made of few shingles are frequent and say little, so they are keyed only where a
 document could match by nothing else: equal words hold equal shingles, so either some equal word is
 heavy, or all ``parts - distance`` equal words are light in both documents, and then both key their
-light words.
+light words. The same argument counts: a linked pair shares at least ``need = heavy - distance`` words
+of a level, where the distance may be taken for the document's own size.
 
-The same argument counts: a linked pair shares at least ``parts - distance - light`` heavy words at its
-level, where the distance may be taken for the document's own size. Each key carries this need of its document, and a pair is verified only once the keys that it
-shares outweigh the larger need of the two; pairs that never do cannot link.
+The steps, all linear in the number of keys but for the last comparison inside buckets:
 
-The need prunes before any pair is made: a document with fewer shared keys at a level than it needs can
-link with nothing there, and its keys go; this is repeated, as it leaves other keys unshared.
+1. one scan gives each text its set's hash, size and a short parity sketch (folded by XOR); a second
+   one packs the keys into tables by a hash of the key. Keys held by one document only go;
+2. of the keys that are shared, a document with fewer than ``need`` at a level has no partner there;
+   of ``count`` keys it keeps the ``count - need + 1`` rarest, one of which it shares with any partner;
+3. inside a bucket, rows whose short sketches are further apart (Hamming) than linked sets can be are
+   no candidates; rows without candidates go. Every other row names its smallest candidate;
+4. these pairs are verified on whole sets, and components are formed. Buckets that still hold several
+   components give one pair for each two of them, and at last every candidate pair between components;
+   all are verified. Large buckets are cut into blocks; rows outside a bucket's largest component are
+   compared with all of its blocks.
 
-Copies (equal sets) are first reduced to one representative. Within a bucket the documents are not
-paired with each other: pivots are, with those of other components. Pivots are the most central
-documents (the sum of the sizes of their buckets), the same ones in all buckets of a group of near
-copies, so one round mostly joins such a group. Components of verified links
-are then formed, and buckets that still hold several components get further pivots until each pivot
-has met every document outside its component. So no link between components is lost, work per round
-is linear in the bucket, and links inside a component need no check.
+So no link between components is lost. Links inside components are counted only on demand: blocks of a
+component's sets are compared by matrix products, and only counts leave a block.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; fewer
-words than ``width`` make one shingle; documents with null ids are left out; rows that repeat a
-doc_id with the same text are one document.
+words than ``width`` make one shingle; documents with null ids are left out; rows that repeat a doc_id
+are one document, and if their sets differ, the smallest (by size, then by hash) stands for it; an
+empty table gives an empty result; ties go to the smallest id; other columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import floor
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cluster import free_column, materialise, path_of, remove, small_batches
+from .cluster import Scratch, free_column, materialise, small_batches
 from .components import connected_components
 from .text_arrays import WordHasher, ascii_lower_table, mix, space_separated, text_blocks, word_spans
 
 #: Shingles of a sketch word below which it counts as light.
 LIGHT = 2
-#: Pivots of a bucket in the rounds over open buckets; the last number holds for all later rounds.
-PIVOTS = (2, 8, 32, 64)
-#: Times that documents without enough shared keys are taken out.
-PRUNINGS = 2
-#: Shared keys, each weighing one over the need, that a linked pair has at least (but for rounding).
-_ENOUGH = 1.0 - 1e-6
-#: Least and most bits of a filter of ids; between, it has ``BITS_PER_ID`` for each id.
-FILTER_BITS = 1 << 24
-MOST_FILTER_BITS = 1 << 28
-BITS_PER_ID = 16
-#: Documents of a bucket that one task pairs with the others of the bucket.
-PAIRED_AT_ONCE = 512
-
-
+#: Keys of one packed table, about, and keys that a scan gathers before it hands tables on.
+TABLE_KEYS = 1 << 20
+FLUSH_KEYS = 1 << 21
+#: Rows of a bucket that are compared with each other at once.
+BLOCK = 512
+#: Shingles and documents of a block of sets.
+BLOCK_SHINGLES = 1 << 17
+BLOCK_SETS = 1024
+#: Fewest and most words of a short sketch.
+SHORT = (4, 16)
 #: Ids that are broadcast at most (16 MB).
 BROADCAST_IDS = 2_000_000
+_KEY_BITS = 40
 
 
 @dataclass(frozen=True)
@@ -104,6 +105,13 @@ class Rule:
         d = self.distance(k)
         return d + 1 + -(-9 * d // 25)
 
+    def words(self, k: int) -> int:
+        """Words of a short sketch at level ``k``, a power of two; enough bits that few flips meet where that is cheap."""
+        n = SHORT[0]
+        while n < SHORT[1] and 8 * n < self.distance(k):
+            n *= 2
+        return n
+
 
 class Shingler:
     """Distinct shingle hashes of whole texts, sorted."""
@@ -155,11 +163,20 @@ class Sketcher:
     def keys(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bucket keys, and for each twice the number of keys of its level that a linked document shares at
         least, plus one at the second level."""
-        if not len(shingles):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        k = self.level(len(shingles))
-        (a, need_a), (b, need_b) = self._at(shingles, k), self._at(shingles, k + 1)
-        return np.concatenate((a, b)), np.repeat(np.array([2 * need_a, 2 * need_b + 1], np.int32), (len(a), len(b)))
+        keys, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        if len(shingles):
+            k = self.level(len(shingles))
+            for second, level in enumerate((k, k + 1)):
+                if self.rule.distance(level):  # else only equal sets link there, and these are one document
+                    key, need = self._at(shingles, level)
+                    keys.append(key)
+                    needs.append(np.full(len(key), 2 * need + second, np.int32))
+        return np.concatenate(keys), np.concatenate(needs)
+
+    def short(self, shingles: np.ndarray) -> bytes:
+        """Parity sketch over all shingles, as wide as the second level has it; halves XORed give the first level's."""
+        bits = 64 * self.rule.words(self.level(len(shingles)) + 1)
+        return np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
 
     def sketch(self, shingles: np.ndarray, level: int):
         """Sketch words that have shingles: part numbers, XORed bits, shingles in each."""
@@ -185,243 +202,450 @@ class Sketcher:
         return mix(mix(word + np.uint64(level * 1_000_003)) + part * np.uint64(0x9E3779B97F4A7C15)), need
 
 
-def _signed(rule: Rule):
-    """Size and two 64-bit signatures of each document's set."""
+def signature(shingles: np.ndarray) -> int:
+    """64-bit hash of a set."""
+    xor, total = np.bitwise_xor.reduce(shingles), mix(shingles).sum(dtype=np.uint64)
+    return int(mix(np.array([xor + np.uint64(len(shingles))], np.uint64) ^ mix(np.array([total], np.uint64)))[0].view(np.int64))
+
+
+def _scanned(rule: Rule):
+    """``id, n, doc, sketch`` of each text."""
 
     def run(batches):
-        shingler = Shingler(rule)
+        shingler, sketcher = Shingler(rule), Sketcher(rule)
         for batch in batches:
-            sizes, sign, other = [], [], []
+            sizes, signs, sketches = [], [], []
             for shingles in shingler(batch.column("text")):
                 sizes.append(len(shingles))
-                sign.append(int(np.bitwise_xor.reduce(shingles).view(np.int64)) if len(shingles) else 0)
-                other.append(int(mix(shingles).sum(dtype=np.uint64).view(np.int64)) if len(shingles) else 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(sign, pa.int64()), pa.array(other, pa.int64())],
-                names=["id", "n", "sign_a", "sign_b"],
-            )
+                signs.append(signature(shingles) if len(shingles) else 0)
+                sketches.append(sketcher.short(shingles) if len(shingles) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int32()), pa.array(signs, pa.int64()), pa.array(sketches, pa.binary())], names=["id", "n", "doc", "sketch"])
 
     return run
 
 
-def _bucketed(rule: Rule, holder):
-    """Bucket keys of the documents that the id filter lets through."""
+_PACKED = "part int, keys binary, owners binary, docs binary, needs binary"
+
+
+def _packed(rule: Rule, tables: int):
+    """Keys of the distinct sets of a task, packed by table: 40 bits of a key, and the number of its owner (a set at a level)."""
+
+    def flush(keys, needs, docs):
+        lengths = [len(k) for k in keys]
+        key, need, doc = np.concatenate(keys), np.concatenate(needs), np.repeat(np.array(docs, np.int64), lengths)
+        part = ((key >> np.uint64(_KEY_BITS)) * np.uint64(tables)) >> np.uint64(64 - _KEY_BITS)
+        owner = np.cumsum(np.concatenate(([True], (doc[1:] != doc[:-1]) | (need[1:] != need[:-1])))) - 1
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        for rows in np.split(order, cuts):
+            _, first, number = np.unique(owner[rows], return_index=True, return_inverse=True)
+            low = key[rows].view(np.uint8).reshape(-1, 8)[:, : _KEY_BITS // 8]
+            values = [int(part[rows[0]]), low.tobytes(), number.astype(np.uint32).tobytes(), doc[rows[first]].tobytes(), need[rows[first]].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if k == 0 else pa.binary()) for k, v in enumerate(values)], names=["part", "keys", "owners", "docs", "needs"])
 
     def run(batches):
         shingler, sketcher = Shingler(rule), Sketcher(rule)
+        keys, needs, docs, seen, size = [], [], [], set(), 0
         for batch in batches:
-            batch = _filtered(batch, holder.value)
-            ids, keys, needs, size = batch.column("id").to_numpy(), [], [], 0
-            first = 0
-            for row, shingles in enumerate(shingler(batch.column("text"))):
+            for shingles in shingler(batch.column("text")):
+                if not len(shingles) or (sign := signature(shingles)) in seen:
+                    continue
+                seen.add(sign)
                 key, need = sketcher.keys(shingles)
-                keys.append(key.view(np.int64))
+                if not len(key):
+                    continue
+                keys.append(key)
                 needs.append(need)
+                docs.append(sign)
                 size += len(key)
-                if size >= 1 << 19 or row == len(ids) - 1:
-                    owner = np.repeat(ids[first : row + 1], [len(x) for x in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owner), pa.array(np.concatenate(needs))], names=["key", "id", "need"])
-                    keys, needs, size, first = [], [], 0, row + 1
+                if size >= FLUSH_KEYS:
+                    yield from flush(keys, needs, docs)
+                    keys, needs, docs, seen, size = [], [], [], set(), 0
+        if keys:
+            yield from flush(keys, needs, docs)
 
     return run
 
 
-def _verified(rule: Rule):
-    """Pairs with both texts to the pairs that link; sets of repeated left texts are made once."""
+def _shared(table: pa.Table) -> pa.Table:
+    """Rows ``key, doc, need, size`` of the keys that several documents of a packed table hold."""
+    keys, docs, needs = [], [], []
+    for k, o, d, n in zip(*(table.column(c).to_pylist() for c in ("keys", "owners", "docs", "needs")), strict=True):
+        low = np.zeros((len(k) * 8 // _KEY_BITS, 8), np.uint8)
+        low[:, : _KEY_BITS // 8] = np.frombuffer(k, np.uint8).reshape(len(low), -1)
+        owner = np.frombuffer(o, np.uint32)
+        keys.append(low.view(np.uint64).ravel())
+        docs.append(np.frombuffer(d, np.int64)[owner])
+        needs.append(np.frombuffer(n, np.int32)[owner])
+    key, doc, need = np.concatenate(keys), np.concatenate(docs), np.concatenate(needs)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = key[1:] == key[:-1]
+    among = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    order, key = order[among], key[among]
+    doc, need = doc[order], need[order]
+    # copies of a set come from several tasks; a set has a key once
+    order = np.lexsort((doc, key))
+    key, doc, need = key[order], doc[order], need[order]
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, bool)
+    key, doc, need = key[fresh], doc[fresh], need[fresh]
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate((begin, [len(key)])))
+    size = np.repeat(size, size)
+    many = size > 1
+    named = (key[many] | np.uint64(table.column("part")[0].as_py() << _KEY_BITS)).view(np.int64)
+    return pa.table({"key": named, "doc": doc[many], "need": need[many], "size": size[many].astype(np.int32)})
+
+
+def _runs(batches, *names: str):
+    """Tables that hold whole runs of equal ``names``, and the bounds of the runs; rows come sorted by them."""
+
+    def bounds(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for c in names:
+            v = table.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.append(np.flatnonzero(new), table.num_rows)
+
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        at = bounds(table)
+        rest = table.slice(at[-2])
+        if len(at) > 2:
+            yield table.slice(0, at[-2]).combine_chunks(), at[:-1]
+    if rest is not None:
+        yield rest.combine_chunks(), np.array([0, rest.num_rows])
+
+
+class Bucket:
+    """Compares the rows of buckets by their short sketches."""
+
+    def __init__(self, rule: Rule, table: pa.Table, bounds: np.ndarray) -> None:
+        self.rule, self.bounds = rule, bounds
+        self.n = table.column("n").to_numpy().astype(np.int64)
+        column = table.column("sketch").combine_chunks() if table.num_rows else pa.array([], pa.binary())
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        self.offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        self.data = np.frombuffer(column.buffers()[2], np.uint8)
+
+    def sketches(self, rows: np.ndarray) -> np.ndarray:
+        """Sketches of rows of one bucket width, as rows of words."""
+        width = int(self.offsets[rows[0] + 1] - self.offsets[rows[0]])
+        return self.data[self.offsets[rows][:, None] + np.arange(width)].view(np.uint64)
+
+    def near(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which sketches can be those of linked sets, and the distances; ``a`` and ``b`` broadcast over all axes but the last."""
+        far, rule = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32), self.rule
+        total = n + m
+        fits = rule.over * np.minimum(n, m) >= rule.share * np.maximum(n, m)
+        return fits & (far * (rule.over + rule.share) <= (rule.over - rule.share) * total), far
+
+    def groups(self):
+        """Runs of equal size and sketch width, stacked: row numbers of shape (runs, size)."""
+        begin, size = self.bounds[:-1], np.diff(self.bounds)
+        width = self.offsets[begin + 1] - self.offsets[begin]
+        for s, w in {(int(s), int(w)) for s, w in zip(size, width, strict=True) if s > 1}:
+            picked = begin[(size == s) & (width == w)]
+            at_once = max(1, (1 << 21) // (s * s * w // 8))
+            for k in range(0, len(picked), at_once):
+                yield picked[k : k + at_once, None] + np.arange(s)
+
+    def candidates(self, rows: np.ndarray):
+        """Row numbers and distances of all candidate pairs in stacked runs, by slices of the first member."""
+        s = self.sketches(rows.ravel()).reshape(*rows.shape, -1)
+        n = self.n[rows]
+        step = max(1, (1 << 21) // max(1, s.size))
+        for k in range(0, rows.shape[1], step):
+            ok, far = self.near(s[:, k : k + step, None], s[:, None], n[:, k : k + step, None], n[:, None])
+            run, i, j = np.nonzero(ok)
+            apart = i + k != j
+            run, i, j = run[apart], i[apart], j[apart]
+            yield rows[run, i + k], rows[run, j], far[run, i, j]
+
+
+def _nearest(rule: Rule):
+    """Rows of blocks, with the smallest id of a candidate; rows without any go where the block is the whole bucket."""
 
     def run(batches):
-        shingler = Shingler(rule)
-        last_id, last = None, None
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            right = shingler(batch.column("text_b"))
-            keep = []
-            for i, sb in enumerate(right):
-                if a[i] != last_id:
-                    last_id, last = a[i], next(shingler(batch.column("text_a").slice(i, 1)))
-                common = len(np.intersect1d(last, sb, assume_unique=True))
-                union = len(last) + len(sb) - common
-                keep.append(union > 0 and rule.over * common >= rule.share * union)
-            ok = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], names=["a", "b"])
+        for table, bounds in _runs(batches, "key", "part"):
+            bucket, ids = Bucket(rule, table, bounds), table.column("id").to_numpy()
+            least = np.full(len(ids), np.iinfo(np.int64).max)
+            for rows in bucket.groups():
+                for a, b, _ in bucket.candidates(rows):
+                    np.minimum.at(least, a, ids[b])
+            found = least != np.iinfo(np.int64).max
+            keep = np.flatnonzero(found | (table.column("parts").to_numpy() > 1))
+            out = table.append_column("near", pa.array(np.where(found, least, ids))).take(keep)
+            yield from out.combine_chunks().to_batches()
 
     return run
 
 
-def _id_filter(spark, ids: DataFrame) -> np.ndarray:
-    """A Bloom filter whose bits follow the number of ids; partial filters are ORed by tree.
+def _across(rule: Rule, every: bool):
+    """Candidate pairs between components: all, or the closest of each two components of a block."""
 
-    It only saves work: what must hold exactly is joined with the ids themselves.
-    """
-    bits = min(max(FILTER_BITS, 1 << (BITS_PER_ID * ids.count()).bit_length()), MOST_FILTER_BITS)
+    def run(batches):
+        for table, bounds in _runs(batches, "key", "part"):
+            bucket = Bucket(rule, table, bounds)
+            ids, components, probe = (table.column(c).to_numpy() for c in ("id", "component", "probe"))
+            found = []
+            for rows in bucket.groups():
+                for a, b, far in bucket.candidates(rows):
+                    # of a block of a large bucket, only probes meet members
+                    ok = (components[a] != components[b]) & ((probe[a] == 0) & (probe[b] == 0) | (probe[a] == 1) & (probe[b] == 2))
+                    found.append((a[ok], b[ok], far[ok]))
+            a, b, far = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+            a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
+            x, y = np.minimum(components[a], components[b]), np.maximum(components[a], components[b])
+            order = np.lexsort((ids[b], ids[a], far, y, x))
+            if len(order):
+                x_, y_ = x[order], y[order]
+                differs = (x_[1:] != x_[:-1]) | (y_[1:] != y_[:-1])
+                if every:
+                    a_, b_ = ids[a[order]], ids[b[order]]
+                    differs = differs | (a_[1:] != a_[:-1]) | (b_[1:] != b_[:-1])
+                order = order[np.concatenate(([True], differs))]
+            columns = {"x": x[order], "y": y[order], "far": far[order].astype(np.int32), "a": ids[a[order]], "b": ids[b[order]]}
+            yield from pa.table(columns).to_batches()
+
+    return run
+
+
+def _sets(rule: Rule):
+    """``doc, grams``: the sorted shingles of each text as bytes."""
 
     def run(batches):
-        mine = np.zeros(bits, dtype=bool)
+        shingler = Shingler(rule)
         for batch in batches:
-            h = mix(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            mine[h % np.uint64(bits)] = True
-            mine[(h >> np.uint64(32)) % np.uint64(bits)] = True
-        where = np.flatnonzero(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(where // 4096), pa.array(where % 4096)], names=["block", "bit"])
-
-    found = ids.mapInArrow(run, "block long, bit long").groupBy("block").agg(F.collect_set("bit").alias("bits"))
-    out = np.zeros(bits, dtype=bool)
-    for row in found.toLocalIterator():
-        out[row.block * 4096 + np.array(row.bits, dtype=np.int64)] = True
-    return np.packbits(out)
+            docs, sets = [], []
+            for shingles in shingler(batch.column("text")):
+                docs.append(signature(shingles) if len(shingles) else 0)
+                sets.append(shingles.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sets, pa.binary())], names=["doc", "grams"])
 
+    return run
 
-def _filtered(batch: pa.RecordBatch, packed: np.ndarray) -> pa.RecordBatch:
-    h = mix(batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-    ok, bits = np.ones(len(h), dtype=bool), np.uint64(8 * len(packed))
-    for x in (h % bits, (h >> np.uint64(32)) % bits):
-        ok &= (packed[(x >> np.uint64(3)).astype(np.int64)] >> (7 - (x & np.uint64(7)).astype(np.uint8))) & 1 == 1
-    return batch.filter(pa.array(ok))
 
+def _verified(rule: Rule):
+    """Pairs with both sets to the pairs that link."""
 
-def _maybe_in(holder):
     def run(batches):
         for batch in batches:
-            yield _filtered(batch, holder.value)
+            left, right, keep = batch.column("grams_a"), batch.column("grams_b"), []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(rule.over * common >= rule.share * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _need(column: str):
-    """The need without its level bit."""
-    return F.shiftright(column, 1)
+def _block_links(rule: Rule, pairs: bool):
+    """Links between the sets of two blocks of a component: their pairs, or each set's number of them."""
+
+    def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        grams = np.concatenate([*x, *y])
+        owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+        order = np.argsort(grams, kind="stable")
+        column = np.cumsum(np.concatenate(([True], grams[order][1:] != grams[order][:-1]))) - 1
+        held = np.bincount(column)
+        shared = held[column] > 1
+        column, owner = (np.cumsum(held > 1) - 1)[column[shared]], owner[order[shared]]
+        out = np.zeros((len(x), len(y)), np.float32)
+        step = 4096
+        for k in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+            a, b = np.searchsorted(column, (k, k + step))
+            m = np.zeros((len(x) + len(y), step), np.float32)
+            m[owner[a:b], column[a:b] - k] = 1
+            out += m[: len(x)] @ m[len(x) :].T
+        return out
+
+    def run(batches):
+        for table, bounds in _runs(batches, "component", "one", "other"):
+            ids, own = (table.column(c).to_numpy() for c in ("id", "own"))
+            grams = table.column("grams")
+            sets = [np.frombuffer(grams[i].as_buffer(), np.uint64) for i in range(len(ids))]
+            got = []
+            for p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                one, other = table.column("one")[p].as_py(), table.column("other")[p].as_py()
+                x = p + np.flatnonzero(own[p:q] == one)
+                y = p + np.flatnonzero(own[p:q] == other)
+                if not len(x) or not len(y):
+                    continue
+                both = common([sets[i] for i in x], [sets[i] for i in y])
+                n, m = (np.array([len(sets[i]) for i in v], np.float64) for v in (x, y))
+                linked = rule.over * both >= rule.share * (n[:, None] + m[None, :] - both)
+                if one == other:
+                    linked = np.triu(linked, 1)
+                i, j = np.nonzero(linked)
+                i, j = ids[x[i]], ids[y[j]]
+                got.append((np.minimum(i, j), np.maximum(i, j)) if pairs else np.unique(np.concatenate((i, j)), return_counts=True))
+            a, b = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in range(2))
+            yield from pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64)}).to_batches()
+
+    return run
 
 
 class ParityJoin:
     """One run of the join over a table of documents."""
 
     def __init__(self, docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id", text: str = "text") -> None:
-        self.spark, self.rule = docs.sparkSession, rule
-        small_batches(self.spark)
+        self.spark, self.rule, self.scratch = docs.sparkSession, rule, Scratch(docs.sparkSession, "parity")
         self.docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-        self.tables: list[tuple[str, DataFrame]] = []
+        self.sets: DataFrame | None = None
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
-        out = materialise(df, f"parity-{name}")
-        self.tables.append((name, out))
-        return out
-
-    def classes(self) -> DataFrame:
-        """``id, n, rep``: every document, its set size and the smallest id with the same set."""
-        same = Window.partitionBy("n", "sign_a", "sign_b", F.when(F.col("n") == 0, F.col("id")))
-        signed = self.docs.mapInArrow(_signed(self.rule), "id long, n long, sign_a long, sign_b long")
-        signs = signed.groupBy("id").agg(F.min_by(F.struct("n", "sign_a", "sign_b"), F.struct("n", "sign_a", "sign_b")).alias("s"))
-        return signs.select("id", "s.*").withColumn("rep", F.min("id").over(same)).select("id", "n", "rep")
-
-    def _rows(self, classes: DataFrame) -> DataFrame:
-        """``key, id, need, size``: bucket keys of representatives, without documents that share too few to link."""
-        holder = self.spark.sparkContext.broadcast(_id_filter(self.spark, classes.where("id = rep and n > 0").select("id")))
-        rows = self._shared(self.docs.mapInArrow(_bucketed(self.rule, holder), "key long, id long, need int"))
-        for _ in range(PRUNINGS):
-            own = rows.withColumn("mine", F.count("*").over(Window.partitionBy("id", "need")))
-            rows = self._shared(own.where(F.col("mine") >= _need("need")).select("key", "id", "need"))
-        return rows
-
-    def _links(self, classes: DataFrame) -> DataFrame:
-        """``a, b``: every pair of representatives that links, ``a < b``."""
-        rows = self._keep(self._rows(classes), "buckets")
-        parts = F.ceil(F.col("size") / PAIRED_AT_ONCE).cast("int")
-        left = rows.select("key", F.col("id").alias("a"), F.col("need").alias("need_a"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-        right = rows.select("key", F.col("id").alias("b"), "need", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        met = left.join(right, ["key", "part"]).where("a < b").groupBy("a", "b").agg(F.sum(1.0 / F.greatest(_need("need"), _need("need_a"))).alias("weight"))
-        pairs = met.where(F.col("weight") >= _ENOUGH).select("a", "b")
-        # the filter of the rows may have let copies through
-        reps = classes.where("id = rep").select("id")
-        for c in "ab":
-            pairs = pairs.join(reps.withColumnRenamed("id", c), c, "left_semi")
-        return self._verify(self._keep(pairs.select("a", "b"), "pairs-all"), "links-all")
+        with small_batches(self.spark):
+            return self.scratch.keep(df, name)
+
+    def _classes(self) -> tuple[DataFrame, DataFrame]:
+        """``id, n, doc`` of every document, and ``doc, id, n, sketch`` of every set, ``id`` being the smallest that has it."""
+        scan = self.docs.mapInArrow(_scanned(self.rule), "id long, n int, doc long, sketch binary")
+        scan = self._keep(scan.groupBy("id").agg(F.min(F.struct("n", "doc", "sketch")).alias("s")).select("id", "s.*"), "scan")
+        reps = scan.where("n > 0").groupBy("doc").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+        return scan.select("id", "n", "doc"), self._keep(reps, "reps")
+
+    def _buckets(self, reps: DataFrame) -> DataFrame:
+        """``key, size, id, n, sketch``: the rarest keys by which each document would meet any partner."""
+        total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        tables = max(1, ceil(total / 2 / TABLE_KEYS))
+        packed = self.docs.mapInArrow(_packed(self.rule, tables), _PACKED)
+        shared = packed.groupBy("part").applyInArrow(_shared, "key long, doc long, need int, size int")
+        level = Window.partitionBy("doc", "need")
+        rows = shared.repartition("doc").withColumn("count", F.count("*").over(level)).withColumn("rank", F.row_number().over(level.orderBy("size", "key")))
+        rows = rows.where(F.col("rank") <= F.col("count") - F.shiftright("need", 1) + 1).select("key", "doc", "need", "size")
+        # a row of the first level needs the first level's sketch: the halves of the wider one, XORed
+        return rows.join(reps, "doc").select("key", "size", "id", "n", "sketch", F.col("need").bitwiseAND(1).alias("second"))
+
+    def _folded(self, rows: DataFrame) -> DataFrame:
+        """Rows with the sketch of their level."""
+        rule, names = self.rule, [c for c in rows.columns if c != "second"]
+
+        def run(batches):
+            sketcher, words = Sketcher(rule), {}
+            for batch in batches:
+                out = []
+                for n, second, sketch in zip(*(batch.column(c).to_pylist() for c in ("n", "second", "sketch")), strict=True):
+                    k = sketcher.level(n)
+                    width = words.setdefault(k, 8 * rule.words(k))
+                    if not second and len(sketch) > width:
+                        half = np.frombuffer(sketch, np.uint8)
+                        sketch = (half[:width] ^ half[width:]).tobytes()
+                    out.append(sketch)
+                columns = [pa.array(out, pa.binary()) if c == "sketch" else batch.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        return rows.mapInArrow(run, rows.select(*names).schema)
+
+    def _alive(self, reps: DataFrame) -> DataFrame:
+        """``key, parts, id, n, sketch, near``: rows with candidates, and the smallest of each in its block."""
+        parts = F.ceil(F.col("size") / BLOCK).cast("int")
+        rows = self._folded(self._buckets(reps)).withColumn("parts", parts)
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "key"), "parts").cast("int")).drop("size")
+        dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "id")
+        schema = "key long, id long, n int, sketch binary, parts int, part int, near long"
+        return self._keep(dealt.select("key", "id", "n", "sketch", "parts", "part").mapInArrow(_nearest(self.rule), schema), "alive")
+
+    def _fetch(self, alive: DataFrame, reps: DataFrame) -> DataFrame:
+        """``id, grams``: the sets of the documents that have candidates."""
+        ids = self._keep(alive.select("id").distinct().join(reps.select("id", "doc"), "id"), "wanted")
+        few = ids.count() <= BROADCAST_IDS
+        texts = self.docs.join(F.broadcast(ids.select("id")) if few else ids.select("id"), "id", "left_semi").select("text")
+        sets = texts.mapInArrow(_sets(self.rule), "doc long, grams binary").join(F.broadcast(ids) if few else ids, "doc")
+        return self._keep(sets.groupBy("id").agg(F.min("grams").alias("grams")), "sets")
 
-    def links(self) -> DataFrame:
-        return self._links(self._keep(self.classes(), "classes"))
-
-    def run(self) -> DataFrame:
-        """``id, n_shingles, component_id, n_links`` for every document: ``n_links`` counts the representatives of
-        other sets that link with its own."""
-        classes = self._keep(self.classes(), "classes")
-        links = self._links(classes)
-        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-        out = self._result(classes.join(degree, "rep", "left"), connected_components(links), [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")])
-        self._clear()
-        return out
+    def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link, judged on whole sets."""
+        left, right = (self.sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
+        return self._keep(pairs.join(right, "b").join(left, "a").select("a", "b", "grams_a", "grams_b").mapInArrow(_verified(self.rule), "a long, b long"), name)
 
-    def components(self) -> DataFrame:
-        """``id, n_shingles, component_id`` for every document; links inside a component are not looked for."""
-        classes = self._keep(self.classes(), "classes")
-        rows = self._rows(classes)
+    def _between(self, alive: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
+        """``a, b``: candidate pairs between components that share a bucket."""
         in_bucket = Window.partitionBy("key")
-        central = rows.withColumn("central", F.sum("size").over(Window.partitionBy("id")))
-        lead = F.max_by("id", F.struct("central", -F.col("id"))).over(in_bucket)
-        buckets = self._keep(central.withColumn("first", lead).select("key", "id", "need", "central", "first"), "buckets")
-        # the first round verifies, for each document, the pair with a bucket's most central one that shares most
-        stars = buckets.where("id <> first").groupBy("first", "id").agg(F.sum(1.0 / _need("need")).alias("weight")).where(F.col("weight") >= _ENOUGH)
-        pairs = stars.groupBy("id").agg(F.max_by("first", F.struct("weight", -F.col("first"))).alias("a")).select("a", F.col("id").alias("b"))
-        tried = self._keep(pairs, "pairs-0")
+        rows = alive.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rows = rows.withColumn("low", F.min("component").over(in_bucket)).withColumn("high", F.max("component").over(in_bucket)).where("low <> high")
+        rows = rows.select("key", "id", "n", "sketch", "parts", "component")
+        whole = rows.where("parts = 1").select("*", F.lit(0).alias("part"), F.lit(0).alias("probe"))
+        large = rows.where("parts > 1")
+        counts = large.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", -F.col("component"))).alias("most"))
+        members = large.select("*", F.pmod(F.xxhash64("id", "key"), "parts").cast("int").alias("part"), F.lit(2).alias("probe"))
+        probes = large.join(counts, "key").where("component <> most").drop("most")
+        probes = probes.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"))
+        dealt = whole.unionByName(members).unionByName(probes).repartition("key", "part").sortWithinPartitions("key", "part", "id")
+        schema = "x long, y long, far int, a long, b long"
+        found = dealt.select("key", "id", "n", "sketch", "part", "component", "probe").mapInArrow(_across(self.rule, every), schema)
+        if every:
+            return found.select("a", "b").distinct()
+        return found.groupBy("x", "y").agg(F.min(F.struct("far", "a", "b")).alias("s")).select("s.a", "s.b")
+
+    def _components(self, reps: DataFrame) -> DataFrame:
+        """``id, component`` of every set that links."""
+        alive = self._alive(reps)
+        self.sets = self._fetch(alive, reps)
+        tried = self._keep(alive.where("near < id").groupBy("id").agg(F.min("near").alias("a")).select("a", F.col("id").alias("b")), "pairs-0")
         links = self._verify(tried, "links-0")
-        rows, light = buckets.select("key", "id", "need", "central"), None
-        done = 0
-        while True:
-            labels = connected_components(links)
-            left = rows.join(labels, "id", "left").select("key", "id", "need", "central", F.coalesce("component", "id").alias("component"))
-            left = left.withColumn("low", F.min("component").over(in_bucket)).withColumn("high", F.max("component").over(in_bucket)).where("low <> high").drop("low", "high")
-            most = PIVOTS[min(done, len(PIVOTS) - 1)]
-            ranked = left.withColumn("rank", F.row_number().over(in_bucket.orderBy(F.desc("central"), "id")))
-            ranked = self._keep(ranked, f"open-{done}")
-            if not ranked.take(1):
-                self._clear()
-                return self._result(classes, labels)
-            pivots = ranked.where(F.col("rank") <= most).select("key", F.col("id").alias("a"), F.col("component").alias("of"), F.col("rank").alias("at"), F.col("need").alias("need_a"))
-            met = ranked.join(pivots, "key").where((F.col("component") != F.col("of")) & (F.col("at") < F.col("rank")))
-            met = met.groupBy("a", F.col("id").alias("b")).agg(F.sum(1.0 / F.greatest(_need("need"), _need("need_a"))).alias("weight"))
-            if light is not None:
-                met = met.unionByName(light).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-            met = self._keep(met, f"met-{done}")
-            light = met.where(F.col("weight") < _ENOUGH)
-            pairs = met.where(F.col("weight") >= _ENOUGH).select("a", "b").join(tried, ["a", "b"], "left_anti")
-            done += 1
-            pairs = self._keep(pairs, f"pairs-{done}")
+        labels = connected_components(links, self.scratch)
+        for done, every in enumerate((False, True), 1):
+            pairs = self._keep(self._between(alive, labels, every).join(tried, ["a", "b"], "left_anti"), f"pairs-{done}")
+            if not pairs.take(1) and every:
+                break
             tried = tried.unionByName(pairs)
-            links = links.unionByName(self._verify(pairs, f"links-{done}"))
-            rows = ranked.where(F.col("rank") > most).select("key", "id", "need", "central")
-
-    @staticmethod
-    def _shared(rows: DataFrame) -> DataFrame:
-        """Rows of buckets with more than one document, and the size of the bucket."""
-        w = Window.partitionBy("key")
-        sized = rows.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("size", F.count("*").over(w))
-        return sized.where("low <> high").select("key", "id", "need", "size")
+            more = self._verify(pairs, f"links-{done}")
+            if more.take(1):
+                links = links.unionByName(more)
+                labels = connected_components(links, self.scratch)
+        return labels
+
+    def _block_rows(self, labels: DataFrame, pairs: bool) -> DataFrame:
+        """What ``_block_links`` finds in all components, each cut into blocks of sets."""
+        members = labels.join(self.sets, "id").withColumn("n", F.length("grams") / 8)
+        blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int")
+        members = members.join(members.groupBy("component").agg(blocks.alias("blocks")), "component")
+        members = members.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        members = members.select("component", F.least("own", "to").alias("one"), F.greatest("own", "to").alias("other"), "own", "id", "grams")
+        dealt = members.repartition("component", "one", "other").sortWithinPartitions("component", "one", "other", "id")
+        return dealt.mapInArrow(_block_links(self.rule, pairs), "a long, b long")
 
-    def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs ``a < b`` that link, judged on whole sets."""
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-        holder = self.spark.sparkContext.broadcast(_id_filter(self.spark, ids))
-        docs = self.docs.mapInArrow(_maybe_in(holder), "id long, text string").groupBy("id").agg(F.min("text").alias("text"))
-        left, right = (docs.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        both = pairs.join(right, "b").join(left, "a")
-        return self._keep(both.mapInArrow(_verified(self.rule), "a long, b long"), name)
-
-    def _clear(self) -> None:
-        """The tables that the result does not read go."""
-        remove(self.spark, *[path_of(t) for name, t in self.tables if name.startswith(("buckets", "pairs", "open", "met")) and t.inputFiles()])
+    def links(self) -> DataFrame:
+        """``a, b``: every pair of sets that links, by their smallest ids, ``a < b``."""
+        labels = self._components(self._classes()[1])
+        out = materialise(self._block_rows(labels, True), "parity-links")
+        self.scratch.clear()
+        return out
 
-    @staticmethod
-    def _result(classes: DataFrame, labels: DataFrame, more: list[Column] = []) -> DataFrame:  # noqa: B006
-        named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        return named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), *more)
+    def run(self, count_links: bool) -> DataFrame:
+        """``id, n_shingles, component_id`` for every document, and on demand ``n_links``: the other sets that its own links with."""
+        classes, reps = self._classes()
+        labels = self._components(reps)
+        sets = reps.select("doc", F.col("id").alias("rep")).join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+        if count_links:
+            degree = self._block_rows(labels, False).groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n_links"))
+            sets = sets.join(degree, "rep", "left")
+        out = classes.join(sets, "doc", "left").select(
+            "id",
+            F.col("n").cast("long").alias("n_shingles"),
+            F.coalesce("component", "rep", "id").alias("component_id"),
+            *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []),
+        )
+        out = materialise(out, "parity-result")
+        self.scratch.clear()
+        return out
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links`` for every document."""
-    return ParityJoin(docs, rule, key=key, text=text).run().withColumnRenamed("id", key)
+    return ParityJoin(docs, rule, key=key, text=text).run(True).withColumnRenamed("id", key)
 
 
 def near_components(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every document, without pairing whole groups."""
-    return ParityJoin(docs, rule, key=key, text=text).components().withColumnRenamed("id", key)
+    """``doc_id, n_shingles, component_id`` for every document, without counting links."""
+    return ParityJoin(docs, rule, key=key, text=text).run(False).withColumnRenamed("id", key)
 
 
 def linked_pairs(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -432,11 +656,10 @@ def linked_pairs(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id", t
 def keep_representatives(docs: DataFrame, rule: Rule = Rule(5, 80), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one of smallest id; repeats of its row go as well.
 
-    Documents with a null id or an empty set stay.
+    Documents with a null id or an empty set stay. Of rows that repeat an id, the least text stays.
     """
     found = near_components(docs, rule, key=key, text=text)
     drop = found.where((F.col(key) != F.col("component_id")) & (F.col("n_shingles") > 0)).select(key)
-    drop = materialise(drop, "parity-drop")
     # ids of 8 bytes, counted before they are broadcast; beyond the bound both sides are shuffled
     kept = docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop, key, "left_anti")
     repeated = materialise(docs.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).select(key), "parity-repeated")

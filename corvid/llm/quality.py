@@ -26,6 +26,9 @@ from .text_arrays import WordHasher, space_separated, text_blocks, word_spans
 
 BUCKETS = 1024
 STATISTICS = 15
+#: Bytes of text and rows of a block of features.
+BLOCK_BYTES = 1 << 19
+BLOCK_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -67,8 +70,14 @@ class Featurizer:
         self.kinds = kinds
 
     def __call__(self, texts: pa.Array):
-        """Yield blocks of rows: a float32 matrix each."""
-        for first, last, data, offsets in text_blocks(texts):
+        """Yield blocks of at most ``BLOCK_ROWS`` rows: a float32 matrix each."""
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        for start in range(0, len(texts), BLOCK_ROWS):
+            yield from self._blocks(texts.slice(start, BLOCK_ROWS))
+
+    def _blocks(self, texts: pa.Array):
+        for first, last, data, offsets in text_blocks(texts, BLOCK_BYTES):
             out = np.zeros((last - first, self.size), dtype=np.float32)
             starts, ends, bounds = word_spans(data, offsets, self.is_word)
             words = self.hasher(data, starts, ends)
@@ -109,9 +118,15 @@ class PuModel:
     bias: float
     prior: float
 
+    def __post_init__(self) -> None:
+        # mean and scale folded into the weights, in double precision
+        self.slope = self.weights.astype(np.float64) / self.scale.astype(np.float64)
+        self.shift = float(self.bias) - float((self.mean.astype(np.float64) * self.slope).sum())
+
     def score(self, features: np.ndarray) -> np.ndarray:
-        z = ((features - self.mean) / self.scale) @ self.weights + self.bias
-        return 1.0 / (1.0 + np.exp(-np.clip(z.astype(np.float64), -60, 60)))
+        """Each row is summed on its own, in one order, so a score does not depend on the other rows of a block."""
+        z = np.array([(row * self.slope).sum() for row in features], np.float64) + self.shift
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, settings: PuSettings = PuSettings()) -> PuModel:

@@ -59,9 +59,7 @@ def test_components_equal_brute_force(spark, seed, rule):
 
 
 def test_chain_in_one_bucket_needs_more_rounds(spark, monkeypatch):
-    from corvid.llm import parity_join
-
-    monkeypatch.setattr(parity_join, "PIVOTS", (1, 2))
+    monkeypatch.setattr(parity_join, "BLOCK", 4)
     base = [f"w{k}" for k in range(100)]
     data = [(k, " ".join(base[: 100 - k] + [f"x{k}_{j}" for j in range(k // 2)])) for k in range(30)]
     df = spark.createDataFrame(data, "doc_id long, text string")
@@ -91,6 +89,11 @@ def test_hamming_distance_bounds_difference():
             (ka, na), (kb, nb) = sketcher.keys(a), sketcher.keys(b)
             _, x, y = np.intersect1d(ka, kb, return_indices=True)
             assert (1.0 / np.maximum(na[x] >> 1, nb[y] >> 1)).sum() >= 1 - 1e-6
+            # the short sketches bound the difference as well, also where the wider one is folded
+            u, v = (np.frombuffer(sketcher.short(s), np.uint64) for s in (a, b))
+            while len(u) != len(v):
+                u, v = (h[: len(h) // 2] ^ h[len(h) // 2 :] if len(h) == max(len(u), len(v)) else h for h in (u, v))
+            assert int(np.bitwise_count(u ^ v).sum()) <= difference
 
 
 def test_levels():
@@ -145,12 +148,11 @@ def linked(data, rule):
     return rep, pairs
 
 
-@pytest.mark.parametrize("at_once,bits", [(512, 1 << 24), (3, 8)])
-def test_links_equal_brute_force(spark, monkeypatch, at_once, bits):
-    monkeypatch.setattr(parity_join, "PAIRED_AT_ONCE", at_once)
-    # a filter that lets nearly all copies through must not add links
-    monkeypatch.setattr(parity_join, "FILTER_BITS", bits)
-    monkeypatch.setattr(parity_join, "MOST_FILTER_BITS", bits)
+@pytest.mark.parametrize("at_once,shingles,few", [(512, 1 << 17, 2_000_000), (3, 500, 0)])
+def test_links_equal_brute_force(spark, monkeypatch, at_once, shingles, few):
+    monkeypatch.setattr(parity_join, "BLOCK", at_once)
+    monkeypatch.setattr(parity_join, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(parity_join, "BROADCAST_IDS", few)
     base = [f"b{k}" for k in range(120)]
     group = [(2000 + k, " ".join([*base[:k], f"x{k}", *base[k:]])) for k in range(9)]
     data = rows(1) + group + [(3000, group[0][1]), (3001, ""), (3002, None)]
@@ -163,8 +165,39 @@ def test_links_equal_brute_force(spark, monkeypatch, at_once, bits):
 
 
 def test_components_alone_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(parity_join, "PIVOTS", (1, 2))
+    monkeypatch.setattr(parity_join, "BLOCK", 4)
     base = [f"w{k}" for k in range(100)]
     data = rows(2) + [(2000 + k, " ".join(base[: 100 - k] + [f"x{k}_{j}" for j in range(k // 2)])) for k in range(30)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.near_components(df).collect()} == reference(data, Rule())
+
+
+def test_repeated_ids_with_other_texts_stand_by_their_smallest_set(spark):
+    w, x = (" ".join(f"{c}{k}" for k in range(30)) for c in "wx")
+    df = spark.createDataFrame([(1, w), (1, x), (2, w + " more"), (3, x + " more"), (4, "a b c d e")], "doc_id long, text string")
+    got = {r.doc_id: r for r in near_duplicates(df).collect()}
+    assert len(got) == 4
+    chosen = min((len(s), parity_join.signature(s), k) for k, s in enumerate(Shingler(Rule())(pa.array([w, x]))))[2]
+    partner, other = (2, 3) if chosen == 0 else (3, 2)
+    assert got[partner].component_id == 1 and got[other].component_id == other
+    assert got[1].n_links == 1 and got[other].n_links == 0
+
+
+def test_large_bucket_that_does_not_link(spark, monkeypatch):
+    """Documents that all share half of their words fall in common buckets, and only the planted pair links."""
+    monkeypatch.setattr(parity_join, "BLOCK", 16)
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(80)]
+    data = [(k, " ".join(common + [f"d{k}_{j}" for j in range(rng.randint(18, 30))])) for k in range(150)]
+    data.append((500, data[7][1] + " z"))
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df).collect()}
+    assert got == reference(data, Rule())
+    assert got[500][1] == 7
+
+
+def test_null_ids_other_columns_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, "a b c d"), (1, None), (2, "a b c d"), (3, "A b  c d")], "doc_id long, text string").selectExpr("*", "1 as id", "2 as n", "'x' as sketch")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in near_duplicates(df).collect()}
+    assert got == {1: (0, 1, 0), 2: (1, 2, 0), 3: (1, 2, 0)}
+    assert near_duplicates(df.limit(0)).count() == 0
