@@ -2,13 +2,15 @@
 
 Trusted positives and unlabelled web text train a logistic scorer over hashed byte bigrams and a
 few text statistics: ``prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])``. The class prior
-is estimated from the labels of training rows. The scorer is fitted on a bounded sample of rows
+is the share of positives among labelled training rows; where none of these is negative, it is
+estimated from the scores of positives and unlabelled rows, so negatives are never needed. The scorer is fitted on a bounded sample of rows
 (``PuSettings.positives`` and ``PuSettings.unlabelled``, those of smallest hashed id); every row is
 scored over its whole text.
 
 Defined results: a null or empty text has all-zero features and gets the score that these have;
-repeated rows get equal scores; a document whose labels disagree counts as not positive; without
-positives the score is the prior everywhere.
+equal texts get equal scores, whatever rows share their block; a document whose labels disagree counts
+as not positive; without positives the score is the default prior everywhere; rows with null ids are
+scored and not learned from; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import Shipped, free_column
+from .cluster import Shipped, free_column, small_batches
 from .text_arrays import WordHasher, space_separated, text_blocks, word_spans
 
 BUCKETS = 1024
@@ -38,6 +40,7 @@ class PuSettings:
     positives: int = 3000
     unlabelled: int = 6000
     epochs: int = 60
+    prior_epochs: int = 20
     batch: int = 512
     rate: float = 0.01
     decay: float = 2e-2
@@ -129,38 +132,77 @@ class PuModel:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, settings: PuSettings = PuSettings()) -> PuModel:
-    """Minimise the non-negative unbiased risk with Adam; one thread, fixed seed, so repeatable."""
-    size = Featurizer.size
-    pool = unlabelled if len(unlabelled) else np.zeros((1, size), np.float32)
-    mean, scale = pool.mean(axis=0), pool.std(axis=0) + 1e-3
-    if not len(positive):
-        return PuModel(mean, scale, np.zeros(size, np.float32), float(np.log(prior / (1 - prior))), prior)
-    p, u = (positive - mean) / scale, (pool - mean) / scale
-    rng = np.random.default_rng(settings.seed)
-    w = np.zeros(size + 1, np.float32)
-    m, v, step = np.zeros_like(w), np.zeros_like(w), 0
-    p, u = (np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32) for x in (p, u))
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
-    def sigmoid(z):
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
-    for epoch in range(settings.epochs):
-        rate = settings.rate * (0.5 * (1 + np.cos(np.pi * epoch / settings.epochs)))
+def pu_risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Both parts of the risk under the logistic loss, from the margins of positives and of unlabelled rows: that of the
+    positives, and that of the negatives, which is held at zero or more."""
+    return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+
+def pu_gradient(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of the risk; where the negatives' part is below zero, the step that raises it again."""
+    gp, gu = xp @ w, xu @ w
+    push = (sigmoid(gu) @ xu) / len(xu) - prior * (sigmoid(gp) @ xp) / len(xp)
+    pull = -prior * ((1 - sigmoid(gp)) @ xp) / len(xp)
+    return pull + push if pu_risk(gp, gu, prior)[1] >= 0 else -push
+
+
+def plain_gradient(w: np.ndarray, xp: np.ndarray, xu: np.ndarray) -> np.ndarray:
+    """Gradient of the logistic loss of positives against unlabelled rows, both sides weighing the same."""
+    return ((sigmoid(xu @ w) @ xu) / len(xu) - ((1 - sigmoid(xp @ w)) @ xp) / len(xp)) / 2
+
+
+def _adam(gradient, p: np.ndarray, u: np.ndarray, settings: PuSettings, epochs: int) -> np.ndarray:
+    """Weights after ``epochs`` over the unlabelled rows; one thread, fixed seed, so repeatable."""
+    rng = np.random.default_rng(settings.seed)
+    w = np.zeros(p.shape[1], np.float32)
+    m, v, step = np.zeros_like(w), np.zeros_like(w), 0
+    for epoch in range(epochs):
+        rate = settings.rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)))
         order = rng.permutation(len(u))
         for k in range(0, len(u), settings.batch):
-            xu = u[order[k : k + settings.batch]]
-            xp = p[rng.integers(0, len(p), settings.batch)]
-            gu, gp = xu @ w, xp @ w
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            push = (sigmoid(gu) @ xu) / len(xu) - prior * (sigmoid(gp) @ xp) / len(xp)
-            pull = -prior * ((1 - sigmoid(gp)) @ xp) / len(xp)
-            grad = pull + push if negative >= 0 else -push
+            grad = gradient(w, p[rng.integers(0, len(p), settings.batch)], u[order[k : k + settings.batch]])
             grad[:-1] += settings.decay * w[:-1]
             step += 1
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad * grad
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, settings: PuSettings = PuSettings()) -> float:
+    """Share of positives among unlabelled rows, from positives and unlabelled rows alone.
+
+    Half of the rows train a scorer of positives against unlabelled rows. On the other half, the share of
+    unlabelled rows above a threshold over that of positives is at least the prior, and near it where the top
+    rows are nearly all positive: the threshold with the least upper confidence bound of this ratio is taken.
+    """
+    if len(p) < 4 or len(u) < 4:
+        return settings.default_prior
+    w = _adam(plain_gradient, p[::2], u[::2], settings, settings.prior_epochs)
+    sp, su = np.sort(p[1::2] @ w)[::-1], np.sort(u[1::2] @ w)[::-1]
+    share_p = np.arange(1, len(sp) + 1) / len(sp)
+    share_u = np.searchsorted(-su, -sp, side="right") / len(su)
+    slack = np.sqrt(np.log(40) / (2 * len(su))) + np.sqrt(np.log(40) / (2 * len(sp)))
+    best = int(np.argmin((share_u + slack) / share_p))
+    return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, settings: PuSettings = PuSettings()) -> PuModel:
+    """Minimise the non-negative unbiased risk with Adam; a prior that is not given is estimated."""
+    size = Featurizer.size
+    pool = unlabelled if len(unlabelled) else np.zeros((1, size), np.float32)
+    mean, scale = pool.mean(axis=0), pool.std(axis=0) + 1e-3
+    if not len(positive):
+        prior = settings.default_prior if prior is None else prior
+        return PuModel(mean, scale, np.zeros(size, np.float32), float(np.log(prior / (1 - prior))), prior)
+    p, u = ((x - mean) / scale for x in (positive, pool))
+    p, u = (np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32) for x in (p, u))
+    prior = estimate_prior(p, u, settings) if prior is None else prior
+    w = _adam(lambda w, xp, xu: pu_gradient(w, xp, xu, prior), p, u, settings, settings.epochs)
     return PuModel(mean, scale, w[:-1], float(w[-1]), prior)
 
 
@@ -169,42 +211,47 @@ def fold(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % folds
 
 
-def _features_of(docs: DataFrame, text: str) -> np.ndarray:
+def _features_of(docs: DataFrame, text: str, key: str) -> np.ndarray:
+    """Features of the rows, in the order of their ids."""
+
     def run(batches):
         featurize = Featurizer()
         for batch in batches:
-            for block in featurize(batch.column(text)):
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in block], pa.binary())], names=["f"])
+            rows = [r.tobytes() for block in featurize(batch.column("text")) for r in block]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.binary())], names=["id", "f"])
 
-    rows = docs.select(text).mapInArrow(run, "f binary").toArrow().column(0).to_pylist()
+    picked = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
+    with small_batches(docs.sparkSession, BLOCK_ROWS):
+        rows = picked.mapInArrow(run, "id string, f binary").toArrow().sort_by("id").column("f").to_pylist()
     return np.frombuffer(b"".join(rows), np.float32).reshape(-1, Featurizer.size) if rows else np.zeros((0, Featurizer.size), np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", settings: PuSettings = PuSettings()) -> PuModel:
     """Fit on bounded samples; ``docs`` and ``labels`` hold training rows only.
 
-    Only ids are ordered and joined; at most ``positives + unlabelled`` ids are broadcast to fetch texts.
+    Only ids are ordered and joined; at most ``positives + unlabelled`` ids are broadcast to fetch texts, and of
+    rows that repeat an id the least text is taken, so that a sample has one row an id at most.
     """
     judged = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("y"))
     n, good = judged.agg(F.count("*"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0))).first()
-    prior = min(max(good / n, 0.01), 0.99) if n and good < n else settings.default_prior
+    prior = min(max(good / n, 0.01), 0.99) if n and good < n else None
     first = F.xxhash64(F.col(key).cast("string"))
     positive = judged.where("y = 1").select(key).orderBy(first, key).limit(settings.positives)
     unlabelled = docs.select(key).where(F.col(key).isNotNull()).distinct().orderBy(first, key).limit(settings.unlabelled)
-    x = [_features_of(docs.join(F.broadcast(ids), key, "left_semi"), text) for ids in (positive, unlabelled)]
-    # Rows arrive in any order; sorting makes the fit the same from run to run.
-    x = [a[np.lexsort(a[:, ::131].T)] if len(a) else a for a in x]
-    return fit_pu(*x, prior, settings)
+    rows = lambda ids: docs.select(key, text).join(F.broadcast(ids), key, "left_semi").groupBy(key).agg(F.min(text).alias(text))
+    return fit_pu(*(_features_of(rows(ids), text, key) for ids in (positive, unlabelled)), prior, settings)
 
 
 def score(docs: DataFrame, model: PuModel, *, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the double column ``out`` (0 to 1, higher is better)."""
+    """``docs`` with the double column ``out`` (0 to 1, higher is better), in place of one that has the name."""
     holder = Shipped(docs.sparkSession, model)
+    docs = docs.drop(out) if out in docs.columns else docs
+    place = docs.columns.index(text)
 
     def run(batches):
         featurize = Featurizer()
         for batch in batches:
-            values = [holder.value.score(block) for block in featurize(batch.column(text))]
+            values = [holder.value.score(block) for block in featurize(batch.column(place))]
             column = pa.array(np.concatenate(values) if values else [], pa.float64())
             yield from pa.Table.from_batches([batch]).append_column(out, column).to_batches()
 
