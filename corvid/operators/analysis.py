@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvid.functions import text as X
+from corvid.tables import Scratch
 
 
 # --- mining -------------------------------------------------------------------------------------
@@ -39,31 +40,24 @@ def equivalent_versions(records: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` over ``a, b`` links: the smallest label spreads until none changes.
 
-    Labels are checkpointed each round in the session's checkpoint folder, so lineage stays short; a
-    pointer jump per round makes the rounds logarithmic in the length of chains.
+    Labels are written to shared storage each round, so lineage stays short; a pointer jump per round
+    makes the rounds logarithmic in the length of chains.
     """
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct().toDF("u", "v")
+    scratch = Scratch(links.sparkSession, "families")
+    edges = scratch.keep(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("u", "v"), "edges")
     labels = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label"))
     while True:
         near = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("seen"))
         jump = labels.select(F.col("u").alias("label"), F.col("label").alias("up"))
         moved = labels.join(near, "u").withColumn("new", F.least("label", "seen")).select("u", F.col("label").alias("old"), F.col("new").alias("label"))
         moved = moved.join(jump, "label", "left").select("u", "old", F.least("label", F.coalesce("up", "label")).alias("label"))
-        moved = _cut(moved)
+        moved = scratch.keep(moved, "labels")
         if not moved.where("old <> label").take(1):
+            scratch.clear("edges")
             return moved.select(F.col("u").alias("id"), F.col("label").alias("component"))
         labels = moved.select("u", "label")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvid-"))
-    return df.checkpoint()
-
-
 def migrate_splits(labelled: DataFrame, comp: DataFrame) -> DataFrame:
     """Split of each component: protected or exposed keys force dev (if any is dev) else test; then blind;
     then dev if dev meets test; else the majority, ties in the order dev, test, train.

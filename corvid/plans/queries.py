@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from corvid.functions import text as X
 from corvid.functions import vectors as V
-from corvid.llm.cluster import materialise
+from corvid.tables import materialise
 from corvid.operators import access as A
 from corvid.operators import analysis as N
 from corvid.operators import ingest as I
