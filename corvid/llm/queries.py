@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import byte_bpe, chat, decontaminate, forest_search, katz, language, license_scan, line_dedup, parity_join, quality
 
 
@@ -72,11 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_parity_join": op10_parity_join,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.REPORT_SQL,
     "op4_license_scan": license_scan.REPORT_SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
