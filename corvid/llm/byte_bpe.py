@@ -26,6 +26,7 @@ import hashlib
 import heapq
 import json
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import Shipped
+from .cluster import Shipped, returns_memory
 
 SHARDS = 1 << 16
 FOLD_BYTES = 64
-BLOCK_BYTES = 8 << 20
-#: Words a task remembers; beyond this it starts anew.
-MEMO_WORDS = 400_000
+BLOCK_BYTES = 4 << 20
+#: Words of one generation that a task remembers; words in use move on to the next one.
+MEMO_WORDS = 100_000
 NONE = 2**31 - 1
 
 
@@ -248,6 +249,22 @@ def _assemble(holder, keep: list[str], output):
     return run
 
 
+class Memo:
+    """Ids of words met so far, as bytes, in two generations: what the younger one asks for again outlives the older."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks, self.young, self.old = ranks, {}, {}
+
+    def __call__(self, word: str) -> bytes:
+        found = self.young.get(word)
+        if found is None:
+            found = self.old.get(word) or array("i", merge(word.encode(), self.ranks)).tobytes()
+            if len(self.young) >= MEMO_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[word] = found
+        return found
+
+
 def _merge_blocks(holder, pattern: str, text: str, keep: list[str], output):
     """Documents to ``output(ids, vocabulary)`` in one stage."""
 
@@ -256,7 +273,7 @@ def _merge_blocks(holder, pattern: str, text: str, keep: list[str], output):
 
         find = regex.compile(pattern).findall
         vocabulary = holder.value
-        ranks, memo = vocabulary.ranks, {}
+        memo = Memo(vocabulary.ranks)
         for batch in batches:
             texts, columns, first = batch.column(text), [], 0
             while first < len(texts):
@@ -268,11 +285,9 @@ def _merge_blocks(holder, pattern: str, text: str, keep: list[str], output):
                     numbers.append(np.fromiter([words.setdefault(w, len(words)) for w in found], np.int64, len(found)))
                     size += len(value)
                     last += 1
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                ids = [memo.get(w) or memo.setdefault(w, merge(w.encode(), ranks)) for w in words]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
-                values = np.fromiter((v for x in ids for v in x), np.int32, int(offsets[-1]))
+                ids = [memo(w) for w in words]
+                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)))
+                values = np.frombuffer(b"".join(ids), np.int32)
                 columns += [output(_gather(values, offsets, n)[0], vocabulary) for n in numbers]
                 first = last
             if columns:
@@ -289,7 +304,7 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str,
     holder = Shipped(docs.sparkSession, Vocabulary(ranks))
     picked = docs.select(*[docs[c] for c in dict.fromkeys([text, *keep])])
     if method == "merge":
-        return picked.mapInArrow(_merge_blocks(holder, pattern, text, keep, output), out).toDF(*names)
+        return picked.mapInArrow(returns_memory(_merge_blocks(holder, pattern, text, keep, output)), out).toDF(*names)
     named = T.StructType([T.StructField(f"k{k}", f.dataType) for k, f in enumerate(fields)])
     blocks = T.StructType([
         T.StructField("kept", T.ArrayType(named)),
@@ -297,10 +312,10 @@ def _encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str,
         T.StructField("numbers", T.BinaryType()),
         T.StructField("words", T.ArrayType(T.StringType())),
     ])
-    split = picked.mapInArrow(_split_blocks(pattern, text, keep), blocks)
+    split = picked.mapInArrow(returns_memory(_split_blocks(pattern, text, keep)), blocks)
     literal = rank_literal(ranks)
     ids = F.transform("words", lambda w: F.when(F.length(w) <= FOLD_BYTES, fold_word(w, literal)))
-    return split.withColumn("ids", ids).mapInArrow(_assemble(holder, keep, output), out).toDF(*names)
+    return split.withColumn("ids", ids).mapInArrow(returns_memory(_assemble(holder, keep, output)), out).toDF(*names)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text: str = "text", keep: list[str] | None = None, out: str = "ids", method: str = "merge") -> DataFrame:
@@ -318,7 +333,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *, ids: str = "ids", out
             column = [None if v is None else holder.value.decode(np.array(v, np.int64)) for v in batch.column(ids).to_pylist()]
             yield from pa.Table.from_batches([batch]).append_column(out, pa.array(column, pa.binary())).to_batches()
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
+    return encoded.mapInArrow(returns_memory(run), T.StructType([*encoded.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def _digests(ids: np.ndarray, vocabulary: Vocabulary):

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import pickle
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from corvid.tables import Scratch, materialise, remove, shared_folder
 
-__all__ = ["Scratch", "Shipped", "free_column", "materialise", "remove", "shared_folder", "small_batches"]
+__all__ = ["Scratch", "Shipped", "free_column", "materialise", "remove", "returns_memory", "shared_folder", "small_batches"]
 
 
 class Shipped:
@@ -30,6 +34,25 @@ class Shipped:
         return {"packed": self.packed, "unpacked": None}
 
 
+def returns_memory(run):
+    """``run`` (a function from Arrow batches to Arrow batches), giving freed memory back once a task is through.
+
+    Python workers live on between tasks and stages, and what their allocators keep counts as the executor's.
+    """
+
+    @functools.wraps(run)
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not the C library that has it
+            pass
+
+    return whole
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000):
     """Inside, Arrow batches have at most ``rows`` rows where the session sets no number, as texts are long."""

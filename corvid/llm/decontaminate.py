@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import Shipped, free_column
+from .cluster import Shipped, free_column, materialise, returns_memory
 from .text_arrays import WordHasher, alphanumeric, ascii_lower_table, text_blocks, word_spans
 
 WINDOW = 13
@@ -245,7 +245,7 @@ def find_benchmark_hits(
     """``docs`` with a struct column ``out``: words, merged hit spans (word and byte numbers), item ids.
 
     The benchmark is measured first and cut into blocks of about ``block_words`` words; each block is
-    one automaton, broadcast to one pass over the documents. There is no shuffle.
+    one automaton, broadcast to one pass over the documents. There is no shuffle; between blocks the rows are written.
     """
     spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
@@ -255,7 +255,9 @@ def find_benchmark_hits(
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         scanner = Scanner([(r.item, r.text) for r in part.collect()], window)
-        docs = docs.mapInArrow(_scan_with(Shipped(spark, scanner), text, out, k > 0), schema)
+        # one automaton is resident at a time: the rows are written before the next one is shipped
+        docs = materialise(docs, "hits") if k else docs
+        docs = docs.mapInArrow(returns_memory(_scan_with(Shipped(spark, scanner), text, out, k > 0)), schema)
     return docs
 
 
@@ -293,7 +295,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", cove
     hits = free_column(docs, "hits")
     found = find_benchmark_hits(docs, items, text=text, out=hits, **options)
     kept = found.where(~contaminated(hits, coverage_times=coverage_times))
-    return kept.mapInArrow(lambda batches: _cut_spans(batches, text, hits), kept.schema).select(*docs.columns)
+    return kept.mapInArrow(returns_memory(lambda batches: _cut_spans(batches, text, hits)), kept.schema).select(*docs.columns)
 
 
 def hit_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

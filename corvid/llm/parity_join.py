@@ -48,15 +48,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .cluster import Scratch, free_column, materialise, small_batches
+from .cluster import Scratch, free_column, materialise, returns_memory, small_batches
 from .components import connected_components
 from .text_arrays import WordHasher, ascii_lower_table, mix, space_separated, text_blocks, word_spans
 
 #: Shingles of a sketch word below which it counts as light.
 LIGHT = 2
 #: Keys of one packed table, about, and keys that a scan gathers before it hands tables on.
-TABLE_KEYS = 1 << 20
-FLUSH_KEYS = 1 << 21
+TABLE_KEYS = 1 << 19
+FLUSH_KEYS = 1 << 20
 #: Rows of a bucket that are compared with each other at once.
 BLOCK = 512
 #: Shingles and documents of a block of sets.
@@ -506,7 +506,7 @@ class ParityJoin:
 
     def _classes(self) -> tuple[DataFrame, DataFrame]:
         """``id, n, doc`` of every document, and ``doc, id, n, sketch`` of every set, ``id`` being the smallest that has it."""
-        scan = self.docs.mapInArrow(_scanned(self.rule), "id long, n int, doc long, sketch binary")
+        scan = self.docs.mapInArrow(returns_memory(_scanned(self.rule)), "id long, n int, doc long, sketch binary")
         scan = self._keep(scan.groupBy("id").agg(F.min(F.struct("n", "doc", "sketch")).alias("s")).select("id", "s.*"), "scan")
         reps = scan.where("n > 0").groupBy("doc").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
         return scan.select("id", "n", "doc"), self._keep(reps, "reps")
@@ -515,7 +515,7 @@ class ParityJoin:
         """``key, size, id, n, sketch``: the rarest keys by which each document would meet any partner."""
         total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         tables = max(1, ceil(total / 2 / TABLE_KEYS))
-        packed = self.docs.mapInArrow(_packed(self.rule, tables), _PACKED)
+        packed = self.docs.mapInArrow(returns_memory(_packed(self.rule, tables)), _PACKED)
         shared = packed.groupBy("part").applyInArrow(_shared, "key long, doc long, need int, size int")
         level = Window.partitionBy("doc", "need")
         rows = shared.repartition("doc").withColumn("count", F.count("*").over(level)).withColumn("rank", F.row_number().over(level.orderBy("size", "key")))
@@ -541,7 +541,7 @@ class ParityJoin:
                 columns = [pa.array(out, pa.binary()) if c == "sketch" else batch.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        return rows.mapInArrow(run, rows.select(*names).schema)
+        return rows.mapInArrow(returns_memory(run), rows.select(*names).schema)
 
     def _alive(self, reps: DataFrame) -> DataFrame:
         """``key, parts, id, n, sketch, near``: rows with candidates, and the smallest of each in its block."""
@@ -550,20 +550,20 @@ class ParityJoin:
         rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "key"), "parts").cast("int")).drop("size")
         dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "id")
         schema = "key long, id long, n int, sketch binary, parts int, part int, near long"
-        return self._keep(dealt.select("key", "id", "n", "sketch", "parts", "part").mapInArrow(_nearest(self.rule), schema), "alive")
+        return self._keep(dealt.select("key", "id", "n", "sketch", "parts", "part").mapInArrow(returns_memory(_nearest(self.rule)), schema), "alive")
 
     def _fetch(self, alive: DataFrame, reps: DataFrame) -> DataFrame:
         """``id, grams``: the sets of the documents that have candidates."""
         ids = self._keep(alive.select("id").distinct().join(reps.select("id", "doc"), "id"), "wanted")
         few = ids.count() <= BROADCAST_IDS
         texts = self.docs.join(F.broadcast(ids.select("id")) if few else ids.select("id"), "id", "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.rule), "doc long, grams binary").join(F.broadcast(ids) if few else ids, "doc")
+        sets = texts.mapInArrow(returns_memory(_sets(self.rule)), "doc long, grams binary").join(F.broadcast(ids) if few else ids, "doc")
         return self._keep(sets.groupBy("id").agg(F.min("grams").alias("grams")), "sets")
 
     def _verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that link, judged on whole sets."""
         left, right = (self.sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
-        return self._keep(pairs.join(right, "b").join(left, "a").select("a", "b", "grams_a", "grams_b").mapInArrow(_verified(self.rule), "a long, b long"), name)
+        return self._keep(pairs.join(right, "b").join(left, "a").select("a", "b", "grams_a", "grams_b").mapInArrow(returns_memory(_verified(self.rule)), "a long, b long"), name)
 
     def _between(self, alive: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
         """``a, b``: candidate pairs between components that share a bucket."""
@@ -579,7 +579,7 @@ class ParityJoin:
         probes = probes.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"))
         dealt = whole.unionByName(members).unionByName(probes).repartition("key", "part").sortWithinPartitions("key", "part", "id")
         schema = "x long, y long, far int, a long, b long"
-        found = dealt.select("key", "id", "n", "sketch", "part", "component", "probe").mapInArrow(_across(self.rule, every), schema)
+        found = dealt.select("key", "id", "n", "sketch", "part", "component", "probe").mapInArrow(returns_memory(_across(self.rule, every)), schema)
         if every:
             return found.select("a", "b").distinct()
         return found.groupBy("x", "y").agg(F.min(F.struct("far", "a", "b")).alias("s")).select("s.a", "s.b")
@@ -610,7 +610,7 @@ class ParityJoin:
         members = members.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         members = members.select("component", F.least("own", "to").alias("one"), F.greatest("own", "to").alias("other"), "own", "id", "grams")
         dealt = members.repartition("component", "one", "other").sortWithinPartitions("component", "one", "other", "id")
-        return dealt.mapInArrow(_block_links(self.rule, pairs), "a long, b long")
+        return dealt.mapInArrow(returns_memory(_block_links(self.rule, pairs)), "a long, b long")
 
     def links(self) -> DataFrame:
         """``a, b``: every pair of sets that links, by their smallest ids, ``a < b``."""

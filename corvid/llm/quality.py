@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import Shipped, free_column, small_batches
+from .cluster import Shipped, free_column, returns_memory, small_batches
 from .text_arrays import WordHasher, space_separated, text_blocks, word_spans
 
 BUCKETS = 1024
@@ -222,7 +222,7 @@ def _features_of(docs: DataFrame, text: str, key: str) -> np.ndarray:
 
     picked = docs.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"))
     with small_batches(docs.sparkSession, BLOCK_ROWS):
-        rows = picked.mapInArrow(run, "id string, f binary").toArrow().sort_by("id").column("f").to_pylist()
+        rows = picked.mapInArrow(returns_memory(run), "id string, f binary").toArrow().sort_by("id").column("f").to_pylist()
     return np.frombuffer(b"".join(rows), np.float32).reshape(-1, Featurizer.size) if rows else np.zeros((0, Featurizer.size), np.float32)
 
 
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: PuModel, *, text: str = "text", out: str = "sc
             column = pa.array(np.concatenate(values) if values else [], pa.float64())
             yield from pa.Table.from_batches([batch]).append_column(out, column).to_batches()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(returns_memory(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", held_out: Column | None = None, threshold: float = 0.5, **options) -> DataFrame:
