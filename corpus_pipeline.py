@@ -15,6 +15,17 @@ from corvid.llm import byte_bpe, decontaminate, line_dedup, parity_join, quality
 from corvid.llm.cluster import free_column, materialise
 
 
+#: Rows of an Arrow batch, where the session sets no number: texts are long, and every batch is held twice.
+BATCH_ROWS = 1000
+
+
+def _batches(spark: SparkSession) -> None:
+    """The pipeline's session reads texts in batches of ``BATCH_ROWS``; plans take the number when they run."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_chars`` of the text as it is now, where the column is there."""
     if "n_chars" not in docs.columns:
@@ -24,6 +35,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    _batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.coalesce(quality.fold("doc_id", 3) == 1, F.lit(False))
     return quality.keep_good(docs, labels, held_out=held_out)
@@ -34,6 +46,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     The site is the host of the URL where there is one, else the source.
     """
+    _batches(spark)
     site = free_column(docs, "site")
     by = F.coalesce(line_dedup.url_host("url"), F.col("source")) if "url" in docs.columns else F.col("source")
     cleaned = line_dedup.drop_boilerplate(docs.withColumn(site, by), host=site, long_words=line_dedup.LONG_WORDS)
@@ -42,16 +55,19 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8) stays."""
+    _batches(spark)
     return parity_join.keep_representatives(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; shorter benchmark spans are cut out of the others."""
+    _batches(spark)
     return _counted(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def tokenise_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text, their number, and whether decoding gives the text back."""
+    _batches(spark)
     import public_tokenizers
 
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
