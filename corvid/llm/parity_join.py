@@ -4,7 +4,8 @@ A document's set is its distinct shingles of ``width`` words, and its identity i
 that set, so copies are one document from the first step on. Each size level has ``parts`` words of a
 parity sketch: the 64-bit hash of a shingle picks a part and a bit, and the bit is flipped (XOR). One
 shingle flips one bit, so the Hamming distance of two sketches is at most the size of the sets'
-symmetric difference. Sets that reach the threshold differ by at most ``distance(level)`` shingles, so
+symmetric difference. A word of few flips has few values, so for keys a shingle flips the bits of its
+whole hash: words of parts that no difference touches are still equal, and others are not. Sets that reach the threshold differ by at most ``distance(level)`` shingles, so
 of ``parts`` sketch words at least ``parts - distance`` are equal; joining on (level, part, word)
 therefore finds every such pair. Levels are geometric bands of set sizes; a pair lies in one band or
 in neighbouring ones, so a document is sketched at its own level and at the next.
@@ -178,16 +179,16 @@ class Sketcher:
         bits = 64 * self.rule.words(self.level(len(shingles)) + 1)
         return np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
 
-    def sketch(self, shingles: np.ndarray, level: int):
-        """Sketch words that have shingles: part numbers, XORed bits, shingles in each."""
+    def sketch(self, shingles: np.ndarray, level: int, flips: np.ndarray | None = None):
+        """Sketch words that have shingles: part numbers, XORed flips (one bit a shingle unless given), shingles in each."""
         parts = self.rule.parts(level)
         part = ((shingles >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        word = np.bitwise_xor.reduceat(np.uint64(1) << (shingles & np.uint64(63)), begin)
-        return part[begin], word, np.diff(np.concatenate((begin, [len(part)]))), parts
+        flips = np.uint64(1) << (shingles & np.uint64(63)) if flips is None else flips
+        return part[begin], np.bitwise_xor.reduceat(flips, begin), np.diff(np.concatenate((begin, [len(part)]))), parts
 
     def _at(self, shingles: np.ndarray, level: int) -> tuple[np.ndarray, int]:
-        part, word, sizes, parts = self.sketch(shingles, level)
+        part, word, sizes, parts = self.sketch(shingles, level, mix(shingles))
         heavy = sizes >= LIGHT
         # no partner at this level is larger than the level or than the threshold allows
         n, rule = len(shingles), self.rule
