@@ -23,11 +23,11 @@ The steps, all linear in the number of keys but for the last comparison inside b
 2. of the keys that are shared, a document with fewer than ``need`` at a level has no partner there;
    of ``count`` keys it keeps the ``count - need + 1`` rarest, one of which it shares with any partner;
 3. inside a bucket, rows whose short sketches are further apart (Hamming) than linked sets can be are
-   no candidates; rows without candidates go. Every other row names its smallest candidate;
+   no candidates; rows without candidates go. Candidate pairs of a bucket make a graph, of which the
+   edges of a minimum spanning forest are kept, at most one a row;
 4. these pairs are verified on whole sets, and components are formed. Buckets that still hold several
-   components give one pair for each two of them, and at last every candidate pair between components;
-   all are verified. Large buckets are cut into blocks; rows outside a bucket's largest component are
-   compared with all of its blocks.
+   components then give every candidate pair between these, and all are verified. Large buckets are cut
+   into blocks; rows outside a bucket's largest component are compared with all of its blocks.
 
 So no link between components is lost. Links inside components are counted only on demand: blocks of a
 component's sets are compared by matrix products, and only counts leave a block.
@@ -357,62 +357,75 @@ class Bucket:
                 yield picked[k : k + at_once, None] + np.arange(s)
 
     def candidates(self, rows: np.ndarray):
-        """Row numbers and distances of all candidate pairs in stacked runs, by slices of the first member."""
+        """Row numbers of all candidate pairs in stacked runs, by slices of the first member; each pair both ways."""
+        for k, ok, _ in self._slices(rows):
+            run, i, j = np.nonzero(ok)
+            yield rows[run, i + k], rows[run, j]
+
+    def _slices(self, rows: np.ndarray):
         s = self.sketches(rows.ravel()).reshape(*rows.shape, -1)
         n = self.n[rows]
         step = max(1, (1 << 21) // max(1, s.size))
         for k in range(0, rows.shape[1], step):
             ok, far = self.near(s[:, k : k + step, None], s[:, None], n[:, k : k + step, None], n[:, None])
-            run, i, j = np.nonzero(ok)
-            apart = i + k != j
-            run, i, j = run[apart], i[apart], j[apart]
-            yield rows[run, i + k], rows[run, j], far[run, i, j]
-
-
-def _nearest(rule: Rule):
-    """Rows of blocks, with the smallest id of a candidate; rows without any go where the block is the whole bucket."""
+            own = np.arange(ok.shape[1])
+            ok[:, own, own + k] = False
+            yield k, ok, far
+
+    def forest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row numbers ``child, parent`` of a minimum spanning forest of each stacked run's candidate graph, by distance
+        and then by place (Prim's algorithm, a step for all runs at once); a root is its own parent, a row without
+        candidates is left out."""
+        runs, size = rows.shape
+        none = np.int32(1 << 30)
+        cost = np.concatenate([np.where(ok, far, none) for _, ok, far in self._slices(rows)], axis=1).astype(np.int32)
+        lonely = (cost == none).all(axis=2)
+        at, parent = np.arange(runs), np.tile(np.arange(size), (runs, 1))
+        least, done = np.full((runs, size), none), np.zeros((runs, size), bool)
+        for _ in range(size):
+            here = np.where(done, none + 1, least).argmin(axis=1)
+            done[at, here] = True
+            row = cost[at, here]
+            better = (row < least) & ~done
+            least = np.where(better, row, least)
+            parent = np.where(better, here[:, None], parent)
+        run, child = np.nonzero(~lonely)
+        return rows[run, child], rows[run, parent[run, child]]
+
+
+def _joined(rule: Rule):
+    """Rows of blocks with ``near``, the id of their parent in the block's forest (their own if none); rows without
+    candidates go where the block is the whole bucket."""
 
     def run(batches):
         for table, bounds in _runs(batches, "key", "part"):
             bucket, ids = Bucket(rule, table, bounds), table.column("id").to_numpy()
-            least = np.full(len(ids), np.iinfo(np.int64).max)
+            near, keep = ids.copy(), table.column("parts").to_numpy() > 1
             for rows in bucket.groups():
-                for a, b, _ in bucket.candidates(rows):
-                    np.minimum.at(least, a, ids[b])
-            found = least != np.iinfo(np.int64).max
-            keep = np.flatnonzero(found | (table.column("parts").to_numpy() > 1))
-            out = table.append_column("near", pa.array(np.where(found, least, ids))).take(keep)
+                child, parent = bucket.forest(rows)
+                near[child] = ids[parent]
+                keep[child] = True
+            out = table.append_column("near", pa.array(near)).filter(pa.array(keep))
             yield from out.combine_chunks().to_batches()
 
     return run
 
 
-def _across(rule: Rule, every: bool):
-    """Candidate pairs between components: all, or the closest of each two components of a block."""
+def _across(rule: Rule):
+    """Candidate pairs ``a < b`` between components, each once for a batch of buckets."""
 
     def run(batches):
         for table, bounds in _runs(batches, "key", "part"):
             bucket = Bucket(rule, table, bounds)
             ids, components, probe = (table.column(c).to_numpy() for c in ("id", "component", "probe"))
-            found = []
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for rows in bucket.groups():
-                for a, b, far in bucket.candidates(rows):
+                for a, b in bucket.candidates(rows):
                     # of a block of a large bucket, only probes meet members
-                    ok = (components[a] != components[b]) & ((probe[a] == 0) & (probe[b] == 0) | (probe[a] == 1) & (probe[b] == 2))
-                    found.append((a[ok], b[ok], far[ok]))
-            a, b, far = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
-            a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
-            x, y = np.minimum(components[a], components[b]), np.maximum(components[a], components[b])
-            order = np.lexsort((ids[b], ids[a], far, y, x))
-            if len(order):
-                x_, y_ = x[order], y[order]
-                differs = (x_[1:] != x_[:-1]) | (y_[1:] != y_[:-1])
-                if every:
-                    a_, b_ = ids[a[order]], ids[b[order]]
-                    differs = differs | (a_[1:] != a_[:-1]) | (b_[1:] != b_[:-1])
-                order = order[np.concatenate(([True], differs))]
-            columns = {"x": x[order], "y": y[order], "far": far[order].astype(np.int32), "a": ids[a[order]], "b": ids[b[order]]}
-            yield from pa.table(columns).to_batches()
+                    ok = (components[a] != components[b]) & ((probe[a] == 0) & (probe[b] == 0) & (ids[a] < ids[b]) | (probe[a] == 1) & (probe[b] == 2))
+                    found.append((np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])))
+            pairs = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in range(2)]), axis=1)
+            yield from pa.table({"a": pairs[0], "b": pairs[1]}).to_batches()
 
     return run
 
@@ -545,13 +558,13 @@ class ParityJoin:
         return rows.mapInArrow(returns_memory(run), rows.select(*names).schema)
 
     def _alive(self, reps: DataFrame) -> DataFrame:
-        """``key, parts, id, n, sketch, near``: rows with candidates, and the smallest of each in its block."""
+        """``key, parts, id, n, sketch, near``: rows with candidates, and the parent of each in its block's forest."""
         parts = F.ceil(F.col("size") / BLOCK).cast("int")
         rows = self._folded(self._buckets(reps)).withColumn("parts", parts)
         rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "key"), "parts").cast("int")).drop("size")
         dealt = rows.repartition("key", "part").sortWithinPartitions("key", "part", "id")
         schema = "key long, id long, n int, sketch binary, parts int, part int, near long"
-        return self._keep(dealt.select("key", "id", "n", "sketch", "parts", "part").mapInArrow(returns_memory(_nearest(self.rule)), schema), "alive")
+        return self._keep(dealt.select("key", "id", "n", "sketch", "parts", "part").mapInArrow(returns_memory(_joined(self.rule)), schema), "alive")
 
     def _fetch(self, alive: DataFrame, reps: DataFrame) -> DataFrame:
         """``id, grams``: the sets of the documents that have candidates."""
@@ -566,7 +579,7 @@ class ParityJoin:
         left, right = (self.sets.select(F.col("id").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
         return self._keep(pairs.join(right, "b").join(left, "a").select("a", "b", "grams_a", "grams_b").mapInArrow(returns_memory(_verified(self.rule)), "a long, b long"), name)
 
-    def _between(self, alive: DataFrame, labels: DataFrame, every: bool) -> DataFrame:
+    def _between(self, alive: DataFrame, labels: DataFrame) -> DataFrame:
         """``a, b``: candidate pairs between components that share a bucket."""
         in_bucket = Window.partitionBy("key")
         rows = alive.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -579,29 +592,19 @@ class ParityJoin:
         probes = large.join(counts, "key").where("component <> most").drop("most")
         probes = probes.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"))
         dealt = whole.unionByName(members).unionByName(probes).repartition("key", "part").sortWithinPartitions("key", "part", "id")
-        schema = "x long, y long, far int, a long, b long"
-        found = dealt.select("key", "id", "n", "sketch", "part", "component", "probe").mapInArrow(returns_memory(_across(self.rule, every)), schema)
-        if every:
-            return found.select("a", "b").distinct()
-        return found.groupBy("x", "y").agg(F.min(F.struct("far", "a", "b")).alias("s")).select("s.a", "s.b")
+        read = dealt.select("key", "id", "n", "sketch", "part", "component", "probe")
+        return read.mapInArrow(returns_memory(_across(self.rule)), "a long, b long").distinct()
 
     def _components(self, reps: DataFrame) -> DataFrame:
         """``id, component`` of every set that links."""
         alive = self._alive(reps)
         self.sets = self._fetch(alive, reps)
-        tried = self._keep(alive.where("near < id").groupBy("id").agg(F.min("near").alias("a")).select("a", F.col("id").alias("b")), "pairs-0")
+        edges = alive.where("near <> id").select(F.least("near", "id").alias("a"), F.greatest("near", "id").alias("b")).distinct()
+        tried = self._keep(edges, "pairs-0")
         links = self._verify(tried, "links-0")
         labels = connected_components(links, self.scratch)
-        for done, every in enumerate((False, True), 1):
-            pairs = self._keep(self._between(alive, labels, every).join(tried, ["a", "b"], "left_anti"), f"pairs-{done}")
-            if not pairs.take(1) and every:
-                break
-            tried = tried.unionByName(pairs)
-            more = self._verify(pairs, f"links-{done}")
-            if more.take(1):
-                links = links.unionByName(more)
-                labels = connected_components(links, self.scratch)
-        return labels
+        more = self._verify(self._keep(self._between(alive, labels).join(tried, ["a", "b"], "left_anti"), "pairs-1"), "links-1")
+        return connected_components(links.unionByName(more), self.scratch) if more.take(1) else labels
 
     def _block_rows(self, labels: DataFrame, pairs: bool) -> DataFrame:
         """What ``_block_links`` finds in all components, each cut into blocks of sets."""
