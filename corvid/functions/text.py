@@ -72,6 +72,7 @@ def has_injection(text: Column | str) -> Column:
 
 
 def sanitize(text: Column | str) -> Column:
+    """Delimiters and instructions replaced by fixed strings."""
     cut = F.replace(F.replace(_c(text), F.lit("<<<"), F.lit("[delimiter]")), F.lit(">>>"), F.lit("[delimiter]"))
     return F.regexp_replace(cut, INJECTION, "[redacted untrusted instruction]")
 
@@ -87,7 +88,8 @@ def claims(answer: Column | str) -> Column:
 
 
 def citation_markers(answer: Column | str) -> Column:
-    return F.regexp_extract_all(_c(answer), F.lit(r"\[(\d+)\]"), F.lit(1))
+    """Numbers of bracketed markers that stand on their own, not inside words."""
+    return F.regexp_extract_all(_c(answer), F.lit(r"(?U)(?<!\w)\[(\d+)\](?!\w)"), F.lit(1))
 
 
 def best_sentence(text: Column | str, terms: Column) -> Column:
@@ -118,7 +120,7 @@ def split_bucket(family: Column | str) -> Column:
 
 
 def split_name(family: Column | str, refresh: bool = False) -> Column:
-    """Split of a new family: 10/30/30/30, or thirds without ``blind`` when earlier assignments exist."""
+    """Split of a new family: 10/30/30/30, or thirds without ``blind`` when earlier assignments exist (fixed bounds)."""
     b = split_bucket(family)
     if refresh:
         return F.element_at(_strings(["train", "dev", "test"]), (b % 3 + 1).cast("int"))
@@ -126,9 +128,17 @@ def split_name(family: Column | str, refresh: bool = False) -> Column:
 
 
 def version_key(label: Column | str) -> Column:
-    """Natural order of version labels: text and number runs compare as such."""
-    runs = F.regexp_extract_all(_c(label), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.transform(runs, lambda p: F.struct(p.rlike(r"^\d+$").cast("int").alias("numeric"), F.coalesce(F.try_to_number(p, F.lit("9" * 18)).cast("long"), F.lit(0)).alias("number"), F.lower(p).alias("text")))
+    """Natural order of version labels: texts and numbers in turn, beginning with a text that may be empty.
+
+    A number is compared by its digits without leading zeros, first by how many there are, so any length will do.
+    """
+    runs = F.split(_c(label), r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
+    number, none = lambda p: p.rlike(r"^\d+$"), F.array().cast("array<string>")
+    blank = F.array(F.lit(""))
+    runs = F.concat(F.when(number(F.element_at(runs, 1)), blank).otherwise(none), runs, F.when(number(F.element_at(runs, -1)), blank).otherwise(none))
+    bare = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    one = lambda p: F.struct(F.when(number(p), F.length(bare(p))).otherwise(0).alias("digits"), F.when(number(p), bare(p)).otherwise(F.lower(p)).alias("text"))
+    return F.transform(runs, one)
 
 
 def mentioned_versions(query: Column | str, labels: Column) -> Column:
@@ -154,8 +164,17 @@ def is_reference_only(text: Column | str) -> Column:
     return (low == "") | low.rlike(REFERENCE_ONLY)
 
 
-def qualifying_passage(text: Column | str) -> Column:
-    return F.length(_c(text)).between(200, 1800) & ~is_reference_only(text)
+def qualifying_passage(text: Column | str, kind: Column | None = None, reference: Column | None = None) -> Column:
+    """Length, kind (text or table) and not a mere reference; ``reference`` marks rows that are known to be one."""
+    ok = F.length(_c(text)).between(200, 1800) & ~is_reference_only(text)
+    ok = ok if kind is None else ok & kind.isin("text", "table")
+    return ok if reference is None else ok & ~F.coalesce(reference, F.lit(False))
+
+
+def reference_record(metadata: Column, lineage: Column) -> Column:
+    """Rows known to be references: flagged, or restored from one (fixed prefix)."""
+    flag = F.lower(F.coalesce(F.try_element_at(metadata, F.lit("reference_only")), F.lit("")))
+    return ~flag.isin("", "false", "0") | F.startswith(lineage, F.lit("pg-section:xref-restored-"))
 
 
 def embedding_text(title: Column | str, version: Column | str, path: Column) -> Column:

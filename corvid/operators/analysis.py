@@ -11,17 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvid.functions import text as X
+from corvid.operators.ranking import small
 from corvid.tables import Scratch
 
 
 # --- mining -------------------------------------------------------------------------------------
 def version_terms_diff(records: DataFrame) -> DataFrame:
-    """Terms that each lineage gains and loses between adjacent versions; renamed if one of each."""
-    terms = records.groupBy("lineage", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(X.tokenize("text"))))).alias("terms"))
-    w = Window.partitionBy("lineage").orderBy("version")
-    pairs = terms.withColumn("next_version", F.lead("version").over(w)).withColumn("next_terms", F.lead("terms").over(w)).where("next_version is not null")
-    added, removed = F.array_except("next_terms", "terms"), F.array_except("terms", "next_terms")
-    return pairs.select("lineage", "version", "next_version", F.size(added).alias("n_added"), F.size(removed).alias("n_removed"), ((F.size(added) == 1) & (F.size(removed) == 1)).alias("renamed"))
+    """Number of terms that each lineage gains and loses between adjacent versions; renamed if one of each.
+
+    Terms are distinct rows, so no row holds the words of a group; a pair of versions meets term by term.
+    """
+    terms = records.select("lineage", "version", F.explode(X.tokenize("text")).alias("term")).distinct()
+    own = records.select("lineage", "version").distinct()
+    pairs = own.withColumn("next_version", F.lead("version").over(Window.partitionBy("lineage").orderBy("version"))).where("next_version is not null")
+    pairs = small(pairs)
+    left = terms.join(pairs, ["lineage", "version"]).select("lineage", "version", "term", F.lit(1).alias("old"), F.lit(0).alias("new"))
+    right = terms.withColumnRenamed("version", "next_version").join(pairs, ["lineage", "next_version"]).select("lineage", "version", "term", F.lit(0).alias("old"), F.lit(1).alias("new"))
+    met = left.unionByName(right).groupBy("lineage", "version", "term").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    n = met.groupBy("lineage", "version").agg(F.sum(F.col("new") * (1 - F.col("old"))).alias("n_added"), F.sum(F.col("old") * (1 - F.col("new"))).alias("n_removed"))
+    out = pairs.join(n, ["lineage", "version"], "left").fillna(0, ["n_added", "n_removed"])
+    return out.select("lineage", "version", "next_version", "n_added", "n_removed", ((F.col("n_added") == 1) & (F.col("n_removed") == 1)).alias("renamed"))
 
 
 def combined_text(records: DataFrame) -> DataFrame:
@@ -77,17 +86,24 @@ def migrate_splits(labelled: DataFrame, comp: DataFrame) -> DataFrame:
 def leaking(passages: DataFrame, quotes: DataFrame) -> DataFrame:
     """``chunk_id, quote_id`` where the normalised quote stands in the normalised passage.
 
-    Quotes are matched by their first eight words (or all, if fewer) before the substring test, so it is
-    an equi-join; a quote cut inside a word at its start would not be found and is out of scope.
+    A quote is keyed by the rarest of its inner words, which stand whole in any passage that holds it, by measured
+    document frequency; the substring test follows. Quotes of one or two words may be cut inside words, so every
+    passage is tested for these, in one pass over a list that is broadcast in blocks.
     """
     q = quotes.select("quote_id", X.normalize("quote").alias("quote")).where("quote <> ''").withColumn("w", F.split("quote", " "))
-    q = q.withColumn("lead", F.when(F.size("w") > 2, F.get("w", 1)).otherwise(F.lit(None)))
-    long = q.where("lead is not null").drop("w")
+    inner = q.where(F.size("w") > 2).select("quote_id", "quote", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("lead"))
     p = passages.select("chunk_id", X.normalize("text").alias("body"))
     words = p.select("chunk_id", F.explode(F.array_distinct(F.split("body", " "))).alias("lead"))
-    found = words.join(F.broadcast(long), "lead").select("chunk_id", "quote_id", "quote").join(p, "chunk_id").where(F.contains("body", F.col("quote")))
-    short = p.crossJoin(F.broadcast(q.where("lead is null").drop("w", "lead"))).where(F.contains("body", F.col("quote")))
-    return found.select("chunk_id", "quote_id").union(short.select("chunk_id", "quote_id")).distinct()
+    words = words.join(small(inner.select("lead").distinct()), "lead", "left_semi")
+    frequency = words.groupBy("lead").agg(F.count("*").alias("df"))
+    # a word that no passage has decides the quote as well: nothing can hold it
+    rarest = inner.join(frequency, "lead", "left").groupBy("quote_id", "quote").agg(F.min_by("lead", F.struct(F.coalesce("df", F.lit(0)), "lead")).alias("lead"))
+    found = words.join(small(rarest), "lead").select("chunk_id", "quote_id", "quote").join(p, "chunk_id").where(F.contains("body", F.col("quote")))
+    short = q.where(F.size("w") <= 2).select("quote_id", "quote")
+    block = F.array_agg(F.struct("quote_id", "quote"))
+    lists = short.groupBy(F.pmod(F.xxhash64("quote_id"), F.lit(64)).alias("b")).agg(block.alias("list"))
+    hits = p.join(small(lists)).select("chunk_id", F.explode(F.filter("list", lambda x: F.contains(F.col("body"), x["quote"]))).alias("x"))
+    return found.select("chunk_id", "quote_id").union(hits.select("chunk_id", "x.quote_id")).distinct()
 
 
 def round_robin(rows: DataFrame, family: str, order: list[Column], budget: int) -> DataFrame:
@@ -111,32 +127,16 @@ def hard_negatives(rank_a: DataFrame, rank_b: DataFrame, allowed: DataFrame, low
 
 
 def near_duplicate(a: str, b: str, ratio: float = 0.92) -> bool:
-    """Equal after normalising, or alike by matching blocks."""
+    """Equal after normalising, or alike by matching blocks; a blank text is like nothing."""
     a, b = (" ".join(x.split()).casefold() for x in (a, b))
+    if not a or not b:
+        return False
     if a == b:
         return True
     m = difflib.SequenceMatcher(None, a, b, autojunk=False)
     return m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio
 
 
-def greedy_distinct(rows: DataFrame, group: str, key: str, text: str, ratio: float = 0.92) -> DataFrame:
-    """Within each group, in order of key: keep a text unless it is nearly a kept one. Groups are bounded by design."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        flags = []
-        pdf = pdf.sort_values(key)
-        for t in pdf[text]:
-            new = not any(near_duplicate(t, k, ratio) for k in kept)
-            flags.append(new)
-            if new:
-                kept.append(t)
-        return pdf[[group, key]].assign(kept=flags)
-
-    kinds = dict(rows.dtypes)
-    return rows.select(group, key, text).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, kept boolean")
-
-
 # --- evaluation ---------------------------------------------------------------------------------
 def question_metrics(ranks: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Recall, completeness, reciprocal rank and nDCG of each question.
@@ -210,29 +210,55 @@ def extractive_answers(matches: DataFrame, queries: DataFrame, stopwords: list[s
     return picked.groupBy("qid").agg(F.concat(F.lit("Based on the indexed evidence: "), F.array_join(F.array_distinct(ordered), " ")).alias("answer"), F.count("*").alias("n_citations"))
 
 
-def abstention_reason(answer: str = "answer", evidence: str = "evidence") -> Column:
-    """First failing check of an answer against its evidence, or null."""
-    cited = F.array_sort(F.array_distinct(X.citation_markers(answer)))
-    return (
-        F.when(F.lower(F.trim(F.col(answer))) == "not found", "insufficient_evidence")
-        .when(X.has_injection(answer), "prompt_injection")
-        .when((F.size(cited) == 0) & ~F.contains(F.col(evidence), F.col(answer)), "missing_citation_markers")
-        .when(X.lexical_support(answer, evidence) < 0.65, "unsupported_claim")
-    )
+# --- observation --------------------------------------------------------------------------------
+#: Ranges into which the values of a group are cut to find a rank.
+RANGES = 512
+
+
+def values_at(rows: DataFrame, by: list[str], value: str, places: list[Column], names: list[str]) -> DataFrame:
+    """``by, n`` and for each name the value at a place (from 1, in terms of ``n``) of the sorted group; nulls left out.
+
+    Groups may be of any size: values are cut into ranges by approximate quantiles, the range that holds a place is
+    found from counts, and only rows of such ranges are put in order. Equal values lie in one range, as counted values.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    cuts = own.groupBy(*by).agg(F.array_distinct(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).alias("cuts"), F.count("*").alias("n"))
+    cuts = small(cuts)
+    held = own.groupBy(*by, "v").agg(F.count("*").alias("c")).join(cuts, by).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
+    parts = held.groupBy(*by, "part").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = parts.withColumn("want", F.explode(F.array(*[F.struct(F.lit(m).alias("name"), p.cast("long").alias("place")) for m, p in zip(names, places, strict=True)])))
+    at = at.where((F.col("want.place") > F.col("before")) & (F.col("want.place") <= F.col("before") + F.col("c"))).select(*by, "part", "before", "want.name", "want.place")
+    inside = held.select(*by, "part", "v", "c").join(small(at), [*by, "part"])
+    order = Window.partitionBy(*by, "part", "name").orderBy("v")
+    inside = inside.withColumn("upto", F.col("before") + F.sum("c").over(order)).where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("c") < F.col("place")))
+    found = inside.groupBy(*by).agg(*[F.max(F.when(F.col("name") == m, F.col("v"))).alias(m) for m in names])
+    return cuts.select(*by, "n").join(found, by, "left")
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """``by, n`` and continuous percentiles: between the two nearest places, by distance."""
+    places, names = [], []
+    for name, q in qs.items():
+        at = (F.col("n") - 1) * F.lit(q)
+        places += [F.floor(at) + 1, F.ceil(at) + 1]
+        names += [f"{name}_low", f"{name}_high"]
+    v = values_at(rows, by, value, places, names)
+    part = lambda q: (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
+    return v.select(*by, "n", *[F.round(F.col(f"{m}_low") + part(q) * (F.col(f"{m}_high") - F.col(f"{m}_low")), 6).alias(m) for m, q in qs.items()])
 
 
-# --- observation --------------------------------------------------------------------------------
 def latency_summary(traces: DataFrame, by: list[str], latency: str) -> DataFrame:
     """Count, mean and continuous percentiles of latency."""
-    return traces.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(latency), 6).alias("mean"), *[F.round(F.percentile(latency, q), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.95)])
+    mean = traces.groupBy(*by).agg(F.round(F.avg(latency), 6).alias("mean"))
+    return percentiles(traces, by, latency, {"p50": 0.5, "p95": 0.95}).join(small(mean), by).select(*by, "n", "mean", "p50", "p95")
 
 
 def nearest_rank(traces: DataFrame, by: list[str], latency: str, qs: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """Percentiles as the value at place ``min(n, floor(n q) + 1)`` of the sorted group."""
-    w = Window.partitionBy(*by)
-    placed = traces.select(*by, latency).withColumn("rn", F.row_number().over(w.orderBy(latency))).withColumn("n", F.count("*").over(w))
-    at = lambda q: F.col("rn") == F.least(F.col("n"), F.floor(F.col("n") * q) + 1)
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), *[F.round(F.max(F.when(at(q), F.col(latency))), 6).alias(f"rank_p{int(q * 100)}") for q in qs])
+    names = [f"rank_p{int(q * 100)}" for q in qs]
+    v = values_at(traces, by, latency, [F.least(F.col("n"), F.floor(F.col("n") * q) + 1) for q in qs], names)
+    return v.select(*by, "n", *[F.round(m, 6).alias(m) for m in names])
 
 
 def rate_limited(events: DataFrame, key: str, ts: str, limit: int, seconds: int) -> DataFrame:

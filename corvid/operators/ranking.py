@@ -15,13 +15,15 @@ from corvid.functions import vectors as V
 
 K1, B = 1.2, 0.75
 DIGITS = 6
-#: A side is broadcast only below this many rows, counted first.
+#: A side is broadcast only below this many rows and bytes, measured first.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``size`` bytes (as JSON), else as it is."""
+    n, held = df.limit(rows + 1).agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
@@ -62,19 +64,30 @@ def bm25(chunks: DataFrame, queries: DataFrame, group: list[str] | None = None)
     group = group or []
     asked = queries.select("qid", *group, F.explode(F.array_distinct(X.tokenize("query"))).alias("term"))
     wanted = small(asked.select(*group, "term").distinct())
-    postings = term_counts(chunks, group).join(wanted, [*group, "term"], "left_semi")
+    # the semi-join stands before the counts, so terms that nobody asks for are never shuffled
+    tokens = chunks.select("chunk_id", *group, F.explode(F.array(X.tokenize("text"))).alias("tokens"))
+    terms = tokens.select("chunk_id", *group, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, [*group, "term"], "left_semi")
+    postings = terms.groupBy("chunk_id", *group, "term", "length").agg(F.count("*").alias("tf"))
     frequency = postings.groupBy(*group, "term").agg(F.count("*").alias("df"))
     stats = corpus_stats(chunks, group)
     hits = postings.join(frequency, [*group, "term"]).join(small(asked), [*group, "term"])
-    hits = hits.join(small(stats), group) if group else hits.crossJoin(F.broadcast(stats))
+    hits = hits.join(stats, group) if group else hits.crossJoin(F.broadcast(stats))
     tf = F.col("tf")
     part = idf(F.col("n"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     return hits.groupBy("qid", "chunk_id").agg(F.sum(part).alias("score")).where(F.col("score") > 0)
 
 
 def dense(vectors: DataFrame, queries: DataFrame, score=V.cosine) -> DataFrame:
-    """``qid, chunk_id, score`` of every chunk for every query of the batch, whose size is checked."""
-    return vectors.join(small(queries.select("qid", F.col("embedding").alias("q"))), how="cross").select("qid", "chunk_id", score("q", "embedding").alias("score"))
+    """``qid, chunk_id, score`` of every chunk for every query of the batch, whose size is checked.
+
+    For cosine, vectors are scaled to unit length once each, so a pair costs one product; other scores take the pair.
+    """
+    if score is not V.cosine:
+        return vectors.join(small(queries.select("qid", F.col("embedding").alias("q"))), how="cross").select("qid", "chunk_id", score("q", "embedding").alias("score"))
+    q = queries.select("qid", V.norm("embedding").alias("n"), F.col("embedding").cast("array<double>").alias("e")).select("qid", F.when(F.col("n") > 0, F.transform("e", lambda x: x / F.col("n"))).alias("q"))
+    v = vectors.select("chunk_id", V.norm("embedding").alias("n"), F.col("embedding").cast("array<double>").alias("e")).select("chunk_id", F.when(F.col("n") > 0, F.transform("e", lambda x: x / F.col("n"))).alias("v"))
+    pair = F.when(F.size("q") == F.size("v"), V.dot("q", "v")).otherwise(F.lit(0.0))
+    return v.join(small(q), how="cross").select("qid", "chunk_id", F.coalesce(pair, F.lit(0.0)).alias("score"))
 
 
 def fuse(dense_list: DataFrame, sparse_list: DataFrame, method: str = "rrf", alpha: float = 0.5, rrf_k: int = 60) -> DataFrame:
@@ -101,7 +114,11 @@ def one_pass(dense_scores: DataFrame, sparse_scores: DataFrame, chunks: DataFram
     """Blend over all eligible chunks: scales are the maxima over every row, not over candidates."""
     d = dense_scores.select("qid", "chunk_id", F.col("score").alias("dense_score"))
     s = sparse_scores.select("qid", "chunk_id", F.col("score").alias("sparse_score"))
-    both = d.join(s, ["qid", "chunk_id"], "left").withColumn("hybrid_score", F.round(alpha * _scaled("dense_score") + (1 - alpha) * _scaled("sparse_score"), DIGITS))
+    # maxima by partial aggregation, so that no task holds all chunks of a question
+    most = d.groupBy("qid").agg(F.max("dense_score").alias("d")).join(s.groupBy("qid").agg(F.max("sparse_score").alias("s")), "qid", "left")
+    share = lambda c, m: F.when(F.col(m) > 0, F.greatest(F.coalesce(F.col(c), F.lit(0.0)), F.lit(0.0)) / F.col(m)).otherwise(F.lit(0.0))
+    both = d.join(s, ["qid", "chunk_id"], "left").join(most, "qid")
+    both = both.withColumn("hybrid_score", F.round(alpha * share("dense_score", "d") + (1 - alpha) * share("sparse_score", "s"), DIGITS))
     both = both.withColumn("sparse_score", F.round(F.coalesce("sparse_score", F.lit(0.0)), DIGITS))
     return top_k(both, k, ["qid"], [F.desc("hybrid_score"), F.desc("sparse_score"), F.asc("chunk_id")]).select("qid", "chunk_id", "hybrid_score", "sparse_score", "rank")
 
@@ -118,12 +135,15 @@ def zero_fill(fused: DataFrame, chunk_ids: DataFrame, k: int) -> DataFrame:
 
 
 def rerank_overlap(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, top_n: int, weight: float = 0.65) -> DataFrame:
-    """The first ``top_n`` by hybrid score blended with query-term overlap; the tail follows in its order."""
+    """The first ``top_n`` by hybrid score blended with query-term overlap; the tail follows in its order.
+
+    The blend has three digits more than the score in it, so that no product of both lies half way between two roundings.
+    """
     texts = candidates.join(chunks.select("chunk_id", "text"), "chunk_id").join(small(queries.select("qid", "query")), "qid")
     terms, found = F.array_distinct(X.tokenize("query")), F.array_distinct(X.tokenize("text"))
     overlap = F.size(F.array_intersect(terms, found)) / F.greatest(F.size(terms), F.lit(1))
     head = F.col("rank") <= top_n
-    scored = texts.withColumn("rerank_score", F.when(head, F.round(weight * F.col("hybrid_score") + (1 - weight) * overlap, DIGITS)))
+    scored = texts.withColumn("rerank_score", F.when(head, F.round(weight * F.col("hybrid_score") + (1 - weight) * overlap, DIGITS + 3)))
     order = [F.asc(F.when(head, 0).otherwise(1)), F.desc("rerank_score"), F.desc(F.when(head, F.col("sparse_score"))), F.asc(F.when(head, F.lit(0)).otherwise(F.col("rank"))), F.asc("chunk_id")]
     return scored.withColumn("final_rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).select("qid", "chunk_id", "hybrid_score", "rerank_score", F.col("final_rank").alias("rank"))
 

@@ -11,7 +11,7 @@ from corvid.operators import access as A
 from corvid.operators import analysis as N
 from corvid.operators import ingest as I
 from corvid.operators import ranking as R
-from corvid.plans import queries as Q
+from corvid.plans import catalogue as Q
 from corvid.sources import files
 from corvid.streaming import jobs
 
@@ -23,7 +23,7 @@ def one(spark, column):
 
 
 def test_tokens(spark):
-    assert one(spark, X.tokenize(F.lit("Alpha max_wal_senders AC-2(1)"))) == ["alpha", "alpha", "max_wal_senders", "max", "wal", "senders", "ac-2(1)", "ac", "2", "1"]
+    assert one(spark, X.tokenize(F.lit("Disk/IO, by X_1 in fs.open(3)!"))) == ["disk/io", "disk", "io", "by", "by", "x_1", "x", "1", "in", "in", "fs.open(3)", "fs", "open", "3"]
 
 
 def test_windows(spark):
@@ -40,14 +40,17 @@ def test_versions(spark):
     labels = F.array(F.lit("16"), F.lit("17"))
     assert one(spark, X.mentioned_versions(F.lit("What changed in PostgreSQL 17?"), labels)) == ["17"]
     rows = spark.createDataFrame([("d", "9.6"), ("d", "10"), ("d", "v2")], "document_id string, version string")
-    assert A.latest_versions(rows).first().version == "10"
+    assert A.latest_versions(rows).first().version == "v2"
+    rows = spark.createDataFrame([("d", "9.6"), ("d", "10"), ("d", "9.10"), ("e", "1" * 30), ("e", "9" * 29), ("f", "r007"), ("f", "R8")], "document_id string, version string")
+    assert {r.document_id: r.version for r in A.latest_versions(rows).collect()} == {"d": "10", "e": "1" * 30, "f": "R8"}
 
 
 def test_weighted_fusion(spark):
-    d = spark.createDataFrame([(1, "a", 0.2, 2), (1, "b", 1.0, 1)], "qid int, chunk_id string, score double, rank int")
-    s = spark.createDataFrame([(1, "a", 1.0, 1), (1, "b", 0.2, 2)], "qid int, chunk_id string, score double, rank int")
-    first = R.fuse(d, s, "weighted", 0.3).orderBy("rank").first()
-    assert (first.chunk_id, first.hybrid_score) == ("a", 0.76)
+    """Scores 4 and 2 of one list, -1 (held at 0), 8 and 6 of the other: scaled to 1 and .5, and to 0, 1 and .75."""
+    d = spark.createDataFrame([(7, 10, 4.0, 1), (7, 11, 2.0, 2)], "qid int, chunk_id int, score double, rank int")
+    s = spark.createDataFrame([(7, 10, -1.0, 3), (7, 11, 6.0, 2), (7, 12, 8.0, 1)], "qid int, chunk_id int, score double, rank int")
+    got = [(r.chunk_id, r.hybrid_score) for r in R.fuse(d, s, "weighted", 0.4).orderBy("rank").collect()]
+    assert got == [(11, 0.65), (12, 0.6), (10, 0.4)]
 
 
 def test_acl_policies(spark):
@@ -61,11 +64,19 @@ def test_acl_policies(spark):
 
 
 def test_html_and_markdown(spark):
-    html = "<h1>Top</h1><p>one <b>two</b></p><table><tr><th>a</th><th>b</th></tr><tr><td>1</td></tr></table><pre>x = 1\n</pre><h2>Sub</h2><p>end</p>"
-    got = [(r.section_path, r.kind, r.text) for r in I.html_sections(spark.createDataFrame([(1, html)], "page_id int, html string")).orderBy("pos").collect()]
-    assert got == [(["Top"], "text", "one two"), (["Top"], "table", "| a | b |\n| --- | --- |\n| 1 |  |"), (["Top"], "code", "x = 1"), (["Top", "Sub"], "text", "end")]
-    md = "# A\nhi\n## B\n| x | y |\n| --- | --- |\n| 1 | 2 |\n\n```\n# no\n```\n# C\nend"
-    assert [(p, k) for _, _, p, k, _ in I.split_markdown(md)] == [(["A"], "text"), (["A", "B"], "table"), (["A", "B"], "code"), (["C"], "text")]
+    html = (
+        "<title>T</title><h1>Top <i>rest</i></h1><p>one <b>two</b></p><li>three<p>four</p>"
+        "<table><tr><td>a</td><td>b</td></tr><tr><td>1</td></tr>stray</table><table><tr><th>h</th></tr><tr><td>x</td></tr></table>"
+        "<table summary='Navigation bar'><tr><td>skip</td></tr></table><pre>  y = 1\n<pre>z</pre></pre><h2>Sub</h2><p>end"
+    )
+    got = [(r.heading, r.level, r.kind, r.text) for r in I.html_sections(spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")).orderBy("pos").collect()]
+    assert got == [
+        (None, 0, "text", "T"), ("Top", 1, "text", "Top"), (None, 0, "text", "one two"), (None, 0, "text", "three four"), (None, 0, "table", "| a | b |\n| 1 |  |"),
+        (None, 0, "table", "| h |\n| --- |\n| x |"), (None, 0, "code", "y = 1\nz"), ("Sub", 2, "text", "Sub"), (None, 0, "text", "end"),
+    ]
+    md = "intro\n# A\nhi\n## B\ncap\n\n| x | y |\n| --- | --- |\n| 1 | 2 |\n\n~~~\n# no\n~~~\n# C"
+    rows = I.markdown_sections(spark.createDataFrame([(1, md)], "doc_id int, text string")).orderBy("pos").collect()
+    assert [(r.heading, r.kind, r.text) for r in rows] == [(None, "text", "intro"), ("A", "text", "hi"), ("B", "table", "cap\n\n| x | y |\n| --- | --- |\n| 1 | 2 |"), ("B", "code", "~~~\n# no\n~~~"), ("C", "text", "C")]
 
 
 def test_heading_paths(spark):
@@ -94,6 +105,7 @@ def test_split_migration(spark):
 
 def test_near_duplicates_and_embedding():
     assert N.near_duplicate("The same Words here", "the  same words here") and not N.near_duplicate("abc def", "xyz uvw")
+    assert not N.near_duplicate(" ", "") and not N.near_duplicate("", "a")
     v = I.hash_embed(["a", "a"], 16)
     assert abs(sum(x * x for x in v) - 1) < 1e-12 and I.hash_embed([], 8) == [0.0] * 8
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from corvid.plans import queries as Q
+from corvid.plans import catalogue as Q
 
 TABLES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(TABLES), reason="no test tables")
