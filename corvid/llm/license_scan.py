@@ -1,14 +1,17 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a file (and the whole text of a file named like a licence) is a segment. Segments are
+Segments of a file are its lines, its paragraphs (runs of lines with a letter or digit, so comment marks do not
+matter and a wrapped header is one segment) and, in a file named like a licence, the whole text. Segments are
 compared with the templates by the cosine of TF-IDF vectors; terms are ASCII letters and digits in
 lower case, the inverse document frequency comes from the templates, and a term that no template has
-weighs most. The best template at or above ``threshold`` is the file's own licence. A file without
-one takes the licence of the licence file in its nearest ancestor directory.
+weighs most; stop words weigh nothing. The best template at or above ``threshold`` is the file's own licence. A file without
+one takes the licence of the licence file in its nearest ancestor directory. Long licences are known by
+their title, notice and grant, as they stand in every copy.
 
 Only segments with an anchor term are scored. Anchors are, per template, terms (function words last, else
 the heaviest) without which the rest of the vector is shorter than the threshold, so by Cauchy-Schwarz no segment without
-an anchor can reach it. Detection needs no shuffle; inheritance joins distinct directories, not
+an anchor can reach it. A text is cut into terms once, and only one with an anchor is cut into segments. Detection needs
+no shuffle; inheritance joins distinct directories, not
 files, to licensed directories over path prefixes. All of it is DataFrame functions.
 
 Defined results: null texts and paths detect and inherit nothing (a null path can still have a
@@ -32,27 +35,81 @@ from .cluster import free_column, materialise
 THRESHOLD = 0.75
 LICENSE_NAME = r"(?i)^(licen[sc]e|copying|notice|unlicense)([._-].*)?$"
 
-#: Notices that stand for licences, several for one licence where wordings differ.
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without '
+    "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+    "Software is furnished to do so, subject to the following conditions:"
+)
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+    "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_INCLUDED = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+    "http://www.apache.org/licenses/LICENSE-2.0"
+)
+_APACHE_REST = (
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either '
+    "express or implied. See the License for the specific language governing permissions and limitations under the License."
+)
+
+
+def _gnu(program: str, name: str, version: str) -> str:
+    return (
+        f"This {program} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation, "
+        f"either version {version} of the License, or (at your option) any later version."
+    )
+
+
+#: Identifiers that stand in SPDX tags.
+SPDX = ["Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-or-later", "AGPL-3.0-or-later"]
+
+#: Titles, notices and grants that stand for licences, several for one licence where wordings differ.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", f"{_APACHE} {_APACHE_REST}"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", _MIT),
+    ("MIT", f"{_MIT} {_INCLUDED} {_AS_IS}"),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0-or-later", _gnu("program", "", "3")),
+    ("GPL-2.0-or-later", _gnu("program", "", "2")),
     ("LGPL-2.1-only", "Licensed under the GNU Lesser General Public License, version 2.1."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that conditions hold"),
+    ("LGPL-3.0-or-later", _gnu("library", "Lesser", "3")),
+    ("AGPL-3.0-or-later", _gnu("program", "Affero", "3")),
+    ("BSD-3-Clause", _BSD),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause", "Licensed under the 3-Clause BSD License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights; CC0 1.0 public domain dedication."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("all-rights-reserved", "All rights reserved."),
+    *[(name, f"SPDX-License-Identifier: {name}") for name in SPDX],
 ]
-#: Words that anchor a template only where its other words do not suffice, as they stand in any prose.
-FUNCTION_WORDS = set("a all an and any are as at be by for from has have in into is it may not of on or that the this to under with you 0 1 2 3 4".split())
+#: Words that anchor a template only where its other words do not suffice, as they stand in any prose, of other languages too.
+FUNCTION_WORDS = set(
+    "mit a all an and any are as at be by for from has have in into is it may not of on or that the this to under with you 0 1 2 3 4 was were been do does done no nor only one if other others so see your out can its but either neither name names free general work use used person persons file files form forms kind law met could would should shall whom whether without including included following above action anyone author "
+    "authors basis below case change claim code copy copies deal event extent fee issue later language limited made make more most obtain option part place portions possible prior program provided public publish published purpose required same sell several some source specific subject such terms than their them then there these they those time upon us user version way we what when where which while who will within writing".split()
+)
+#: Words without weight on either side.
+STOP_WORDS = sorted(
+    "a all an and any are as at be been but by can do for from has have in into is it its no nor not of on or other so than that the their them then there these they this those to under was were "
+    "what when where which while who will with within without would you your".split()
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,9 +131,9 @@ class Templates:
     @staticmethod
     def of(templates: list[tuple[str, str]], threshold: float) -> Templates:
         counts = [Counter(terms_of(text)) for _, text in templates]
-        vocabulary = sorted(set().union(*counts))
+        vocabulary = sorted(set().union(STOP_WORDS, *counts))
         n = len(templates)
-        idf = {t: round(math.log((1 + n) / (1 + sum(t in c for c in counts))) + 1, 9) for t in vocabulary}
+        idf = {t: 0.0 if t in STOP_WORDS else round(math.log((1 + n) / (1 + sum(t in c for c in counts))) + 1, 9) for t in vocabulary}
         vectors, anchors = [], set()
         for c in counts:
             raw = {t: c[t] * idf[t] for t in c}
@@ -91,10 +148,6 @@ class Templates:
                 rest -= unit[t] ** 2
         return Templates([name for name, _ in templates], vocabulary, [idf[t] for t in vocabulary], round(math.log(1 + n) + 1, 9), vectors, sorted(anchors))
 
-    @property
-    def anchor_pattern(self) -> str:
-        return "(?i)(^|[^a-z0-9])(" + "|".join(self.anchors) + ")([^a-z0-9]|$)"
-
 
 def _literal(value: object, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
@@ -104,36 +157,53 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _best(segment: Column, t: Templates) -> Column:
-    """Struct of the best score (6 decimals) and the negated number of its template."""
-    vocabulary = _literal([{"term": v, "idf": w, "at": k} for k, (v, w) in enumerate(zip(t.vocabulary, t.idf, strict=True))], "array<struct<term:string,idf:double,at:int>>")
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+#: Between paragraphs: at least one line without a letter or digit.
+_BETWEEN = r"\n(?:[^A-Za-z0-9\n]*\n)+"
+
+
+def _best(terms: Column, t: Templates, threshold: float) -> Column:
+    """Struct of the best score (6 decimals) and the negated number of its template, from a segment's terms.
+
+    Null where no score can reach the threshold: a score is at most the share of the known terms in the segment's
+    length, and each distinct unknown term adds its weight to the rest at least once. So prose costs two set operations.
+    """
+    weighty = [(k, v, w) for k, (v, w) in enumerate(zip(t.vocabulary, t.idf, strict=True)) if w]
+    vocabulary = _literal([{"term": v, "idf": w, "at": k} for k, v, w in weighty], "array<struct<term:string,idf:double,at:int>>")
     vectors = _literal([{"i": -i, "w": v} for i, v in enumerate(t.vectors)], "array<struct<i:int,w:array<double>>>")
     known = _literal(t.vocabulary, "array<string>")
-    zero = F.lit(0.0)
+    zero, heavy = F.lit(0.0), t.unseen_idf**2
 
-    def with_terms(terms: Column) -> Column:
-        present = F.filter(vocabulary, lambda v: F.array_contains(terms, v["term"]))
-        weighted = F.transform(present, lambda v: F.struct(v["at"].alias("at"), (F.size(F.filter(terms, lambda x: x == v["term"])) * v["idf"]).alias("x")))
-        others = F.array_sort(F.filter(terms, lambda x: ~F.array_contains(known, x)))
+    def unseen_of(others: Column) -> Column:
         start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), zero.alias("total"))
 
         def count(acc: Column, x: Column) -> Column:
             run = F.when(acc["last"] == x, acc["run"] + 1.0).otherwise(F.lit(1.0))
             return F.struct(x.alias("last"), run.alias("run"), (acc["total"] + 2.0 * run - 1.0).alias("total"))
 
-        unseen = F.aggregate(others, start, count, lambda acc: acc["total"]) * (t.unseen_idf**2)
+        return F.aggregate(others, start, count, lambda acc: acc["total"]) * heavy
 
-        def with_weights(w: Column) -> Column:
-            norm = F.sqrt(F.aggregate(w, zero, lambda acc, p: acc + p["x"] * p["x"]) + unseen)
+    def with_weights(w: Column) -> Column:
+        def with_length(own: Column) -> Column:
+            others = F.array_sort(F.filter(terms, lambda x: ~F.array_contains(known, x)))
+            norm = F.nullif(F.sqrt(own + unseen_of(others)), zero)
             scored = F.transform(
                 vectors,
                 lambda v: F.struct(F.round(F.aggregate(w, zero, lambda acc, p: acc + p["x"] * F.get(v["w"], p["at"])) / norm, 6).alias("score"), v["i"].alias("i")),
             )
-            return F.array_max(scored)
+            least = own + F.size(F.array_except(terms, known)) * heavy
+            return F.when((own > 0) & (own * (1 + 1e-6) >= threshold**2 * least * (1 - 1e-6)), F.array_max(scored))
+
+        return _let(F.aggregate(w, zero, lambda acc, p: acc + p["x"] * p["x"]), with_length)
 
-        return _let(weighted, with_weights)
+    def with_held(held: Column) -> Column:
+        present = F.filter(vocabulary, lambda v: F.array_contains(held, v["term"]))
+        return _let(F.transform(present, lambda v: F.struct(v["at"].alias("at"), (F.size(F.filter(terms, lambda x: x == v["term"])) * v["idf"]).alias("x"))), with_weights)
 
-    return _let(F.regexp_extract_all(F.translate(segment, _UPPER, _LOWER), F.lit("[a-z0-9]+"), F.lit(0)), with_terms)
+    return _let(F.array_intersect(terms, known), with_held)
 
 
 def file_name(path: Column) -> Column:
@@ -148,10 +218,15 @@ def directory(path: Column) -> Column:
 def detect(files: DataFrame, *, text: str = "text", path: str = "path", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, out: str = "own") -> DataFrame:
     """``files`` with the struct ``out``: name, score and whether the file is a licence file; null name if none."""
     t = Templates.of(templates, threshold)
+    anchors = _literal(t.anchors, "array<string>")
     is_file = F.coalesce(file_name(F.col(path)).rlike(LICENSE_NAME), F.lit(False))
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(t.anchor_pattern))
-    segments = F.when(is_file, F.concat(lines, F.array(F.col(text)))).otherwise(lines)
-    best = F.when(F.col(text).rlike(t.anchor_pattern), F.array_max(F.transform(segments, lambda s: _best(s, t))))
+    anchored = lambda pieces: F.filter(F.transform(pieces, _terms), lambda x: F.arrays_overlap(x, anchors))
+    # a paragraph of one line is that line
+    several = F.filter(F.split(F.col(text), _BETWEEN), lambda p: F.contains(p, F.lit("\n")))
+    lines, paragraphs = anchored(F.split(F.col(text), "\n")), anchored(several)
+    whole = F.when(is_file, F.array(_terms(F.col(text)))).otherwise(F.array().cast("array<array<string>>"))
+    segments = F.concat(lines, paragraphs, whole)
+    best = F.when(F.arrays_overlap(_terms(F.col(text)), anchors), F.array_max(F.transform(segments, lambda s: _best(s, t, threshold))))
     hit = free_column(files, "hit")
     found = F.col(hit)["score"] >= threshold
     name = F.get(_literal(t.names, "array<string>"), -F.col(hit)["i"])
@@ -209,12 +284,18 @@ def license_report(files: DataFrame, *, key: str = "doc_id", **options) -> DataF
 
 
 def _report_sql() -> str:
-    t = Templates.of(TEMPLATES, THRESHOLD)
-    vectors = ", ".join(f"({i}, '{name}', '{term}', {w!r}::DOUBLE)" for i, (name, v) in enumerate(zip(t.names, t.vectors, strict=True)) for term, w in zip(t.vocabulary, v, strict=True) if w)
-    idf = ", ".join(f"('{term}', {w!r}::DOUBLE)" for term, w in zip(t.vocabulary, t.idf, strict=True))
+    """The same from the templates' texts: SQL makes the terms, frequencies and vectors itself, and scores every segment."""
+    quoted = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+    stops = ", ".join(f"('{t}')" for t in STOP_WORDS)
+    cut = f"regexp_extract_all(translate({{0}}, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+')"
     return f"""
-WITH vectors(i, name, term, w) AS (VALUES {vectors}),
-idf(term, w) AS (VALUES {idf}),
+WITH templates(i, name, body) AS (VALUES {quoted}),
+tt AS (SELECT i, name, term, count(*) AS n FROM (SELECT i, name, unnest({cut.format('body')}) AS term FROM templates) GROUP BY ALL),
+stop(term) AS (VALUES {stops}),
+idf AS (SELECT term, CASE WHEN term IN (FROM stop) THEN 0 ELSE round(ln((1 + (SELECT count(*) FROM templates))::DOUBLE / (1 + count(i))) + 1, 9) END AS w FROM (SELECT i, term FROM tt UNION ALL SELECT NULL, term FROM stop) GROUP BY term),
+unseen AS (SELECT round(ln(1 + count(*)) + 1, 9) AS w FROM templates),
+lengths AS (SELECT i, sqrt(sum(n * w * n * w)) AS norm FROM tt JOIN idf USING (term) GROUP BY i),
+vectors AS (SELECT i, name, term, round(n * w / norm, 9) AS w FROM tt JOIN idf USING (term) JOIN lengths USING (i)),
 marked AS (
   SELECT row_number() OVER () AS row_id, doc_id, source, lang, text, md5(doc_id::VARCHAR) AS digest,
          ('0x' || substr(md5(doc_id::VARCHAR), 1, 2))::INT % 32 AS pick FROM documents
@@ -227,18 +308,18 @@ files AS (
 segments AS (
   SELECT row_id, row_number() OVER () AS seg, body FROM (
     SELECT row_id, unnest(string_split(text, chr(10))) AS body FROM files
+    UNION ALL SELECT row_id, unnest(regexp_split_to_array(text, '\\n(?:[^A-Za-z0-9\\n]*\\n)+')) FROM files
     UNION ALL SELECT row_id, text FROM files WHERE is_file)
-  WHERE regexp_matches(body, '{t.anchor_pattern}')
 ),
 tf AS (
   SELECT row_id, seg, term, count(*) AS n
-  FROM (SELECT row_id, seg, unnest(regexp_extract_all(translate(body, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+')) AS term FROM segments)
+  FROM (SELECT row_id, seg, unnest({cut.format('body')}) AS term FROM segments)
   GROUP BY ALL
 ),
-weighted AS (SELECT tf.*, n * coalesce(idf.w, {t.unseen_idf!r}::DOUBLE) AS x FROM tf LEFT JOIN idf USING (term)),
+weighted AS (SELECT tf.*, n * coalesce(idf.w, unseen.w) AS x FROM tf CROSS JOIN unseen LEFT JOIN idf USING (term)),
 norms AS (SELECT seg, sqrt(sum(x * x)) AS norm FROM weighted GROUP BY seg),
 scored AS (
-  SELECT row_id, round(sum(x * v.w) / any_value(norm), 6) AS score, v.i, any_value(v.name) AS name
+  SELECT row_id, round(sum(x * v.w) / nullif(any_value(norm), 0), 6) AS score, v.i, any_value(v.name) AS name
   FROM weighted JOIN vectors v USING (term) JOIN norms USING (seg) GROUP BY row_id, seg, v.i
 ),
 own AS (

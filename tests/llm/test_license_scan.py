@@ -17,7 +17,7 @@ def cosine(segment):
     return max((sum(x.get(term, 0) * w for term, w in zip(t.vocabulary, v, strict=True)) / norm, -i) for i, v in enumerate(t.vectors))
 
 
-LINES = ["released under the mit license", "Released under the MIT License.", "// Licensed under CC BY-NC 4.0", "all rights reserved (c) 2020", "a license to fish", "", "nothing at all", "GNU GENERAL PUBLIC LICENSE version 3", TEMPLATES[7][1]]
+LINES = ["released under the mit license", "Released under the MIT License.", "// Licensed under CC BY-NC 4.0", "all rights reserved (c) 2020", "a license to fish", "", "nothing at all", "GNU GENERAL PUBLIC LICENSE version 3", TEMPLATES[8][1]]
 
 
 def test_scores_equal_dense_cosine(spark):
@@ -55,3 +55,78 @@ def test_sql_agrees(spark):
     documents = docs.toPandas()  # noqa: F841
     want = sorted((tuple(r) for r in duckdb.connect().sql(REPORT_SQL).fetchall()), key=str)
     assert got == want and {r[4] for r in got} >= {"header", "inherited"}
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL_HEADER = """/*
+ * tool.c - does things
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+ */
+int main(void) { return 0; }
+"""
+APACHE_HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+import os
+"""
+BSD_FILE = """Copyright 2019 The Authors. All of them.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+"""
+GPL_TITLE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc.
+ Everyone is permitted to copy and distribute verbatim copies.
+"""
+
+
+def test_published_texts_and_wrapped_headers(spark):
+    cases = [
+        ("LICENSE", MIT_FILE, "MIT"), ("src/tool.c", GPL_HEADER, "GPL-3.0-or-later"), ("a.py", APACHE_HEADER, "Apache-2.0"), ("COPYING", BSD_FILE, "BSD-3-Clause"),
+        ("COPYING", GPL_TITLE, "GPL-3.0-only"), ("b.rs", "// SPDX-License-Identifier: MIT\nfn main() {}", "MIT"), ("c.rs", "// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        ("d.rs", "// SPDX-License-Identifier: LicenseRef-Own", None), ("e.txt", "we walked mit the dog under free software", None), ("f.txt", "", None),
+    ]
+    files = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(cases)], "k int, path string, text string")
+    got = {r.k: r.own.name for r in detect(files).collect()}
+    assert got == {k: name for k, (_, _, name) in enumerate(cases)}
