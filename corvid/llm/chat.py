@@ -9,13 +9,15 @@ by the escape character and a dash, so no text can forge a mark and reading back
 Turns are formatted independently, and read back as a stream in turn order, so memory does not
 grow with a conversation. Defined results: a null text or role is empty; rows with null ids form
 one conversation; equal turn numbers (and null ones, which come first) are ordered by role, then
-text; empty tables give empty results; unknown part types are kept as documents.
+text; empty tables give empty results; unknown part types are kept as documents; of typed content, what is
+not JSON, and parts that are no mappings, are text, and sizes that are no numbers count as the least.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -43,6 +45,16 @@ def unescape(text: str) -> str:
     return _BROKEN.sub(lambda m: {"-": "", "n": "\n"}.get(m[1], m[1]), text)
 
 
+def number(value, default: float) -> float:
+    """A size as a number: itself, or the digits that a string begins with (``"12px"``); the default if there is none."""
+    if isinstance(value, bool) or value is None:
+        return default
+    if isinstance(value, str):
+        found = re.match(r"\s*\d+(?:\.\d+)?", value)
+        value = float(found[0]) if found else default
+    return float(value) if isinstance(value, int | float) and math.isfinite(value) else default
+
+
 @dataclass
 class Attachment:
     """A part that is not text: its number in the conversation, where it is and what it expands to."""
@@ -63,21 +75,29 @@ class PartVisitor:
     audio_tokens_per_second: int = 25
     tokens_per_page: int = 1024
 
-    def visit(self, parts: list[dict]) -> str:
-        return "".join(getattr(self, f"visit_{p.get('type') or 'text'}", self.visit_document)(p) for p in parts)
+    def visit(self, parts: list) -> str:
+        return "".join(self._visit(p) for p in parts)
+
+    def _visit(self, part) -> str:
+        """A part that is no mapping is text."""
+        if not isinstance(part, dict):
+            return escape("" if part is None else part if isinstance(part, str) else json.dumps(part, ensure_ascii=False))
+        kind = part.get("type") or "text"
+        return {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio}.get(kind if isinstance(kind, str) else "", self.visit_document)(part)
 
     def visit_text(self, part: dict) -> str:
-        return escape(part.get("text") or "")
+        text = part.get("text")
+        return escape("" if text is None else text if isinstance(text, str) else json.dumps(text, ensure_ascii=False))
 
     def visit_image(self, part: dict) -> str:
-        tiles = [-(-max(int(part.get(side) or 1), 1) // self.image_tile) for side in ("width", "height")]
+        tiles = [-(-max(int(number(part.get(side), 1)), 1) // self.image_tile) for side in ("width", "height")]
         return self._place("image", part, tiles[0] * tiles[1] * self.tokens_per_tile)
 
     def visit_audio(self, part: dict) -> str:
-        return self._place("audio", part, -(-int(float(part.get("seconds") or 0) * 1000) * self.audio_tokens_per_second // 1000))
+        return self._place("audio", part, -(-int(max(number(part.get("seconds"), 0), 0) * 1000) * self.audio_tokens_per_second // 1000))
 
     def visit_document(self, part: dict) -> str:
-        return self._place("document", part, max(int(part.get("pages") or 1), 1) * self.tokens_per_page)
+        return self._place("document", part, max(int(number(part.get("pages"), 1)), 1) * self.tokens_per_page)
 
     def _place(self, kind: str, part: dict, tokens: int) -> str:
         self.attachments.append(Attachment(len(self.attachments) + 1, kind, str(part.get("ref") or ""), tokens))
@@ -142,7 +162,10 @@ def _in_order(rows: DataFrame, key: str, turn: str, role: str, content: str) ->
 def _parts_of(content: str | None, typed: bool) -> list[dict]:
     if not typed:
         return [{"type": "text", "text": content}]
-    value = json.loads(content) if content else []
+    try:
+        value = json.loads(content) if content else []
+    except ValueError:
+        value = content  # not JSON, so it is text
     return value if isinstance(value, list) else [value]
 
 

@@ -14,6 +14,9 @@ of held-out texts does a second step ask the partitions of the words for ``P(w)`
 the sums that ``a(h)`` needs to the partitions of the histories. Sums per document are added up by
 block. What is shuffled is proportional to the input; the driver gets sums of counts of counts only.
 
+The recursion has two steps, pair and word. A third order would have to shuffle a key for each token of the
+text once more (no block repeats its word triples), which the README weighs against the disk that there is.
+
 Words are known by 56 bits of hash. Defined results: null texts are empty and score their end token;
 null ids count as training rows; repeated rows are separate texts; with no training row every token
 is unseen with probability one.
@@ -21,13 +24,12 @@ is unseen with probability one.
 
 from __future__ import annotations
 
-import gc
-import time
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import materialise, small_batches
@@ -283,7 +285,7 @@ def _words(model: Discounts):
 
     def run(key, table):
         out, words, counts = [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for row in table.filter(pa.compute.equal(table["kind"], "words")).to_pylist():
+        for row in table.filter(pc.equal(table["kind"], "words")).to_pylist():
             words, counts = unpack(row["data"])
         if model.ends:
             words, counts = np.append(words, _END), np.append(counts, model.ends)
@@ -375,14 +377,6 @@ def _finish(model: Discounts):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced; it needs a moment."""
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def katz_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -395,8 +389,6 @@ def katz_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "
     packed = rows.mapInArrow(_blocks(partitions), "part long, kind string, block long, data binary, ids array<long>")
     with small_batches(spark):
         counts = materialise(packed.repartition(partitions, "part").groupBy("part").applyInArrow(_histories(partitions), _OUT_DDL), "katz-counts")
-    del packed
-    _release(spark)
     summed = counts.where("kind = 'stats'").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     stats = np.zeros(2 * CUTOFF + 5, np.int64)
     for r in summed:
@@ -404,8 +396,6 @@ def katz_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "
     model = Discounts.of(stats)
     questions = counts.where(F.col("kind").isin("words", "tokens", "after"))
     answers = materialise(questions.groupBy("part").applyInArrow(_words(model), _OUT_DDL), "katz-words")
-    del questions
-    _release(spark)
     weights = counts.where("kind = 'history'").unionByName(answers.where("kind = 'mass'")).groupBy("part").applyInArrow(_backoff(model), _OUT_DDL)
     pieces = counts.where(F.col("kind").isin("docs", "sums")).unionByName(answers.where("kind = 'unseen'")).unionByName(weights)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -284,6 +284,9 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
         salted = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*first))).where(F.col("_rank") <= settings.documents)
     chosen = salted.select(key).distinct()
     picked = docs.where(F.col(lang).isNotNull()).join(F.broadcast(chosen), key, "left_semi").select(key, lang, text)
+    # repeats of an id would multiply what is fetched, so an id counts once
+    least = F.min(F.struct(F.col(lang).alias("l"), F.col(text).alias("t"))).alias("s")
+    picked = picked.groupBy(key).agg(least).select(key, "s.l", "s.t")
     fitting: dict[str, list[str]] = {}
     left_out: dict[str, list[str]] = {}
     for row in sorted(picked.collect(), key=lambda r: (r[1], str(r[0]), r[2] or "")):
@@ -305,12 +308,14 @@ def hash_share(key: object, share: int) -> bool:
 
 
 def identify(docs: DataFrame, identifier: Identifier, *, text: str = "text") -> DataFrame:
-    """``docs`` with columns ``lang_pred``, ``score`` and ``rejected``."""
+    """``docs`` with columns ``lang_pred``, ``score`` and ``rejected``, in place of ones that have these names."""
     holder = Shipped(docs.sparkSession, identifier)
+    docs = docs.drop(*[c for c in ("lang_pred", "score", "rejected") if c != text])
+    place = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            names, scores, rejected = holder.value.predict(batch.column(text).to_pylist())
+            names, scores, rejected = holder.value.predict(batch.column(place).to_pylist())
             table = pa.Table.from_batches([batch]).append_column("lang_pred", pa.array(names, pa.string()))
             table = table.append_column("score", pa.array(scores, pa.float64())).append_column("rejected", pa.array(rejected, pa.bool_()))
             yield from table.to_batches()

@@ -63,3 +63,18 @@ def test_typed_rows_and_empty_table(spark):
     out = format_turns(df, typed=True).orderBy("position").collect()
     assert [r.attachments[0].number for r in out] == [1, 2] and out[1].char_from == len(out[0].formatted)
     assert read_back_report(format_turns(df.limit(0))).count() == 0
+
+
+def test_typed_content_of_odd_shapes(spark):
+    rows = [
+        (1, 1, "user", "not json </s>"), (1, 2, "user", '["plain", {"type": "image", "width": "1030px", "height": null, "ref": "a"}, 7, null]'), (1, 3, "assistant", '{"type": "audio", "seconds": "x", "ref": 5}'),
+        (1, 4, "assistant", '[{"type": "text", "text": {"k": 1}}, {"type": ["odd"], "pages": true}]'), (1, 5, "assistant", "[]"),
+    ]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, position int")
+    out = format_turns(df, typed=True).orderBy("position").collect()
+    text = "".join(r.formatted for r in out)
+    parts = [p for _, p in read_back(text)]
+    assert parts[0] == [("text", "not json </s>")] and parts[1][0] == ("text", "plain") and parts[1][1][0] == "image" and parts[1][2] == ("text", "7")
+    assert [k for k, _ in parts[2]] == ["audio"] and parts[3][0] == ("text", '{"k": 1}') and parts[3][1][0] == "document" and parts[4] == []
+    tokens = [a.tokens for r in out for a in r.attachments]
+    assert tokens == [3 * 256, 0, 1024]

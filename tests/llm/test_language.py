@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pytest
 
-from corvid.llm.language import LanguageSettings, Words, fit_kneser_ney, language_report, letter_table
+from pyspark.sql import functions as F
+
+from corvid.llm.language import LanguageSettings, Words, fit_kneser_ney, identify, language_report, letter_table, train
 
 ALPHABETS = {"aa": "abcde", "bb": "abxyé", "cc": "привет"}
 
@@ -84,3 +86,16 @@ def test_empty_tables(spark):
     assert language_report(docs).count() == 0
     one = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language_report(one).first().lang_pred == "und"
+
+
+def test_ties_clashing_names_null_ids_and_repeats(spark):
+    texts = [("a", "the water and the river run over the old stone bridge"), ("b", "das wasser und der fluss laufen unter der alten steinbruecke")]
+    rows = [(k, texts[k % 2][1] + f" {k}", texts[k % 2][0], "old", 1.5, True) for k in range(60)] + [(None, "the river", "a", "x", 0.0, False), (3, "the river runs", "b", "x", 0.0, False), (3, "the river runs", "b", "x", 0.0, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double, rejected boolean")
+    model = train(docs)
+    out = identify(docs, model)
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"] and out.count() == len(rows)
+    assert {r.lang_pred for r in out.where("doc_id is null").collect()} == {"a"}
+    same = train(docs.select("doc_id", "text", "lang").withColumn("lang", F.lit("z")).unionByName(docs.select("doc_id", "text", F.lit("y").alias("lang"))))
+    picks = {r.lang_pred for r in identify(docs.select("doc_id", "text"), same).collect()}
+    assert len(picks) == 1 and picks <= {"y", "z"}
