@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvid.tables import Scratch, materialise, remove, shared_folder
 
-__all__ = ["Scratch", "Shipped", "free_column", "materialise", "remove", "returns_memory", "shared_folder", "small_batches"]
+__all__ = ["Scratch", "Shipped", "free_column", "materialise", "remove", "returns_memory", "shared_folder", "small_batches", "trimmed"]
 
 
 class Shipped:
@@ -34,6 +34,28 @@ class Shipped:
         return {"packed": self.packed, "unpacked": None}
 
 
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
+
+
+def trimmed(run):
+    """``run`` (a function of a group's key and table), giving freed memory back after each group."""
+
+    @functools.wraps(run)
+    def whole(key, table):
+        out = run(key, table)
+        del table
+        _trim()
+        return out
+
+    return whole
+
+
 def returns_memory(run):
     """``run`` (a function from Arrow batches to Arrow batches), giving freed memory back once a task is through.
 
@@ -43,12 +65,7 @@ def returns_memory(run):
     @functools.wraps(run)
     def whole(batches):
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not the C library that has it
-            pass
+        _trim()
 
     return whole
 

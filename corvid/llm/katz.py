@@ -32,13 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import materialise, small_batches
+from .cluster import materialise, returns_memory, small_batches, trimmed
 from .quality import fold
 from .text_arrays import WordHasher, ascii_lower_table, space_separated, text_blocks, word_spans
 
 CUTOFF = 5
 #: Text per block of the map side, and per partition of the count tables.
-BLOCK_BYTES, PARTITION_BYTES = 8 << 20, 12 << 20
+BLOCK_BYTES, PARTITION_BYTES = 6 << 20, 8 << 20
 _BITS = np.uint64((1 << 56) - 1)
 _START, _END = np.uint64((1 << 56) + 1), np.uint64((1 << 56) + 2)
 #: Per-document sums that the steps add up.
@@ -386,20 +386,20 @@ def katz_scores(docs: DataFrame, held_out, *, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // PARTITION_BYTES))
-    packed = rows.mapInArrow(_blocks(partitions), "part long, kind string, block long, data binary, ids array<long>")
+    packed = rows.mapInArrow(returns_memory(_blocks(partitions)), "part long, kind string, block long, data binary, ids array<long>")
     with small_batches(spark):
-        counts = materialise(packed.repartition(partitions, "part").groupBy("part").applyInArrow(_histories(partitions), _OUT_DDL), "katz-counts")
+        counts = materialise(packed.repartition(partitions, "part").groupBy("part").applyInArrow(trimmed(_histories(partitions)), _OUT_DDL), "katz-counts")
     summed = counts.where("kind = 'stats'").select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     stats = np.zeros(2 * CUTOFF + 5, np.int64)
     for r in summed:
         stats[r.pos] = r.n
     model = Discounts.of(stats)
     questions = counts.where(F.col("kind").isin("words", "tokens", "after"))
-    answers = materialise(questions.groupBy("part").applyInArrow(_words(model), _OUT_DDL), "katz-words")
-    weights = counts.where("kind = 'history'").unionByName(answers.where("kind = 'mass'")).groupBy("part").applyInArrow(_backoff(model), _OUT_DDL)
+    answers = materialise(questions.groupBy("part").applyInArrow(trimmed(_words(model)), _OUT_DDL), "katz-words")
+    weights = counts.where("kind = 'history'").unionByName(answers.where("kind = 'mass'")).groupBy("part").applyInArrow(trimmed(_backoff(model)), _OUT_DDL)
     pieces = counts.where(F.col("kind").isin("docs", "sums")).unionByName(answers.where("kind = 'unseen'")).unionByName(weights)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return pieces.groupBy("block").applyInArrow(_finish(model), out)
+    return pieces.groupBy("block").applyInArrow(trimmed(_finish(model)), out)
 
 
 def score_report(docs: DataFrame) -> DataFrame:
