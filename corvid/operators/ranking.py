@@ -151,7 +151,7 @@ def rerank_overlap(candidates: DataFrame, queries: DataFrame, chunks: DataFrame,
 def expand_parents(matches: DataFrame, parents: DataFrame, k: int, decay: float = 0.95) -> DataFrame:
     """Each match is followed by its parent at ``decay`` times its score; a chunk keeps its first place."""
     own = matches.select("qid", "chunk_id", "hybrid_score", (F.col("rank") * 2).alias("place"))
-    up = matches.join(parents, "chunk_id").select("qid", F.col("parent_id").alias("chunk_id"), F.round(F.col("hybrid_score") * decay, DIGITS).alias("hybrid_score"), (F.col("rank") * 2 + 1).alias("place"))
+    up = matches.join(parents, "chunk_id").select("qid", F.col("parent_id").alias("chunk_id"), F.round(F.col("hybrid_score") * decay, DIGITS + 3).alias("hybrid_score"), (F.col("rank") * 2 + 1).alias("place"))
     first = top_k(own.unionByName(up), 1, ["qid", "chunk_id"], [F.asc("place")], "n").drop("n")
     return top_k(first, k, ["qid"], [F.asc("place")]).drop("place")
 

@@ -337,7 +337,7 @@ class StagedRetriever:
         sig = asked.select("qid", "sig")
         links = self.chunks.select("chunk_id", "parent_id").where("parent_id is not null")
         own = matches.select("qid", "chunk_id", "dense_score", "sparse_score", "hybrid_score", "rerank_score", (F.col("rank") * 2).alias("place"))
-        up = matches.join(links, "chunk_id").select("qid", F.col("parent_id").alias("chunk_id"), "dense_score", "sparse_score", F.round(F.col("hybrid_score") * decay, R.DIGITS).alias("hybrid_score"), F.lit(None).cast("double").alias("rerank_score"), (F.col("rank") * 2 + 1).alias("place"))
+        up = matches.join(links, "chunk_id").select("qid", F.col("parent_id").alias("chunk_id"), "dense_score", "sparse_score", F.round(F.col("hybrid_score") * decay, R.DIGITS + 3).alias("hybrid_score"), F.lit(None).cast("double").alias("rerank_score"), (F.col("rank") * 2 + 1).alias("place"))
         meta = [c for c in ("metadata", "page_metadata") if c in self.chunks.columns]
         may = up.join(self.chunks.select("chunk_id", *UNIT, *meta), "chunk_id").join(sig, "qid").join(units, ["sig", *UNIT], "left_semi")
         may = may.join(asked.select("qid", F.col("metadata").alias("_asked")), "qid").where(_metadata_ok(self.chunks)).select(*own.columns)

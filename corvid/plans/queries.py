@@ -188,7 +188,7 @@ def rerank_token_overlap(spark, d):
 
 @query(f"""{RRF}, p AS (SELECT source, min(doc_id) AS parent_id FROM documents GROUP BY source),
 ap AS (SELECT qid, chunk_id, hybrid_score, rank * 2 AS place FROM fr UNION ALL
-  SELECT qid, parent_id, round(hybrid_score * 0.95::DOUBLE, 6), rank * 2 + 1 FROM fr JOIN documents d ON d.doc_id = chunk_id JOIN p USING (source) WHERE parent_id <> doc_id),
+  SELECT qid, parent_id, round(hybrid_score * 0.95::DOUBLE, 9), rank * 2 + 1 FROM fr JOIN documents d ON d.doc_id = chunk_id JOIN p USING (source) WHERE parent_id <> doc_id),
 once AS (SELECT * FROM ap QUALIFY row_number() OVER (PARTITION BY qid, chunk_id ORDER BY place) = 1)
 SELECT qid, chunk_id, hybrid_score, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM once QUALIFY rank <= 10""")
 def parent_expand(spark, d):

@@ -20,6 +20,7 @@ from corvid.operators import store as S
 from corvid.operators import verification as V
 from corvid.plans.queries import BM25, CHUNKS, STOPWORDS, TF, TOKENS, TOP_SPARSE, chunks_of, doc_vectors, query_vectors, questions, sparse_list
 from corvid.plans.registry import query, table
+from corvid.sources import files
 
 SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 #: Units (source, language) are public unless the source's number is divisible by five.
@@ -69,7 +70,7 @@ rr AS (SELECT fr.qid, fr.chunk_id, sparse_score, hybrid, round(0.65::DOUBLE * hy
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank DESC, sparse_score DESC, chunk_id) AS rank FROM rr),
 par AS (SELECT document_id, min(chunk_id) AS parent_id FROM chunks GROUP BY document_id),
 ex AS (SELECT qid, chunk_id, hybrid, rerank, rank * 2 AS place FROM rk UNION ALL
-  SELECT rk.qid, parent_id, round(hybrid * 0.95::DOUBLE, 6), NULL, rank * 2 + 1 FROM rk JOIN chunks c USING (chunk_id) JOIN par USING (document_id) JOIN ask ON ask.qid = rk.qid JOIN ok ON ok.r = ask.r AND ok.odd = ask.odd AND ok.chunk_id = parent_id WHERE parent_id <> c.chunk_id),
+  SELECT rk.qid, parent_id, round(hybrid * 0.95::DOUBLE, 9), NULL, rank * 2 + 1 FROM rk JOIN chunks c USING (chunk_id) JOIN par USING (document_id) JOIN ask ON ask.qid = rk.qid JOIN ok ON ok.r = ask.r AND ok.odd = ask.odd AND ok.chunk_id = parent_id WHERE parent_id <> c.chunk_id),
 once AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY qid, chunk_id ORDER BY place) = 1), fin AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM once QUALIFY rank <= 5)"""
 
 
@@ -448,6 +449,28 @@ def parent_backfill(spark, d):
     return C.link_children(rows).select("chunk_id", "parent_row")
 
 
+@query(f"SELECT doc_id AS chunk_id, 'l' || doc_id AS lineage_key, md5({SQUEEZE.format('text')}) AS normalized_md5 FROM documents")
+def evaluation_records(spark, d):
+    rows = chunks_of(spark, d).withColumn("lineage_key", F.concat(F.lit("l"), F.col("chunk_id").cast("string"))).withColumn("ordinal", F.lit(0))
+    return files.evaluation_records(rows).select("chunk_id", "lineage_key", F.md5("normalized_text").alias("normalized_md5"))
+
+
+@query("SELECT item_id AS qid, text, CASE WHEN item_id % 3 = 0 THEN 'f' || item_id % 4 ELSE 'l' || item_id END AS family_key FROM benchmark")
+def query_records(spark, d):
+    q = questions(spark, d).withColumn("lineage_key", F.concat(F.lit("l"), F.col("qid").cast("string")))
+    families = q.where("qid % 3 = 0").select(F.col("lineage_key").alias("lineage"), F.concat(F.lit("f"), (F.col("qid") % 4).cast("string")).alias("family"))
+    return files.query_records(q, families)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'meta_k=' || json_extract_string(props, '$.k') || ',meta_kind=' || event_type ELSE 'meta_k=' || json_extract_string(props, '$.k') END AS flat FROM events")
+def metadata_flatten(spark, d):
+    """Scalars of JSON under prefixed keys; a list, an object and a null go."""
+    extra = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(', "kind": "'), F.col("event_type"), F.lit('"'))).otherwise(F.lit(', "kind": null'))
+    raw = F.concat(F.expr("substring(props, 1, length(props) - 1)"), extra, F.lit(', "list": [1], "deep": {"a": 1}}'))
+    out = files.flatten_metadata(table(spark, d, "events").select("event_id", raw.alias("metadata")))
+    return out.select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("flat"))
+
+
 # --- benchmark and training sets ----------------------------------------------------------------
 BUCKET = "('0x' || substr(sha256({0}), 1, 8))::BIGINT % 100"
 DEAL = "CASE WHEN {0} < 10 THEN 'blind' WHEN {0} < 40 THEN 'train' WHEN {0} < 70 THEN 'dev' ELSE 'test' END"

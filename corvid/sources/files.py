@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvid.functions import text as X
 from corvid.functions import vectors as V
 
 SOURCE_RECORD = "version string, lineage_key string, section_id string, section_path array<string>, title string, text string, kind string, source_file string, source_line int, table_rows array<array<string>>, metadata map<string,string>, caption string"
@@ -57,5 +58,44 @@ def encode_payload(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def flatten_metadata(df: DataFrame, column: str = "metadata", prefix: str = "meta_") -> DataFrame:
-    """Map entries under prefixed keys; nulls go."""
-    return df.withColumn(column, F.transform_keys(F.map_filter(column, lambda k, v: v.isNotNull()), lambda k, v: F.concat(F.lit(prefix), k)))
+    """A JSON object's scalars under prefixed keys, as a map; nulls, lists and objects go."""
+    names, text = F.json_object_keys(column), F.col(column)
+    value = lambda k: F.call_function("get_json_object", text, F.concat(F.lit("$['"), k, F.lit("']")))
+    scalar = F.filter(names, lambda k: value(k).isNotNull() & ~F.regexp_like(value(k), F.lit(r"^\s*[\[{]")))
+    return df.withColumn(column, F.map_from_entries(F.transform(scalar, lambda k: F.struct(F.concat(F.lit(prefix), k).alias("key"), value(k).alias("value")))))
+
+
+def rebuild_metadata(df: DataFrame, column: str = "metadata", prefix: str = "meta_") -> DataFrame:
+    """Prefixed keys back to a map of plain keys; other keys go."""
+    held = F.map_filter(column, lambda k, v: F.startswith(k, F.lit(prefix)))
+    return df.withColumn(column, F.transform_keys(held, lambda k, v: F.substring(k, len(prefix) + 1, 2**31 - 1)))
+
+
+def evaluation_records(chunks: DataFrame) -> DataFrame:
+    """Chunks as evaluation reads them: ids, version, lineage, place, text, and the text with white space squeezed."""
+    return chunks.select("chunk_id", "document_id", "version", "lineage_key", "ordinal", "text", X.normalize("text").alias("normalized_text"))
+
+
+def query_records(queries: DataFrame, families: DataFrame) -> DataFrame:
+    """``qid, text, family_key`` of queries; a lineage without a family is its own."""
+    return queries.join(families.select(F.col("lineage").alias("lineage_key"), "family"), "lineage_key", "left").select("qid", F.col("query").alias("text"), F.coalesce("family", "lineage_key").alias("family_key"))
+
+
+def load_corpus(spark: SparkSession, path: str, fallback: str, schema: str) -> DataFrame:
+    """The corpus as Parquet, or where there is none, from a JSON-lines export; content hashes are made anew."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    rows = spark.read.schema(schema).parquet(path) if there else json_lines(spark, fallback, schema)
+    body = F.regexp_replace("text", "\r\n", "\n")
+    return rows.withColumn("content_hash", F.sha2(F.concat_ws("\n", F.coalesce("kind", F.lit("text")), body), 256))
+
+
+def beir(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """An unpacked collection: corpus, queries and judgements."""
+    corpus = json_lines(spark, f"{folder}/corpus.jsonl", "_id string, title string, text string")
+    queries = json_lines(spark, f"{folder}/queries.jsonl", "_id string, text string")
+    return {
+        "chunks": corpus.select(F.col("_id").alias("chunk_id"), F.concat_ws(" ", "title", "text").alias("text")),
+        "queries": queries.select(F.col("_id").alias("qid"), F.col("text").alias("query")),
+        "qrels": qrels(spark, f"{folder}/qrels/test.tsv"),
+    }
