@@ -217,15 +217,18 @@ def nearest(vectors: DataFrame, is_query, *, k: int = 5, key: str = "vec_id", em
     queries = table.join(asked.select("rep").distinct(), "rep", "left_semi").mapInArrow(_leaves(holder, False), ddl)
     index = table.mapInArrow(_leaves(holder, True), ddl)
     n = table.count()
-    # a chunk of a leaf is a bucket of the rows' hashes, so its size is bounded whatever the leaf holds
-    sizes = index.groupBy("tree", "leaf").agg(F.count("*").alias("n")) if n > settings.chunk_rows else None
-    if sizes is None:
-        index, queries = (df.withColumn("chunk", F.lit(0).cast("long")) for df in (index, queries))
+    # a group is a chunk of a leaf's rows and a chunk of its queries, both buckets of hashes, so its size is bounded
+    # whatever the leaf holds and however many queries open it; the table of leaves is bounded by the sample
+    by = ["tree", "leaf", "chunk", "part"]
+    if n <= settings.chunk_rows:
+        index, queries = (df.withColumns({"chunk": F.lit(0).cast("long"), "part": F.lit(0).cast("long")}) for df in (index, queries))
     else:
-        chunks = F.broadcast(sizes.select("tree", "leaf", F.ceil(F.col("n") / settings.chunk_rows).cast("long").alias("chunks")))
-        index = index.join(chunks, ["tree", "leaf"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks"))).drop("chunks")
-        queries = queries.join(chunks, ["tree", "leaf"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
-    by = ["tree", "leaf", "chunk"]
+        pieces = lambda df, name: df.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / settings.chunk_rows).cast("long").alias(name))
+        leaves = F.broadcast(pieces(index, "chunks").join(pieces(queries, "parts"), ["tree", "leaf"]))
+        own = lambda of: F.pmod(F.xxhash64("rep"), F.col(of))
+        each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+        index = index.join(leaves, ["tree", "leaf"]).withColumn("chunk", own("chunks")).withColumn("part", each("parts")).drop("chunks", "parts")
+        queries = queries.join(leaves, ["tree", "leaf"]).withColumn("part", own("parts")).withColumn("chunk", each("chunks")).drop("chunks", "parts")
     met = queries.drop("ids").groupBy(*by).cogroup(index.groupBy(*by)).applyInPandas(_score(k), "rep long, vec_id long, score double")
     best = met.groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
