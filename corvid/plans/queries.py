@@ -555,13 +555,23 @@ def context_budget(spark, d):
     return N.context_budget(top, 3000).select("qid", "rank", "chunk_id", F.length("text").cast("long").alias("n_chars"))
 
 
-@query()
+WORDS = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+(?:\.[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+)*'), lambda w: NOT list_contains([" + ", ".join(repr(w) for w in X.SUPPORT_STOPWORDS) + "], w)))"
+NOS = "[" + ", ".join(repr(w) for w in X.NEGATIONS) + "]"
+
+
+@query(f"""WITH {BM25}, s AS ({TOP_SPARSE.format(5)}), q AS (SELECT item_id AS qid, list_filter(list_distinct({TOKENS.format('text')}), lambda t: NOT list_contains([{", ".join(repr(w) for w in STOPWORDS)}], t)) AS qt FROM benchmark),
+m AS (SELECT s.qid, s.rank, qt, c.text FROM s JOIN q USING (qid) JOIN documents c ON c.doc_id = s.chunk_id WHERE list_has_any(qt, {TOKENS.format('c.text')})), f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n FROM m QUALIFY n <= 3),
+x AS (SELECT qid, n, qt, text, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30)), 1) AS i FROM f),
+b AS (SELECT qid, n, arg_min(trim(s, ' '), (-len(list_intersect(list_distinct({TOKENS.format("trim(s, ' ')")}), qt)), length(trim(s, ' ')), i)) AS s FROM x WHERE trim(s, ' ') <> '' GROUP BY qid, n),
+o AS (SELECT qid, s, min(n) AS n FROM b GROUP BY qid, s), k AS (SELECT qid, count(*) AS n_citations FROM f GROUP BY qid)
+SELECT qid, 'Based on the indexed evidence: ' || string_agg(s, ' ' ORDER BY n) AS answer, any_value(n_citations) AS n_citations FROM o JOIN k USING (qid) GROUP BY qid""")
 def extractive_answer(spark, d):
     top = sparse_list(spark, d, 5).join(chunks_of(spark, d).select("chunk_id", "text"), "chunk_id")
     return N.extractive_answers(top, questions(spark, d), STOPWORDS)
 
 
-@query()
+@query(f"""WITH c AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), w AS (SELECT conv_id, turn, {WORDS.format('text')} AS t, {WORDS.format('b')} AS s FROM c WHERE role = 'assistant' AND b IS NOT NULL)
+SELECT conv_id, turn, round(CASE WHEN len(t) = 0 OR len(list_filter(t, lambda x: (contains(x, '_') OR regexp_matches(x, '\\p{{Nd}}')) AND NOT list_contains(s, x))) > 0 OR list_has_any(t, {NOS}) <> list_has_any(s, {NOS}) THEN 0 ELSE len(list_intersect(t, s)) / len(t)::DOUBLE END, 6)::DOUBLE AS support FROM w""")
 def claim_support(spark, d):
     """Support of each assistant turn by the user turn before it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
