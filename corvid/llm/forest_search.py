@@ -134,8 +134,15 @@ def fit_forest(x: np.ndarray, settings: ForestSettings, k: int) -> Forest:
     return forest
 
 
-def _unit(rows: list) -> np.ndarray:
+def _scaled(rows: list) -> np.ndarray:
+    """Vectors times a power of two each, so that their largest component is below one: squares neither overflow nor
+    vanish, and a cosine keeps its bits."""
     x = np.array(rows, dtype=np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _unit(rows: list) -> np.ndarray:
+    x = _scaled(rows)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -182,12 +189,12 @@ def _score(k: int):
     def run(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(members):
-            v = np.array(members["vec"].tolist(), dtype=np.float64)
+            v = _scaled(members["vec"].tolist())
             norms = np.sqrt((v * v).sum(axis=1))
             ids = members["ids"].tolist()
             for first in range(0, len(queries), 256):
                 part = queries.iloc[first : first + 256]
-                q = np.array(part["vec"].tolist(), dtype=np.float64)
+                q = _scaled(part["vec"].tolist())
                 q_norms = np.sqrt((q * q).sum(axis=1))
                 rough = (q @ v.T) / norms / q_norms[:, None]
                 n = min(k + 1, rough.shape[1])

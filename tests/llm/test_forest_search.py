@@ -66,3 +66,11 @@ def test_all_leaves_are_every_row():
     leaves = forest.nearest_leaves(x[0], total + 5)
     assert len(leaves) == len(set(leaves)) == total
     assert leaves[0][1] == forest.trees[leaves[0][0]].assign(x[:1])[0]
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(0, [1e300, 1e300]), (50, [3e-300, 4e-300]), (1, [2e300, 1e300]), (2, [3e-320, 4e-320]), (3, [-1e308, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in neighbour_report(df).collect()}
+    assert len(got) == 8
+    assert abs(got[0, 1] - 3 / 10**0.5) < 1e-12 and abs(got[50, 0] - 7 / (5 * 2**0.5)) < 1e-12 and got[50, 2] > 0.99 and abs(got[0, 3] + 0.5**0.5) < 1e-12

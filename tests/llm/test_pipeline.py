@@ -86,3 +86,32 @@ def test_stages_keep_columns(spark, tables):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(5), tables[0]).columns == docs.columns, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "near_duplicates", "decontamination", "byte_bpe"]
+
+
+def test_odd_rows_and_clashing_columns_through_run(spark, tables, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, and columns named as the stages name theirs."""
+    out, rows, items = tables
+    long = "\n".join(r[1] for r in rows[6:9]) + " and more words " * 40_000
+    odd = [(None, "a text without an id " * 9, "en", "s0", 3), (900, None, None, None, None), (901, "", "en", "s0", 0), (902, long, "en", "s1", len(long)), (902, long, "en", "s1", len(long)), (903, rows[7][1], "en", "s1", 5)]
+    df = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("score", "hits", "site", "order", "ids", "grams", "component", "found_keys", "page_a")
+    df = df.selectExpr("*", *[f"'{c}' as `{c}`" for c in names])
+    folder = str(tmp_path)
+    df.write.parquet(f"{folder}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{out}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns, name
+    got = [r.doc_id for r in corpus_pipeline.run(spark, folder).collect()]
+    assert got.count(902) <= 1 and got.count(903) == 0 and len([i for i in got if i is not None]) == len({i for i in got if i is not None})
+    plain = {r.doc_id for r in corpus_pipeline.run(spark, out).collect()}
+    assert len(plain ^ {i for i in got if i is not None and i < 900}) <= 3
+
+
+def test_empty_documents_through_run(spark, tables, tmp_path):
+    out, _, _ = tables
+    spark.read.parquet(f"{out}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{out}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
