@@ -34,7 +34,11 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts have the score of empty features and stay or go by it; repeated rows share their fate; rows with
+    null ids are scored and not learned from; an empty table, or one without labels, stays as it is scored.
+    """
     _batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.coalesce(quality.fold("doc_id", 3) == 1, F.lit(False))
@@ -44,7 +48,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are boilerplate of their site, and passages repeated on it, go; documents stay.
 
-    The site is the host of the URL where there is one, else the source.
+    The site is the host of the URL where there is one, else the source. Null texts stay null, and a text of nothing but
+    boilerplate becomes empty; null sites are one site; repeated rows are separate pages; an empty table stays empty.
     """
     _batches(spark)
     site = free_column(docs, "site")
@@ -54,19 +59,28 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8) stays."""
+    """One document of each group of near duplicates (five words, similarity 0.8) stays: the one of smallest id.
+
+    Null ids and texts without words stay; of rows that repeat an id one stays; an empty table stays empty.
+    """
     _batches(spark)
     return parity_join.keep_representatives(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; shorter benchmark spans are cut out of the others."""
+    """Contaminated documents go; shorter benchmark spans are cut out of the others.
+
+    Null and empty texts stay as they are; repeated rows are judged alike; without benchmark items nothing changes.
+    """
     _batches(spark)
     return _counted(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def tokenise_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text, their number, and whether decoding gives the text back."""
+    """Ids of each text, their number, and the digest of what they decode to.
+
+    Null and empty texts have no ids; repeated rows are each encoded; an empty table gives an empty result.
+    """
     _batches(spark)
     import public_tokenizers
 
