@@ -80,8 +80,6 @@ def test_scores_equal_dictionaries(spark, monkeypatch, block_bytes):
     assert any(held(i) for i, _ in data)
     cache = {}
     for i, t in data:
-        if i == 2002:
-            continue
         score, last = 0.0, "<s>"
         for w in tokens(t):
             if (last, w) not in cache:
@@ -94,6 +92,18 @@ def test_scores_equal_dictionaries(spark, monkeypatch, block_bytes):
         assert r.score == pytest.approx(score, rel=1e-9) and r.base_score == pytest.approx(base, rel=1e-9)
 
 
+def test_null_ids_and_clashing_columns(spark):
+    data = rows()[:120]
+    plain = {r.doc_id: r.score for r in score_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    odd = [(i, t, 1.0, "k") for i, t in data]
+    df = spark.createDataFrame(odd, "doc_id long, text string, score double, kind string")
+    assert {r.doc_id: r.score for r in score_report(df).collect()} == pytest.approx(plain)
+    # a row without an id is learned from and scored
+    more = spark.createDataFrame([*data, (None, data[0][1])], "doc_id long, text string")
+    got = [r for r in score_report(more).collect() if r.doc_id is None]
+    assert len(got) == 1 and not got[0].held_out and got[0].train_tokens > next(iter(score_report(spark.createDataFrame(data, "doc_id long, text string")).limit(1).collect())).train_tokens
+
+
 def test_empty_and_untrained(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert score_report(df).count() == 0
