@@ -241,40 +241,50 @@ def find_benchmark_hits(
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
     out: str = "hits",
+    finish=None,
 ) -> DataFrame:
     """``docs`` with a struct column ``out``: words, merged hit spans (word and byte numbers), item ids.
 
     The benchmark is measured first and cut into blocks of about ``block_words`` words; each block is
     one automaton, broadcast to one pass over the documents. There is no shuffle; between blocks the rows are written.
+    ``finish``, a function of Arrow batches with the column, runs in the last pass and gives the columns of ``docs`` alone.
     """
     spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     words = items.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
     blocks = -(-int(words) // block_words) or 1
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, HITS)])
+    plain = docs.schema
+    schema = T.StructType([*plain.fields, T.StructField(out, HITS)])
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         scanner = Scanner([(r.item, r.text) for r in part.collect()], window)
         # one automaton is resident at a time: the rows are written before the next one is shipped
         docs = materialise(docs, "hits") if k else docs
-        docs = docs.mapInArrow(returns_memory(_scan_with(Shipped(spark, scanner), text, out, k > 0)), schema)
+        scan = _scan_with(Shipped(spark, scanner), text, out, k > 0)
+        if finish and k == blocks - 1:
+            return docs.mapInArrow(returns_memory(lambda batches, scan=scan: finish(scan(batches))), plain)
+        docs = docs.mapInArrow(returns_memory(scan), schema)
     return docs
 
 
-def _cut_spans(batches, text: str, hits: str):
+def _cut_spans(batches, text: str, hits: str, coverage_times: int):
+    """Batches without the documents that the rule condemns, the others without their hit spans, and without ``hits``."""
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        texts = []
-        for value, found in zip(batch.column(text).to_pylist(), batch.column(hits).to_pylist(), strict=True):
-            if value is not None and found["spans"]:
+        found = batch.column(hits).to_pylist()
+        n_hit = [sum(x["last"] - x["first"] for x in f["spans"]) for f in found]
+        clean = [not (n > 0 and n * coverage_times >= f["n_words"]) for n, f in zip(n_hit, found, strict=True)]
+        table = pa.Table.from_batches([batch]).filter(pa.array(clean, pa.bool_()))
+        i, texts = table.schema.get_field_index(text), []
+        for value, spans in zip(table.column(text).to_pylist(), [f["spans"] for f, ok in zip(found, clean, strict=True) if ok], strict=True):
+            if value is not None and spans:
                 data, kept, at = value.encode(), [], 0
-                for span in found["spans"]:
+                for span in spans:
                     kept.append(data[at : span["byte_from"]])
                     at = span["byte_to"]
                 value = b"".join([*kept, data[at:]]).decode()
             texts.append(value)
-        i = table.schema.get_field_index(text)
-        yield from table.set_column(i, text, pa.array(texts, table.schema.field(i).type)).to_batches()
+        table = table.set_column(i, text, pa.array(texts, table.schema.field(i).type))
+        yield from table.remove_column(table.schema.get_field_index(hits)).to_batches()
 
 
 def contaminated(hits: str = "hits", *, coverage_times: int = 20):
@@ -293,9 +303,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", cove
     Clean documents pass unchanged and all columns of ``docs`` are returned. A null text stays null.
     """
     hits = free_column(docs, "hits")
-    found = find_benchmark_hits(docs, items, text=text, out=hits, **options)
-    kept = found.where(~contaminated(hits, coverage_times=coverage_times))
-    return kept.mapInArrow(returns_memory(lambda batches: _cut_spans(batches, text, hits)), kept.schema).select(*docs.columns)
+    return find_benchmark_hits(docs, items, text=text, out=hits, finish=lambda batches: _cut_spans(batches, text, hits, coverage_times), **options)
 
 
 def hit_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

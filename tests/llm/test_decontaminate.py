@@ -50,3 +50,18 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     row = hit_report(one, bench).first()
     assert (row.n_words, row.n_hit, row.contaminated) == (2, 0, False)
+
+
+def test_several_blocks_cut_alike(spark):
+    from corvid.llm.decontaminate import decontaminate
+
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(words[k * 20 : k * 20 + 20])) for k in range(12)]
+    clean = " ".join(f"c{k}" for k in range(600))
+    docs = [(1, clean), (2, clean + " " + items[3][1]), (3, items[5][1] + " tail"), (4, None), (5, ""), (6, f"{items[0][1]} {clean} {items[11][1]}")]
+    d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, hits string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    one = {r.doc_id: r for r in decontaminate(d, it).collect()}
+    many = {r.doc_id: r for r in decontaminate(d, it, block_words=45).collect()}
+    assert one == many and set(one) == {1, 2, 4, 5} | ({6} if 20 * 40 < 640 else set())
+    assert one[2].text.strip() == clean and one[4].text is None and one[2].hits == "x"
