@@ -208,6 +208,11 @@ def vectors_of(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return first.withColumn("_h", F.sha2("text", 256)).join(second, "_h", "left").withColumn("embedding", F.coalesce("embedding", "_e")).drop("_h", "_e")
 
 
+def linked_vectors(chunks: DataFrame, links: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks with ``embedding``, over links ``chunk_id, content_hash, embedder_id`` to vectors of the same content and encoder."""
+    return chunks.join(links.select("chunk_id", "content_hash", "embedder_id"), "chunk_id").join(vectors.select("content_hash", "embedder_id", "embedding"), ["content_hash", "embedder_id"])
+
+
 def reuse_vectors(snapshot: DataFrame, live: DataFrame, vectors: DataFrame) -> DataFrame:
     """``chunk_id, embedding`` of snapshot chunks that the live corpus has under the same id and content."""
     return snapshot.select("chunk_id", "content_hash").join(live.select("chunk_id", "content_hash"), ["chunk_id", "content_hash"], "left_semi").join(vectors, "content_hash").select("chunk_id", "embedding")
