@@ -18,6 +18,7 @@ from corvid.operators import evaluation as E
 from corvid.operators import ingest as I
 from corvid.operators import ranking as R
 from corvid.operators import retrieval as T
+from corvid.operators import sgml
 from corvid.operators import store as S
 from corvid.operators import verification as V
 from corvid.plans.queries import BM25, CHUNKS, FUSED, STOPWORDS, TF, TOKENS, TOP_SPARSE, chunks_of, dense_list, doc_vectors, query_vectors, questions, sparse_list
@@ -819,3 +820,95 @@ def sanitize_nested(spark, d):
 @query("SELECT conv_id, turn, len(list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(30), 'g'), '\\n+', chr(30), 'g'), chr(30)), lambda s: trim(s, ' ') <> '')) AS n_claims FROM conversations WHERE role = 'assistant'")
 def claim_counts(spark, d):
     return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.size(X.claims("text")).cast("long").alias("n_claims"))
+
+
+# --- parsers ------------------------------------------------------------------------------------
+def _marked(text):
+    """Text with its marks escaped, as SGML and HTML have it."""
+    return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+@query(f"""SELECT 'pg-section:c' || doc_id AS lineage_key, 'text' AS kind, md5('Part ' || doc_id || chr(10) || 'See Table ' || doc_id || ' {{0}}' || {SQUEEZE.format('text')}) AS text_md5 FROM documents WHERE {SQUEEZE.format('text')} <> ''
+UNION ALL SELECT 'pg-section:c' || doc_id || '#code0', 'code', md5('x = ' || doc_id) FROM documents UNION ALL SELECT 'pg-section:c' || doc_id || '#table1', 'table', md5('| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || lang || ' |  |') FROM documents""".replace("{0}", ""))
+def manual_sections(spark, d):
+    """A manual file a document: prose with a reference to its table, a program and the table; the records' texts."""
+    n = F.col("doc_id").cast("string")
+    text = F.concat(
+        F.lit('<chapter id="c'), n, F.lit('"><title>Part '), n, F.lit("</title>\n<para>See <xref linkend=\"t"), n, F.lit('"/> '), _marked(F.col("text")), F.lit("</para>\n<screen>x = "), n,
+        F.lit('</screen>\n<table id="t'), n, F.lit('" xreflabel="Table '), n, F.lit('">\n<title>T</title><row><entry>a</entry><entry>b</entry></row><row><entry>'), F.col("lang"), F.lit("</entry></row></table></chapter>"),
+    )
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("version"), F.lit("f.sgml").alias("source_file"), text.alias("text"), F.col("text").alias("own"))
+    blank = rows.where(X.normalize("own") == "").select(F.concat(F.lit("pg-section:c"), "version").alias("lineage_key"))
+    out = sgml.manual_records(rows).join(blank, "lineage_key", "left_anti")
+    return out.select("lineage_key", "kind", F.md5("text").alias("text_md5"))
+
+
+@query("""SELECT o_orderkey AS page_id, 0 AS pos, 'Order ' || o_orderkey AS heading, 2 AS level, 'text' AS kind, 'Order ' || o_orderkey AS text FROM orders
+UNION ALL SELECT o_orderkey, 1, NULL, 0, 'text', 'of ' || o_orderstatus || ' & more' FROM orders
+UNION ALL SELECT o_orderkey, 2, NULL, 0, 'table', '| key | status |' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '| --- | --- |' || chr(10) ELSE '' END || '| ' || o_orderkey || ' |  |' FROM orders
+UNION ALL SELECT o_orderkey, 3, NULL, 0, 'code', 'a' || chr(10) || '  b' FROM orders""")
+def html_blocks(spark, d):
+    """A page an order: a heading, prose over tags, a table with header cells for even keys, one to skip, and code."""
+    k = F.col("o_orderkey").cast("string")
+    cell = F.when(F.col("o_orderkey") % 2 == 0, "th").otherwise("td")
+    html = F.concat(
+        F.lit("<h2>Order "), k, F.lit("</h2><p>of <b>"), F.col("o_orderstatus"), F.lit("</b>\n &amp; more</p><table summary='Navigation'><tr><td>no</td></tr></table><table><tr><"), cell, F.lit("> key </"), cell,
+        F.lit("><td>status</td></tr><tr><td>"), k, F.lit("</td></tr></table><pre>\na\n  b\n</pre>"),
+    )
+    return I.html_sections(table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html")))
+
+
+@query("SELECT doc_id, source AS heading, 'body ' || doc_id AS text, 'p' AS path, doc_id % 7 AS page_number, 'x' AS owner FROM documents")
+def coerced_sections(spark, d):
+    """Mappings that name text, heading, path and page in one of three ways, and a key of their own."""
+    n = F.col("doc_id")
+    body, page = F.concat(F.lit("body "), n.cast("string")), (n % 7).cast("int")
+    first = F.to_json(F.struct(body.alias("text"), F.col("source").alias("heading"), F.lit("p").alias("section_path"), page.alias("page_number"), F.lit("x").alias("owner")))
+    second = F.to_json(F.struct(body.alias("content"), F.col("source").alias("title"), F.array(F.lit("p")).alias("path"), page.alias("page"), F.lit("x").alias("owner")))
+    third = F.to_json(F.struct(body.alias("body"), F.col("source").alias("title"), F.lit("p").alias("path"), page.alias("page"), F.create_map(F.lit("owner"), F.lit("x")).alias("metadata"), F.lit("no").alias("owner")))
+    raw = table(spark, d, "documents").select(n.cast("string").alias("document_id"), F.lit("1").alias("version"), F.lit(0).alias("pos"), F.when(n % 3 == 0, first).when(n % 3 == 1, second).otherwise(third).alias("section"))
+    out = C.coerce_sections(raw)
+    return out.select(F.col("document_id").cast("long").alias("doc_id"), "heading", "text", F.array_join("section_path", "/").alias("path"), F.col("page_number").cast("long").alias("page_number"), F.try_element_at("metadata", F.lit("owner")).alias("owner"))
+
+
+@query("SELECT 'l' || doc_id AS lineage_key, CASE WHEN doc_id % 4 = 0 THEN 'added' WHEN doc_id % 4 = 1 THEN 'removed' WHEN doc_id % 4 = 2 THEN 'changed' ELSE 'same' END AS state FROM documents")
+def parser_impact(spark, d):
+    n = F.col("doc_id")
+    r = table(spark, d, "documents").select(n, F.concat(F.lit("l"), n.cast("string")).alias("lineage_key"), F.lit("1").alias("version"), F.lit(1).alias("source_line"), "text")
+    after = r.where("doc_id % 4 <> 1").withColumn("text", F.when(n % 4 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return sgml.parser_impact(r.where("doc_id % 4 <> 0"), after).select("lineage_key", "state")
+
+
+@query("SELECT o_orderkey, 'total ' || CASE WHEN o_orderkey % 2 = 0 THEN 'is' ELSE 'was' END AS old_quote, 'total ' || o_orderstatus AS new_quote FROM orders")
+def changed_blocks(spark, d):
+    """The line that differs between two texts of three lines."""
+    n = F.col("o_orderkey")
+    lines = lambda middle: F.concat(F.lit("order\n"), middle, F.lit("\nend "), n.cast("string"))
+    before, after = lines(F.concat(F.lit("total "), F.when(n % 2 == 0, "is").otherwise("was"))), lines(F.concat(F.lit("total "), F.col("o_orderstatus")))
+    return table(spark, d, "orders").select("o_orderkey", Z.first_change(before, after).alias("c")).select("o_orderkey", "c.*")
+
+
+@query("SELECT o_orderkey, 'total   of ' || o_orderkey AS quote, 6 AS start, 6 + length('total   of ' || o_orderkey) AS \"end\" FROM orders WHERE o_orderkey % 3 <> 0")
+def exact_spans(spark, d):
+    """Quotes that differ from their source in white space, or are not there."""
+    n = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("start total   of "), n, F.lit(" (a+b) end"))
+    quote = F.when(F.col("o_orderkey") % 3 == 0, F.lit("nowhere at all")).otherwise(F.concat(F.lit("total of\n"), n))
+    return table(spark, d, "orders").select("o_orderkey", D.exact_span(text, quote).alias("s")).where("s is not null").select("o_orderkey", "s.*")
+
+
+@query("SELECT event_id::VARCHAR AS id, CASE WHEN event_id = 7 THEN 'failed' ELSE 'running' END AS status, CASE WHEN event_id = 7 THEN 'boom' END AS error FROM events")
+def job_finish(spark, d):
+    """Of running jobs, one fails under its lease; another's finish comes with a lost lease."""
+    n = F.col("event_id")
+    null = lambda t: F.lit(None).cast(t)
+    jobs = table(spark, d, "events").select(n.cast("string").alias("id"), F.lit("k").alias("kind"), F.lit("{}").alias("payload"), F.lit("running").alias("status"), F.lit(1).alias("attempts"), F.lit("mine").alias("lease"), F.col("ts").cast("timestamp").alias("locked_at"), F.col("ts").cast("timestamp").alias("created_at"), null("string").alias("error"), null("string").alias("result"))
+    return S.finish(S.finish(jobs, "7", "mine", error="boom"), "8", "lost", result="late").select("id", "status", "error")
+
+
+@query("""WITH u AS (SELECT DISTINCT source, doc_id % 3 AS m FROM documents) SELECT source AS document_id, m::VARCHAR AS version, 'public' AS kind, '*' AS grantee FROM u WHERE m < 2 UNION ALL SELECT source, m::VARCHAR, 'nobody', '' FROM u WHERE m = 2 UNION ALL SELECT source, m::VARCHAR, 'group', 'ops' FROM u WHERE m = 2""")
+def grants_of_policies(spark, d):
+    """No policy and a public one give a public row; a private one a row that lets nobody in, and its grants."""
+    m = F.col("doc_id") % 3
+    units = table(spark, d, "documents").select(F.col("source").alias("document_id"), m.cast("string").alias("version"), F.when(m == 1, True).when(m == 2, False).alias("public"), F.lit(None).cast("array<string>").alias("principals"), F.when(m == 2, F.array(F.lit("ops"))).alias("groups")).distinct()
+    return S.policy_grants(units)
