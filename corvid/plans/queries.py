@@ -455,7 +455,7 @@ def hard_negatives(spark, d):
     return N.hard_negatives(a, b, allowed).select("qid", "chunk_id", "n")
 
 
-@query()
+@query("SELECT item_id AS n, true AS kept FROM benchmark UNION ALL SELECT item_id + 1000000, false FROM benchmark")
 def near_dup_greedy(spark, d):
     """All questions, and each once more with a word added at its end, which the first of the two keeps out."""
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("n"), "text")

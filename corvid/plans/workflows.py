@@ -912,3 +912,26 @@ def grants_of_policies(spark, d):
     m = F.col("doc_id") % 3
     units = table(spark, d, "documents").select(F.col("source").alias("document_id"), m.cast("string").alias("version"), F.when(m == 1, True).when(m == 2, False).alias("public"), F.lit(None).cast("array<string>").alias("principals"), F.when(m == 2, F.array(F.lit("ops"))).alias("groups")).distinct()
     return S.policy_grants(units)
+
+
+@query("""SELECT o_orderkey AS doc_id, 0 AS pos, NULL AS heading, 0 AS level, 'text' AS kind, 'intro of ' || o_orderkey AS text FROM orders UNION ALL SELECT o_orderkey, 1, 'Head ' || o_orderkey, 2, 'text', 'prose' FROM orders
+UNION ALL SELECT o_orderkey, 2, 'Head ' || o_orderkey, 2, 'table', 'caption' || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderstatus || ' | 1 |' FROM orders
+UNION ALL SELECT o_orderkey, 3, 'Head ' || o_orderkey, 2, 'code', '```' || chr(10) || '# no heading' || chr(10) || '```' FROM orders UNION ALL SELECT o_orderkey, 4, 'Last', 1, 'text', 'Last' FROM orders""")
+def markdown_blocks(spark, d):
+    """A text an order: prose, a heading, a captioned table, a fence with a mark of a heading, and a heading alone."""
+    k = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("intro of "), k, F.lit("\n## Head "), k, F.lit("\nprose\n\ncaption\n\n| a | b |\n| --- | --- |\n| "), F.col("o_orderstatus"), F.lit(" | 1 |\n\n```\n# no heading\n```\n# Last"))
+    return I.markdown_sections(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+
+
+@query(f"SELECT doc_id AS chunk_id, CASE WHEN len({TOKENS.format('text')}) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
+def hash_embedding_norms(spark, d):
+    """Hashed vectors have length one, but for texts without a token."""
+    return I.hash_embeddings(chunks_of(spark, d)).select("chunk_id", F.round(W.norm("embedding"), 6).alias("norm"))
+
+
+@query("SELECT round(avg(value), 6) AS mean, count(DISTINCT user_id) AS clusters, true AS inside FROM events")
+def bootstrap_mean(spark, d):
+    """Mean over rows, number of clusters, and that the interval holds the mean."""
+    out = N.cluster_bootstrap(table(spark, d, "events"), "user_id", "value")
+    return out.select(F.round("mean", 6).alias("mean"), "clusters", F.col("mean").between(F.col("low"), F.col("high")).alias("inside"))
