@@ -98,7 +98,7 @@ def leaking(passages: DataFrame, quotes: DataFrame) -> DataFrame:
     frequency = words.groupBy("lead").agg(F.count("*").alias("df"))
     # a word that no passage has decides the quote as well: nothing can hold it
     rarest = inner.join(frequency, "lead", "left").groupBy("quote_id", "quote").agg(F.min_by("lead", F.struct(F.coalesce("df", F.lit(0)), "lead")).alias("lead"))
-    found = words.join(small(rarest), "lead").select("chunk_id", "quote_id", "quote").join(p, "chunk_id").where(F.contains("body", F.col("quote")))
+    found = words.join(rarest, "lead").select("chunk_id", "quote_id", "quote").join(p, "chunk_id").where(F.contains("body", F.col("quote")))
     short = q.where(F.size("w") <= 2).select("quote_id", "quote")
     block = F.array_agg(F.struct("quote_id", "quote"))
     lists = short.groupBy(F.pmod(F.xxhash64("quote_id"), F.lit(64)).alias("b")).agg(block.alias("list"))
@@ -223,13 +223,12 @@ def values_at(rows: DataFrame, by: list[str], value: str, places: list[Column],
     """
     own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
     cuts = own.groupBy(*by).agg(F.array_distinct(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 10 * RANGES)).alias("cuts"), F.count("*").alias("n"))
-    cuts = small(cuts)
     held = own.groupBy(*by, "v").agg(F.count("*").alias("c")).join(cuts, by).withColumn("part", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts")
     parts = held.groupBy(*by, "part").agg(F.sum("c").alias("c"), F.max("n").alias("n"))
     parts = parts.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = parts.withColumn("want", F.explode(F.array(*[F.struct(F.lit(m).alias("name"), p.cast("long").alias("place")) for m, p in zip(names, places, strict=True)])))
     at = at.where((F.col("want.place") > F.col("before")) & (F.col("want.place") <= F.col("before") + F.col("c"))).select(*by, "part", "before", "want.name", "want.place")
-    inside = held.select(*by, "part", "v", "c").join(small(at), [*by, "part"])
+    inside = held.select(*by, "part", "v", "c").join(at, [*by, "part"])
     order = Window.partitionBy(*by, "part", "name").orderBy("v")
     inside = inside.withColumn("upto", F.col("before") + F.sum("c").over(order)).where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("c") < F.col("place")))
     found = inside.groupBy(*by).agg(*[F.max(F.when(F.col("name") == m, F.col("v"))).alias(m) for m in names])
@@ -251,7 +250,7 @@ def percentiles(rows: DataFrame, by: list[str], value: str, qs: dict[str, float]
 def latency_summary(traces: DataFrame, by: list[str], latency: str) -> DataFrame:
     """Count, mean and continuous percentiles of latency."""
     mean = traces.groupBy(*by).agg(F.round(F.avg(latency), 6).alias("mean"))
-    return percentiles(traces, by, latency, {"p50": 0.5, "p95": 0.95}).join(small(mean), by).select(*by, "n", "mean", "p50", "p95")
+    return percentiles(traces, by, latency, {"p50": 0.5, "p95": 0.95}).join(mean, by).select(*by, "n", "mean", "p50", "p95")
 
 
 def nearest_rank(traces: DataFrame, by: list[str], latency: str, qs: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:

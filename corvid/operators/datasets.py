@@ -206,7 +206,7 @@ def judge_drafts(drafts: DataFrame, records: DataFrame, assignments: DataFrame,
     asked = d.where(F.col("type").isin(NEGATIVE)).select(F.explode(F.array_compact(F.array("invented_identifier", "unavailable_identifier"))).alias("name")).where("name <> ''").distinct()
     where = records.select("version", F.lower("text").alias("low")).join(small(asked), F.contains(F.col("low"), F.lower(F.col("name")))).groupBy("name").agg(F.collect_set("version").alias("in_versions"))
     for c in ("invented_identifier", "unavailable_identifier"):
-        d = d.join(small(where.select(F.col("name").alias(c), F.col("in_versions").alias(f"{c}_in"))), c, "left")
+        d = d.join(where.select(F.col("name").alias(c), F.col("in_versions").alias(f"{c}_in")), c, "left")
     low, blank = F.lower("question"), lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     names = lambda c: F.contains(low, F.lower(F.col(c)))
     kinds = lambda f: F.size(F.array_distinct(F.transform("spans", lambda s: s[f])))

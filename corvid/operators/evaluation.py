@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 from corvid.functions import text as X
 from corvid.operators import analysis as N
 from corvid.operators import retrieval as T
-from corvid.operators.ranking import small
 
 # Cut-offs, scored types and failure words.
 KS = (1, 3, 5, 10)
@@ -110,7 +109,7 @@ def guard_nonzero(rows: DataFrame, metric: str, by: str = "arm") -> DataFrame:
 def distribution(rows: DataFrame, by: list[str], value: str, quantiles: dict[str, float] | None = None) -> DataFrame:
     """Number, mean and quantiles of the values of each group, nulls left out."""
     mean = rows.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"))
-    return N.percentiles(rows, by, value, quantiles or QUANTILES).join(small(mean), by)
+    return N.percentiles(rows, by, value, quantiles or QUANTILES).join(mean, by)
 
 
 def cohort_metrics(rows: DataFrame, metrics: list[str], latency: str = "latency_ms") -> DataFrame:

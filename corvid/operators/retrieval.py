@@ -128,7 +128,7 @@ def scoped_bm25(chunks: DataFrame, requests: DataFrame, units: DataFrame) -> Dat
     postings = rows.groupBy(*keep).agg(F.count("*").alias("tf"), *extra)
     held = postings.join(reach, UNIT).where(ok).select("sig", "chunk_id", "term", "tf", "length")
     frequency = held.groupBy("sig", "term").agg(F.count("*").alias("df"))
-    hits = held.join(R.small(asked), ["sig", "term"]).join(frequency, ["sig", "term"]).join(R.small(stats), "sig")
+    hits = held.join(R.small(asked), ["sig", "term"]).join(frequency, ["sig", "term"]).join(stats, "sig")
     tf = F.col("tf")
     part = R.idf(F.col("n"), F.col("df")) * tf * (R.K1 + 1) / (tf + R.K1 * (1 - R.B + R.B * F.col("length") / F.col("avgdl")))
     return hits.groupBy("qid", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
