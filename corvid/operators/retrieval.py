@@ -288,6 +288,12 @@ class StagedRetriever:
         self.chunks, self.grants, self.config = chunks, grants, config
         self.reranker, self.encoder = reranker or R.rerank_overlap, encoder
         self.units = chunks.select(*UNIT).distinct()
+        self.ready = False
+
+    def prepare(self) -> None:
+        """Write units and grants once: every measure and join of the filters reads them."""
+        if not self.ready:
+            self.units, self.grants, self.ready = materialise(self.units, "units"), materialise(self.grants, "grants"), True
 
     def scoped(self, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Requests with their resolved filters, ``status, versions`` and signature, and the units of each signature."""
@@ -312,8 +318,10 @@ class StagedRetriever:
         c = self.config
         if self.encoder is not None:
             requests = self.encoder(requests)
-        asked, units = self.scoped(requests)
-        asked, units = materialise(asked, "requests"), materialise(units, "units")
+        self.prepare()
+        asked, units = self.scoped(materialise(requests, "asked"))
+        asked, units = materialise(asked, "requests"), materialise(units, "reach")
+        self.asked, self.reach = asked, units
         none = asked.sparkSession.createDataFrame([], f"qid long, chunk_id {dict(self.chunks.dtypes)['chunk_id']}, score double, rank int")
         dense = materialise(self.dense_list(asked, units, c.candidate_k), "dense") if c.search_mode != "sparse" else none
         sparse = materialise(self.sparse_list(asked, units, c.candidate_k), "sparse") if c.search_mode != "dense" else none

@@ -137,7 +137,7 @@ class Service:
         asked = requests.withColumn("query", F.when(F.trim("query") == "", F.raise_error(F.lit("query cannot be empty"))).otherwise(F.col("query")))
         retriever = T.StagedRetriever(self.chunks(), grants, s.retrieval, **({"reranker": self.reranker} if self.reranker else {}), encoder=self.encoder)
         matches, traces = retriever.retrieve(asked)
-        scoped, units = retriever.scoped(self.encoder(asked) if self.encoder else asked)
+        scoped, units = retriever.asked, retriever.reach
         evidence = matches.join(self.chunks().select("chunk_id", "document_id", "version", "section_path", "text", "metadata", "page_metadata"), "chunk_id")
         sig = scoped.select("qid", "sig")
         allowed = evidence.select("qid", "chunk_id", "document_id", "version").join(sig, "qid").join(units, ["sig", "document_id", "version"], "left_semi").select("qid", "chunk_id")
