@@ -99,7 +99,9 @@ def fuse(dense_list: DataFrame, sparse_list: DataFrame, method: str = "rrf", alp
         hybrid = F.coalesce(1.0 / (rrf_k + F.col("dense_rank")), F.lit(0.0)) + F.coalesce(1.0 / (rrf_k + F.col("sparse_rank")), F.lit(0.0))
     else:
         hybrid = alpha * _scaled("dense_score") + (1 - alpha) * _scaled("sparse_score")
-    out = both.withColumn("hybrid_score", F.round(hybrid, DIGITS)).withColumn("dense_score", F.coalesce("dense_score", F.lit(0.0))).withColumn("sparse_score", F.coalesce("sparse_score", F.lit(0.0)))
+    # weighted sums of six digits have more, and may lie half way between two roundings
+    digits = DIGITS if method == "rrf" else DIGITS + 3
+    out = both.withColumn("hybrid_score", F.round(hybrid, digits)).withColumn("dense_score", F.coalesce("dense_score", F.lit(0.0))).withColumn("sparse_score", F.coalesce("sparse_score", F.lit(0.0)))
     return top_k(out, 2**31 - 1, ["qid"], [F.desc("hybrid_score"), F.asc("chunk_id")]).select("qid", "chunk_id", "dense_score", "sparse_score", "hybrid_score", "rank")
 
 

@@ -155,7 +155,7 @@ def fusion_rrf(spark, d):
 
 @query(FUSED + """, sc AS (SELECT qid, chunk_id, greatest(coalesce(ds, 0), 0) AS x, greatest(coalesce(ss, 0), 0) AS y FROM b),
 m AS (SELECT *, max(x) OVER (PARTITION BY qid) AS mx, max(y) OVER (PARTITION BY qid) AS my FROM sc),
-f AS (SELECT qid, chunk_id, round(0.25::DOUBLE * CASE WHEN mx > 0 THEN x / mx ELSE 0 END + 0.75::DOUBLE * CASE WHEN my > 0 THEN y / my ELSE 0 END, 6) AS hybrid_score FROM m)
+f AS (SELECT qid, chunk_id, round(0.25::DOUBLE * CASE WHEN mx > 0 THEN x / mx ELSE 0 END + 0.75::DOUBLE * CASE WHEN my > 0 THEN y / my ELSE 0 END, 9) AS hybrid_score FROM m)
 SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hybrid_score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 30""")
 def fusion_weighted(spark, d):
     f = R.fuse(dense_list(spark, d, 200), sparse_list(spark, d, 200), "weighted", 0.25)

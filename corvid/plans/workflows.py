@@ -755,7 +755,7 @@ def orphan_vectors(spark, d):
 
 
 @query(FUSED + """, sc AS (SELECT qid, chunk_id, greatest(coalesce(ds, 0), 0) AS x, greatest(coalesce(ss, 0), 0) AS y FROM b), m AS (SELECT *, max(x) OVER (PARTITION BY qid) AS mx, max(y) OVER (PARTITION BY qid) AS my FROM sc),
-f AS (SELECT qid, chunk_id, round(0.5::DOUBLE * CASE WHEN mx > 0 THEN x / mx ELSE 0 END + 0.5::DOUBLE * CASE WHEN my > 0 THEN y / my ELSE 0 END, 6) AS hybrid_score FROM m),
+f AS (SELECT qid, chunk_id, round(0.5::DOUBLE * CASE WHEN mx > 0 THEN x / mx ELSE 0 END + 0.5::DOUBLE * CASE WHEN my > 0 THEN y / my ELSE 0 END, 9) AS hybrid_score FROM m),
 z AS (SELECT * FROM f UNION ALL SELECT q.qid, i.doc_id, 0 FROM (SELECT DISTINCT qid FROM f) q CROSS JOIN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 900) i WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.qid = q.qid AND f.chunk_id = i.doc_id))
 SELECT qid, chunk_id, hybrid_score, row_number() OVER (PARTITION BY qid ORDER BY hybrid_score DESC, chunk_id) AS rank FROM z QUALIFY rank <= 30""")
 def hybrid_offline(spark, d):
