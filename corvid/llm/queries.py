@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, forest_search, katz, language, license_scan, line_dedup, parity_join, quality
+from . import byte_bpe, chat, decontaminate, fill_middle, forest_search, html_extract, katz, language, license_scan, line_dedup, parity_join, periodic_runs, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,19 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.run_report(docs, text=periodic_runs.planted(F.col("doc_id"), F.col("text")))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.middle_report(table(spark, sf_dir, "documents"))
+
+
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.text_report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -70,8 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_parity_join": op10_parity_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_html_extract": op13_html_extract,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.REPORT_SQL,
     "op4_license_scan": license_scan.REPORT_SQL,
+    "op12_fill_middle": fill_middle.REPORT_SQL,
 }
