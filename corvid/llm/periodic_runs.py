@@ -37,6 +37,8 @@ from .text_arrays import WordHasher, mix, space_separated, text_blocks, word_spa
 MIN_WORDS = 6
 MIN_PERIODS = 4
 MODULUS = (1 << 61) - 1
+#: Words over which a known extension is carried on by comparing them.
+NEAR = 256
 FAR = np.iinfo(np.int64).max
 
 
@@ -46,8 +48,8 @@ class Extensions:
     def __init__(self, words: list[int], base: int) -> None:
         self.words, n = words, len(words)
         self.sums, self.powers = [0] * (n + 1), [1] * (n + 1)
-        total = power = 0
-        power = 1
+        self.known: dict[int, tuple[int, int]] = {}
+        total, power = 0, 1
         for k, w in enumerate(words):
             total = (total * base + w + 1) % MODULUS
             power = power * base % MODULUS
@@ -65,14 +67,24 @@ class Extensions:
             if w[i + n] != w[j + n]:
                 return n
             n += 1
+        # the last answer at this distance, a few words to the right, is carried on if the words between are equal
+        place, length = self.known.get(j - i, (0, 0))
+        gap = place - i
+        if 0 <= gap <= NEAR and w[i:place] == w[j : j + gap]:
+            n = gap + length
+        else:
+            n = self._search(i, j, n, most)
+        self.known[j - i] = (i, n)
+        return n
+
+    def _search(self, i: int, j: int, n: int, most: int) -> int:
         step = 8
         while n + step <= most and self._same(i + n, j + n, step):
             n += step
             step *= 2
-        while step:
+        while step := step // 2:
             if n + step <= most and self._same(i + n, j + n, step):
                 n += step
-            step //= 2
         return n
 
     def left(self, i: int, j: int) -> int:
@@ -86,10 +98,9 @@ class Extensions:
         while n + step <= i and self._same(i - n - step, j - n - step, step):
             n += step
             step *= 2
-        while step:
+        while step := step // 2:
             if n + step <= i and self._same(i - n - step, j - n - step, step):
                 n += step
-            step //= 2
         return n
 
 
@@ -111,10 +122,12 @@ def lyndon_runs(words: list[int], min_words: int = MIN_WORDS, min_periods: int =
     while True:
         reach = Extensions(words, base or rng.randrange(1 << 20, MODULUS))
         right, left, found = reach.right, reach.left, set()
+        extents: dict[int, tuple[int, int]] = {}  # of each period the last stretch that was extended
         for smaller in (False, True):
             stack = [n]  # starts of ever smaller suffixes, the nearest on top; the end is the smallest
             for i in range(n - 1, -1, -1):
                 word = words[i]
+                common = 0
                 while (j := stack[-1]) < n:
                     other = words[j]
                     if word == other:
@@ -123,17 +136,21 @@ def lyndon_runs(words: list[int], min_words: int = MIN_WORDS, min_periods: int =
                             break
                         a, b = words[i + common], words[j + common]
                     else:
+                        common = 0
                         a, b = word, other
                     if (a > b) != smaller:
                         break
                     stack.pop()
+                else:
+                    common = 0
                 period = j - i
                 stack.append(i)
-                if min_periods * period > n:
+                if min_periods * period > n or not (common or (i and words[i - 1] == words[j - 1])):
                     continue
-                if not (j < n and word == words[j]) and not (i and words[i - 1] == words[j - 1]):
+                start, end = extents.get(period, (n, 0))
+                if start <= i and j <= end:
                     continue
-                start, end = i - left(i, j), j + (right(i, j) if j < n else 0)
+                start, end = extents[period] = i - left(i, j), j + common
                 if end - start >= max(min_words, min_periods * period):
                     found.add((start, end - start, period))
         if all(_is_run(words, s, s + m, q) for s, m, q in found):
@@ -271,12 +288,17 @@ def planted(key: Column, text: Column) -> Column:
     """The contract's texts: for a tenth of the keys, words from a place on repeat with a period; other texts are as they are."""
     h = F.crc32(key.cast("string").cast("binary"))
     g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        body = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(body, F.lit(1), n - a)), " ")).otherwise(text)
+
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n = F.size(words)
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i >= a, a + F.pmod(i - a, p)).otherwise(i).cast("int")))
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+    # the words are bound to a variable, so that they are taken once
+    return F.when(F.pmod(h, F.lit(10)) == 0, F.transform(F.array(words), repeated)[0]).otherwise(text)
 
 
 def run_report(docs: DataFrame, *, text: Column | str = "text", key: str = "doc_id") -> DataFrame:
