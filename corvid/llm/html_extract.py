@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import Shipped, free_column, materialise, returns_memory
+from .cluster import Scratch, Shipped, free_column, returns_memory
 from .line_dedup import url_host
 
 #: Share of a host's different articles above which a recurring subtree is template, and their least number.
@@ -269,10 +269,10 @@ def subtree_rows(pages: DataFrame, *, source: str = "html", url: str = "url") ->
     return pages.select(url_host(F.col(url)).alias("host"), F.col(source).alias("source")).mapInArrow(returns_memory(run), COUNTED)
 
 
-def templates(pages: DataFrame, *, source: str = "html", url: str = "url", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host``, and the array ``subtrees`` of the hashes of its template, for hosts that have one."""
+def templates(pages: DataFrame, *, source: str = "html", url: str = "url", ratio: float = RATIO, min_pages: int = MIN_PAGES, scratch: Scratch | None = None) -> DataFrame:
+    """``host``, and the array ``subtrees`` of the hashes of its template, for hosts that have one; ``scratch`` holds the counts."""
     counted = subtree_rows(pages, source=source, url=url).distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    counted = materialise(counted, "subtrees")
+    counted = (scratch or Scratch(pages.sparkSession, "html")).keep(counted, "subtrees")
     whole = counted.where(F.length("subtree") == 0).select(F.col("host").alias("h"), F.col("n").alias("articles"))
     found = counted.where(F.length("subtree") > 0).join(whole, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > F.lit(ratio) * F.col("articles"))
     return found.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
@@ -281,7 +281,9 @@ def templates(pages: DataFrame, *, source: str = "html", url: str = "url", ratio
 def extract_text(pages: DataFrame, *, source: str = "html", url: str = "url", out: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with the main text in ``out`` (with underscores in front if that is taken)."""
     spark = pages.sparkSession
-    found = materialise(templates(pages, source=source, url=url, ratio=ratio, min_pages=min_pages), "templates")
+    scratch = Scratch(spark, "html")
+    found = scratch.keep(templates(pages, source=source, url=url, ratio=ratio, min_pages=min_pages, scratch=scratch), "templates")
+    scratch.clear("subtrees")
     size = found.agg(F.sum(F.size("subtrees") * 48 + 128)).first()[0] or 0
     host, subtrees, salt, added = (free_column(pages, c) for c in ("host", "subtrees", "salt", out))
     hosted = pages.withColumn(host, url_host(F.col(url)))
@@ -289,6 +291,7 @@ def extract_text(pages: DataFrame, *, source: str = "html", url: str = "url", ou
     if size <= BROADCAST_BYTES:
         by_host: dict[str | None, frozenset[bytes]] = {r.host: frozenset(map(bytes, r.subtrees)) for r in found.toLocalIterator()}
         known = Shipped(spark, by_host)
+        scratch.clear()
     else:
         copies = found.select(F.col("host").alias(host + "_found"), F.col("subtrees").alias(subtrees), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt + "_found"))
         salted = hosted.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))

@@ -159,19 +159,54 @@ def cohorts(rows: DataFrame, sets: list[list[str]], columns: list[str], metrics:
     return rows.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns]).agg(F.grouping_id().alias("grouping"), *metrics)
 
 
+#: Clusters that one task resamples, about.
+BUCKET_CLUSTERS = 1 << 18
+
+
+def bucket_draws(seed: int, sizes: list[int], draws: int) -> np.ndarray:
+    """How many of the clusters of each draw (row) come from each bucket (column): multinomial by the buckets' sizes."""
+    n = sum(sizes)
+    return np.random.default_rng([seed, 1 << 31]).multinomial(n, np.array(sizes, float) / n, size=draws)
+
+
+def drawn_sums(seed: int, bucket: int, taken: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each draw the sums of values and of rows over what it takes from one bucket, with replacement.
+
+    The first bucket draws from the stream of the seed itself, so a single bucket gives the plain bootstrap of the sorted clusters.
+    """
+    rng, tops, rows = np.random.default_rng([seed, bucket] if bucket else seed), np.empty(len(taken)), np.empty(len(taken))
+    for d, k in enumerate(taken):
+        times = np.bincount(rng.integers(0, len(s), k), minlength=len(s))
+        tops[d], rows[d] = times @ s, times @ n
+    return tops, rows
+
+
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Mean and 95 % interval from resampling clusters; one row per cluster reaches the drawing task."""
-    sums = rows.groupBy(F.col(cluster).cast("string").alias("c")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        s, n = pdf["s"].to_numpy(float), pdf["n"].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        means = [s[pick].sum() / n[pick].sum() for pick in (rng.integers(0, len(s), len(s)) for _ in range(draws))]
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame([(s.sum() / n.sum(), low, high, len(s))], columns=["mean", "low", "high", "clusters"])
-
-    return sums.groupBy(F.lit(1).alias("g")).applyInPandas(lambda k, p: run(p), "mean double, low double, high double, clusters long")
+    """``mean, low, high, clusters``: mean and 95 % interval from resampling whole clusters.
+
+    A draw of as many clusters as there are is split: first how many fall on each bucket of clusters, then which of the
+    bucket, in the bucket's own task. Buckets go by hash of the cluster, so results do not depend on partitions; only
+    ``draws`` sums a bucket are shuffled. Without rows there is no result row.
+    """
+    scratch = Scratch(rows.sparkSession, "bootstrap")
+    sums = scratch.keep(rows.groupBy(F.col(cluster).cast("string").alias("c")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(value).alias("n")), "sums")
+    total = sums.count()
+    buckets = max(1, -(-total // BUCKET_CLUSTERS))
+    bucketed = sums.withColumn("bucket", F.pmod(F.xxhash64("c"), F.lit(buckets)))
+    sizes = {r.bucket: r["count"] for r in bucketed.groupBy("bucket").count().collect()}
+    order = sorted(sizes)
+    taken = bucket_draws(seed, [sizes[b] for b in order], draws) if total else np.zeros((draws, 0), int)
+    column = {b: k for k, b in enumerate(order)}
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("c", na_position="first")
+        tops, counts = drawn_sums(seed, int(key[0]), taken[:, column[key[0]]], frame["s"].fillna(0.0).to_numpy(float), frame["n"].to_numpy(float))
+        return pd.DataFrame({"draw": np.arange(draws), "s": tops, "n": counts})
+
+    drawn = bucketed.groupBy("bucket").applyInPandas(run, "draw long, s double, n double").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
+    spread = drawn.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    whole = sums.agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("clusters")).where("clusters > 0")
+    return whole.crossJoin(spread).select("mean", "low", "high", "clusters")
 
 
 def paired_bootstrap(rows: DataFrame, cluster: str, left: str, right: str, draws: int = 2000, seed: int = 42) -> DataFrame:

@@ -206,50 +206,6 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, *, cosine: bool =
     return R.top_k(every, k, ["qid"], [F.desc("score"), F.asc("chunk_id")])
 
 
-def fts_scores(chunks: DataFrame, queries: DataFrame, stopwords: list[str], max_share: float = 0.05) -> DataFrame:
-    """``qid, chunk_id, score``: 0.1 for each place where a kept term stands, the greater of prose and identifiers.
-
-    Each alternative of an OR query of single lexemes is a cover of its own, so cover density is the number of
-    hits; a compound term counts where its parts follow each other. Text is cut into runs of letters and digits,
-    an approximation of a database's parser. At most 256 places of a lexeme count, as such an index keeps no more.
-    """
-    kept = R.kept_terms(queries, chunks, stopwords, max_share).where("kept")
-    split = queries.withColumn("query", X.split_identifiers("query"))
-    parts = R.kept_terms(split, chunks, stopwords, max_share).where("kept")
-    word = r"(?i)[a-z0-9]+"
-    pieces = lambda t: F.transform(F.regexp_extract_all(t, F.lit(word), F.lit(0)), F.lower)
-    compound = kept.where(F.col("term").rlike(r"[_./-]"))
-    asked = kept.select("qid", "term", F.lit("plain").alias("side")).unionByName(parts.select("qid", "term", F.lit("identifiers").alias("side")))
-    asked = asked.unionByName(compound.select("qid", "term", F.lit("identifiers").alias("side"))).distinct().withColumn("parts", pieces(F.col("term")))
-    asked = asked.withColumn("first", F.get("parts", F.lit(0)))
-    found = chunks.select("chunk_id", F.explode(F.array(pieces(F.col("text")))).alias("tokens"))
-    wanted = R.small(asked.select("first").distinct())
-    single = found.select("chunk_id", F.explode("tokens").alias("first")).join(wanted, "first", "left_semi").groupBy("chunk_id", "first").agg(F.least(F.count("*"), F.lit(256)).alias("hits"))
-    one = single.join(R.small(asked.where(F.size("parts") == 1)), "first").select("qid", "chunk_id", "side", "hits")
-    several = R.small(asked.where(F.size("parts") > 1))
-    met = single.join(several, "first").select("qid", "chunk_id", "side", "parts").join(found, "chunk_id")
-    m = F.size("parts")
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size("tokens") - m + 1, F.lit(1))), lambda i: F.slice("tokens", i, m) == F.col("parts"))
-    phrase = met.select("qid", "chunk_id", "side", F.least(F.size(places).cast("long"), F.lit(256)).alias("hits")).where("hits > 0")
-    sides = one.unionByName(phrase).groupBy("qid", "chunk_id", "side").agg(F.sum("hits").alias("hits"))
-    return sides.groupBy("qid", "chunk_id").agg(F.round(0.1 * F.max("hits"), R.DIGITS).alias("score"))
-
-
-def fts_diagnostic(chunks: DataFrame, queries: DataFrame, stopwords: list[str], gold: DataFrame, k: int = 3) -> DataFrame:
-    """What the full-text search of each query did: its OR query, dropped terms, matches, first ids, ranks of gold chunks."""
-    terms = R.kept_terms(queries, chunks, stopwords)
-    said = terms.groupBy("qid").agg(
-        X.or_query(F.transform(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("place", "term")))), lambda s: s["term"])).alias("plain_query"),
-        F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("term")))).alias("dropped_terms"),
-    )
-    # a gold chunk may stand at any place, so ranks are made over all matches
-    places = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
-    ranked = fts_scores(chunks, queries, stopwords).withColumn("rank", places)
-    top = ranked.groupBy("qid").agg(F.count("*").alias("n_matching"), F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "chunk_id")))), lambda s: s["chunk_id"]).alias("top_ids"))
-    placed = gold.join(ranked.select("qid", "chunk_id", "rank"), ["qid", "chunk_id"], "left").groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("chunk_id").cast("string"), "rank")))).alias("gold_ranks"))
-    return queries.select("qid").join(said, "qid", "left").join(top, "qid", "left").join(placed, "qid", "left").fillna(0, ["n_matching"])
-
-
 # --- the staged retriever -----------------------------------------------------------------------
 @dataclass(frozen=True)
 class RetrievalConfig:

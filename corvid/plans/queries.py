@@ -22,7 +22,7 @@ from corvid.operators import ingest as I
 from corvid.operators import ranking as R
 from corvid.operators import retrieval as T
 from corvid.operators import store as S
-from corvid.plans.registry import query, table
+from corvid.plans.registry import query, shared, table
 from corvid.tables import materialise
 
 STOPWORDS = ["the", "of", "and", "to", "is", "in", "a", "what", "how"]
@@ -31,7 +31,7 @@ RESTRICTED = ["src3", "src11"]
 TOKENS = "flatten(list_transform(regexp_extract_all({0}, '(?i)[a-z0-9]+(?:[-_/.][a-z0-9]+)*(?:\\(\\d+\\))?'), lambda t: list_concat([lower(t)], list_filter(regexp_split_to_array(lower(t), '[-_/.()]+'), lambda p: p <> ''))))"
 #: Common table expressions that several oracle queries start from.
 CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, lang AS version, source AS document_id, text FROM documents)"
-TF = f"tok AS (SELECT chunk_id, version, {TOKENS.format('text')} AS tokens FROM chunks), tf AS (SELECT chunk_id, version, term, len(any_value(tokens)) AS length, count(*) AS tf FROM (SELECT chunk_id, version, tokens, unnest(tokens) AS term FROM tok) GROUP BY ALL)"
+TF = f"tok AS MATERIALIZED (SELECT chunk_id, version, {TOKENS.format("text")} AS tokens FROM chunks), tf AS MATERIALIZED (SELECT chunk_id, version, term, length, count(*) AS tf FROM (SELECT chunk_id, version, len(tokens) AS length, unnest(tokens) AS term FROM tok) GROUP BY ALL)"
 ASKED = f"asked AS (SELECT DISTINCT item_id AS qid, unnest({TOKENS.format('text')}) AS term FROM benchmark)"
 BM25 = f"""{CHUNKS}, {TF}, {ASKED},
 stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -73,12 +73,20 @@ def query_vectors(spark: SparkSession, d: str) -> DataFrame:
     return asked.join(e, "vec_id").select("qid", "embedding")
 
 
+#: Longest list that a query takes of either search.
+LONGEST = 200
+
+
 def sparse_list(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return R.ranked(R.bm25(chunks_of(spark, d), questions(spark, d)), k)
+    """The first ``k`` of each question by BM25; one list of a session serves all queries."""
+    found = shared(spark, d, "sparse-list", lambda: R.ranked(R.bm25(chunks_of(spark, d), questions(spark, d)), LONGEST))
+    return found.where(F.col("rank") <= k)
 
 
 def dense_list(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return T.dense_top(doc_vectors(spark, d), query_vectors(spark, d), k)
+    """The first ``k`` of each question by cosine; one list of a session serves all queries."""
+    found = shared(spark, d, "dense-list", lambda: T.dense_top(doc_vectors(spark, d), query_vectors(spark, d), LONGEST))
+    return found.where(F.col("rank") <= k)
 
 
 def rrf_list(spark: SparkSession, d: str, k: int = 30) -> DataFrame:

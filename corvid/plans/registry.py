@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvid.tables import materialise
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,3 +26,14 @@ def query(oracle: str | None = None, name: str | None = None):
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A list that several queries of a session start from: written to shared storage once for the tables of ``d``, then read."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _SHARED:
+        _SHARED[key] = materialise(build(), name)
+    return _SHARED[key]

@@ -15,6 +15,7 @@ from corvid.operators import chunking as C
 from corvid.operators import datasets as D
 from corvid.operators import diffs as Z
 from corvid.operators import evaluation as E
+from corvid.operators import fulltext
 from corvid.operators import ingest as I
 from corvid.operators import ranking as R
 from corvid.operators import retrieval as T
@@ -22,8 +23,9 @@ from corvid.operators import sgml
 from corvid.operators import store as S
 from corvid.operators import verification as V
 from corvid.plans.queries import BM25, CHUNKS, FUSED, STOPWORDS, TF, TOKENS, TOP_SPARSE, chunks_of, dense_list, doc_vectors, query_vectors, questions, sparse_list
-from corvid.plans.registry import query, table
+from corvid.plans.registry import query, shared, table
 from corvid.sources import files
+from corvid.tables import materialise
 
 SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
 #: Units (source, language) are public unless the source's number is divisible by five.
@@ -57,6 +59,19 @@ def corpus(spark, d):
 
 
 # --- retrieval ----------------------------------------------------------------------------------
+def retrieved(spark, d, what):
+    """``matches`` or ``traces`` of one run of the staged retriever, which all queries of a session share."""
+    held = {}
+
+    def run(name):
+        if not held:
+            held["matches"], held["traces"] = T.StagedRetriever(corpus(spark, d), unit_grants(spark, d)).retrieve(requests_of(spark, d))
+        return held[name]
+
+    out = {name: shared(spark, d, f"retrieved-{name}", lambda name=name: run(name)) for name in ("matches", "traces")}
+    return out[what]
+
+
 STAGED = f"""WITH {CHUNKS}, {TF}, {UNIT_ACL}, nvec AS (SELECT count(*) AS nv FROM embeddings),
 ask AS (SELECT item_id AS qid, item_id % 3 AS r, item_id % 2 AS odd, text, list_distinct({TOKENS.format('text')}) AS qt, e.embedding::DOUBLE[] AS q FROM benchmark CROSS JOIN nvec JOIN embeddings e ON e.vec_id = item_id % nv),
 sig AS (SELECT DISTINCT r, odd FROM ask), ok AS (SELECT r, odd, c.chunk_id, c.document_id FROM sig JOIN may USING (r) JOIN chunks c ON c.document_id = may.source AND c.version = may.lang WHERE odd = 0 OR c.version = 'en'),
@@ -80,20 +95,18 @@ once AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY qid, chunk_id
 @query(f"{STAGED} SELECT qid, chunk_id, hybrid AS hybrid_score, rerank AS rerank_score, coalesce(rerank, hybrid) AS final_score, rank FROM fin")
 def staged_retrieval(spark, d):
     """All questions through scope, dense and sparse lists, fusion, reranking and parents, each within what it may read."""
-    matches, _ = T.StagedRetriever(corpus(spark, d), unit_grants(spark, d)).retrieve(requests_of(spark, d))
-    return matches.select("qid", "chunk_id", "hybrid_score", "rerank_score", "final_score", "rank")
+    return retrieved(spark, d, "matches").select("qid", "chunk_id", "hybrid_score", "rerank_score", "final_score", "rank")
 
 
 @query(f"{STAGED}, t AS (SELECT qid, 'dense' AS stage, count(*) AS n FROM d GROUP BY qid UNION ALL SELECT qid, 'sparse', count(*) FROM s GROUP BY qid UNION ALL SELECT qid, 'fusion', count(*) FROM fr GROUP BY qid UNION ALL SELECT qid, 'rerank', count(*) FROM rk GROUP BY qid UNION ALL SELECT qid, 'parent_context', count(*) FROM fin GROUP BY qid) SELECT * FROM t UNION ALL SELECT qid, 'scope_auth', 0 FROM ask")
 def stage_traces(spark, d):
     """Candidates of each stage of each question's trace."""
-    _, traces = T.StagedRetriever(corpus(spark, d), unit_grants(spark, d)).retrieve(requests_of(spark, d))
-    return traces.select("qid", "stage", F.greatest(F.coalesce(F.size("candidates"), F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    return retrieved(spark, d, "traces").select("qid", "stage", F.greatest(F.coalesce(F.size("candidates"), F.lit(0)), F.lit(0)).cast("long").alias("n"))
 
 
 @query(f"{STAGED} SELECT qid, greatest(0, least(1, coalesce(rerank, hybrid))) AS confidence FROM fin WHERE rank = 1")
 def retrieval_confidence(spark, d):
-    return T.confidence(T.StagedRetriever(corpus(spark, d), unit_grants(spark, d)).retrieve(requests_of(spark, d))[0])
+    return T.confidence(retrieved(spark, d, "matches"))
 
 
 @query(f"WITH {UNIT_ACL} SELECT requester, source AS document_id, lang AS version FROM may JOIN who USING (r)")
@@ -125,23 +138,63 @@ def filter_scopes(spark, d):
     return docs.crossJoin(asked).where(T.in_scopes("scopes")).groupBy("qid").agg(F.sum("c").alias("n"))
 
 
-FTS = f"""WITH asked AS (SELECT DISTINCT item_id AS qid, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)[a-z0-9]+(?:[_./-][a-z0-9]+)*'), lambda t: lower(t)))) AS term FROM benchmark),
-tk AS (SELECT doc_id AS chunk_id, list_transform(regexp_extract_all(text, '(?i)[a-z0-9]+'), lambda t: lower(t)) AS t FROM documents), hits AS (SELECT chunk_id, term, least(count(*), 256) AS hits FROM (SELECT chunk_id, unnest(t) AS term FROM tk) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM hits GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
-kept AS (SELECT qid, term FROM asked LEFT JOIN df USING (term) CROSS JOIN n WHERE NOT (term IN ({", ".join(repr(s) for s in STOPWORDS)}) OR regexp_matches(term, '^[0-9]+$')) AND NOT regexp_matches(term, '[_./-]') AND coalesce(df, 0) / n::DOUBLE <= 0.05),
-sc AS (SELECT qid, chunk_id, round(0.1 * sum(hits), 6)::DOUBLE AS score FROM kept JOIN hits USING (term) GROUP BY ALL)"""
+#: Common table expressions of the full-text queries: judged terms, postings of what is asked for, minimal covers.
+FTS_TERMS = "list_distinct(list_transform(regexp_extract_all({0}, '(?i)[a-z0-9]+(?:[_./-][a-z0-9]+)*'), lambda t: lower(t)))"
+FTS_LEX = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda t: lower(t))"
+FTS_JUDGED = f"""terms AS (SELECT item_id AS qid, 'plain' AS side, unnest({FTS_TERMS.format('text')}) AS term, generate_subscripts({FTS_TERMS.format('text')}, 1) AS place FROM benchmark
+  UNION ALL SELECT item_id, 'identifiers', unnest({FTS_TERMS.format("regexp_replace(text, '[_./-]', ' ', 'g')")}), generate_subscripts({FTS_TERMS.format("regexp_replace(text, '[_./-]', ' ', 'g')")}, 1) FROM benchmark),
+tk AS (SELECT doc_id AS chunk_id, {FTS_LEX.format('text')} AS t FROM documents),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM tk) GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+judged AS (SELECT qid, side, place, term, NOT (term IN ({", ".join(repr(s) for s in STOPWORDS)}) OR regexp_matches(term, '^[0-9]+$') OR regexp_matches(term, '^(?:pg|postgresql|v)[-_.]?[0-9]+(?:[-_.][0-9]+)*$'))
+  AND (regexp_matches(term, '[_./-]') OR coalesce(df, 0) / n::DOUBLE <= 0.05) AS kept FROM terms LEFT JOIN df USING (term) CROSS JOIN n)"""
+FTS_OR = f"""units AS (SELECT DISTINCT qid, side, term AS unit, {FTS_LEX.format('term')} AS words FROM judged WHERE kept UNION SELECT qid, 'identifiers', term, {FTS_LEX.format('term')} FROM judged WHERE side = 'plain' AND regexp_matches(term, '[_./-]'))"""
+FTS_PAIRS = f"""units AS (SELECT DISTINCT a.qid, a.side, a.term || ' ' || b.term AS unit, {FTS_LEX.format("a.term || ' ' || b.term")} AS words FROM judged a JOIN judged b ON a.qid = b.qid AND a.side = b.side AND b.place = a.place + 1 WHERE a.side = 'plain' AND a.kept AND b.kept)"""
+FTS_MET = """uw AS (SELECT qid, side, unit, len(words) AS size, unnest(words) AS lexeme, generate_subscripts(words, 1) - 1 AS off FROM units),
+posted AS (SELECT DISTINCT chunk_id, lexeme, least(place, 16383) AS place FROM (SELECT chunk_id, unnest(t) AS lexeme, generate_subscripts(t, 1) AS place FROM tk) SEMI JOIN uw USING (lexeme)),
+few AS (SELECT * FROM posted QUALIFY row_number() OVER (PARTITION BY chunk_id, lexeme ORDER BY place) <= 256),
+met AS (SELECT qid, side, chunk_id, unit, place - off AS first, place - off + size - 1 AS last FROM few JOIN uw USING (lexeme) GROUP BY qid, side, chunk_id, unit, size, place - off HAVING count(*) = size)"""
+FTS_ANY = """covers AS (SELECT *, 0 AS others FROM (SELECT DISTINCT qid, side, chunk_id, first, last FROM met)
+  QUALIFY coalesce(first > max(first) OVER (PARTITION BY qid, side, chunk_id ORDER BY last, first DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true))"""
+FTS_ALL = """need AS (SELECT qid, side, list(DISTINCT unit) AS needed FROM uw GROUP BY ALL),
+whole AS (SELECT qid, side, chunk_id, any_value(needed) AS needed FROM met JOIN need USING (qid, side) GROUP BY qid, side, chunk_id HAVING count(DISTINCT unit) = len(any_value(needed))),
+ends AS (SELECT qid, side, chunk_id, unit, first, last, unnest(needed) AS other FROM met JOIN whole USING (qid, side, chunk_id)),
+began AS (SELECT *, max(CASE WHEN unit = other THEN first END) OVER (PARTITION BY qid, side, chunk_id, other ORDER BY last RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM ends),
+st AS (SELECT qid, side, chunk_id, last, min(b) AS first FROM began GROUP BY ALL HAVING count(*) FILTER (b IS NULL) = 0),
+mini AS (SELECT * FROM st QUALIFY coalesce(first > max(first) OVER (PARTITION BY qid, side, chunk_id ORDER BY last, first DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)),
+covers AS (SELECT m.qid, m.side, m.chunk_id, m.first, m.last, any_value(m.last - m.first + 1) - count(DISTINCT f.place) AS others FROM mini m JOIN few f ON f.chunk_id = m.chunk_id AND f.place BETWEEN m.first AND m.last
+  JOIN uw ON uw.qid = m.qid AND uw.side = m.side AND uw.lexeme = f.lexeme GROUP BY m.qid, m.side, m.chunk_id, m.first, m.last)"""
+FTS_SCORE = "sides AS (SELECT qid, side, chunk_id, sum(0.1::DOUBLE / (1 + others)) AS score FROM covers GROUP BY ALL), sc AS (SELECT qid, chunk_id, round(max(score), 6) AS score FROM sides GROUP BY ALL)"
+FTS = f"WITH {FTS_JUDGED}, {FTS_OR}, {FTS_MET}, {FTS_ANY}, {FTS_SCORE}"
+FTS_TOP = "SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 10"
+
+
+@query(f"{FTS} {FTS_TOP}")
+def fts_topk(spark, d):
+    """Cover density of each question's kept terms, any of which will do."""
+    return R.ranked(fulltext.scores(chunks_of(spark, d), questions(spark, d), STOPWORDS), 10)
 
 
-@query(f"{FTS} SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= 10")
-def fts_topk(spark, d):
-    return R.ranked(T.fts_scores(chunks_of(spark, d), questions(spark, d), STOPWORDS), 10)
+@query(f"WITH {FTS_JUDGED}, {FTS_PAIRS}, {FTS_MET}, {FTS_ANY}, {FTS_SCORE} {FTS_TOP}")
+def fts_phrases(spark, d):
+    """Phrases of two kept terms that follow each other in a question, any of which will do."""
+    chunks = chunks_of(spark, d)
+    terms = materialise(fulltext.judged_terms(questions(spark, d), chunks, STOPWORDS), "fts-terms")
+    return R.ranked(fulltext.rank(chunks, fulltext.pair_units(terms)), 10)
+
+
+@query(f"WITH {FTS_JUDGED}, {FTS_OR}, {FTS_MET}, {FTS_ALL}, {FTS_SCORE} {FTS_TOP}")
+def fts_all_terms(spark, d):
+    """All of a question's kept terms are asked for: covers may hold other words, which thin them."""
+    chunks = chunks_of(spark, d)
+    terms = materialise(fulltext.judged_terms(questions(spark, d), chunks, STOPWORDS), "fts-terms")
+    return R.ranked(fulltext.rank(chunks, fulltext.query_units(terms), "all"), 10)
 
 
 @query(f"{FTS}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM sc) SELECT b.item_id AS qid, count(r.qid) AS n_matching, coalesce(array_to_string(list(r.chunk_id ORDER BY r.rank) FILTER (r.rank <= 3), ','), '') AS top, min(r.rank) FILTER (r.chunk_id = b.item_id) AS gold_rank FROM benchmark b LEFT JOIN r ON r.qid = b.item_id GROUP BY b.item_id")
 def fts_diagnostic(spark, d):
     """Matches, first ids, and the rank of the document that has the question's number."""
     q = questions(spark, d)
-    out = T.fts_diagnostic(chunks_of(spark, d), q, STOPWORDS, q.select("qid", F.col("qid").alias("chunk_id")))
+    out = fulltext.diagnostic(chunks_of(spark, d), q, STOPWORDS, q.select("qid", F.col("qid").alias("chunk_id")))
     return out.select("qid", F.col("n_matching").cast("long").alias("n_matching"), F.coalesce(F.array_join("top_ids", ","), F.lit("")).alias("top"), F.try_element_at("gold_ranks", F.col("qid").cast("string")).alias("gold_rank"))
 
 
@@ -412,8 +465,7 @@ def findings(spark, d):
 # --- chunks and identity ------------------------------------------------------------------------
 @query("SELECT doc_id, sha256('{\"kind\":\"text\",\"text\":' || to_json(replace(text, chr(13) || chr(10), chr(10))) || '}') AS content_hash FROM documents")
 def content_identities(spark, d):
-    own = F.pandas_udf(lambda s: s.map(C.content_identity), Y.StringType())
-    return table(spark, d, "documents").select("doc_id", own("text").alias("content_hash"))
+    return table(spark, d, "documents").select("doc_id", C.content_identity(F.col("text")).alias("content_hash"))
 
 
 @query("""WITH p AS (SELECT doc_id, regexp_extract_all(text, '(\\s*\\S+)') AS pieces FROM documents WHERE NOT regexp_matches(text, '(^|\\n)\\s*(#{1,6}\\s|```|~~~)') AND NOT regexp_matches(text, '-{3,}')),

@@ -160,3 +160,34 @@ def test_cluster_bootstrap_query_draws_as_often_as_the_reference(spark):
         groups.setdefault(str(r.user_id), []).append(r.value)
     got = Q.QUERIES["cluster_bootstrap"](spark, TABLES).first()
     assert [got.mean, got.low, got.high] == pytest.approx(interval(groups), abs=1e-9)
+
+
+@pytest.mark.parametrize("size", [1 << 18, 7])
+def test_bootstrap_over_buckets_equals_numpy_with_the_same_draws(spark, monkeypatch, size):
+    monkeypatch.setattr(N, "BUCKET_CLUSTERS", size)
+    data = [(f"c{k % 23}", float(k % 7)) for k in range(200)] + [(None, 3.0), ("c1", None)]
+    df = spark.createDataFrame(data, "c string, v double").repartition(3)
+    got = N.cluster_bootstrap(df, "c", "v", draws=300, seed=9).first()
+    sums = {}
+    for c, v in data:
+        held = sums.setdefault(c, [0.0, 0])
+        held[0] += v or 0.0
+        held[1] += v is not None
+    where = {r.c: r.b for r in df.select("c", F.pmod(F.xxhash64("c"), F.lit(-(-24 // size))).alias("b")).distinct().collect()}
+    order = sorted(set(where.values()))
+    own = {b: sorted((c for c in sums if where[c] == b), key=lambda c: (c is not None, c or "")) for b in order}
+    taken = N.bucket_draws(9, [len(own[b]) for b in order], 300)
+    assert (taken.sum(axis=1) == 24).all()
+    top, rows = np.zeros(300), np.zeros(300)
+    for k, b in enumerate(order):
+        s, n = (np.array([sums[c][i] for c in own[b]], float) for i in (0, 1))
+        t, r = N.drawn_sums(9, b, taken[:, k], s, n)
+        top, rows = top + t, rows + r
+    low, high = np.percentile(top / rows, [2.5, 97.5])
+    assert (got.mean, got.low, got.high) == pytest.approx((sum(v[0] for v in sums.values()) / 201, low, high)) and got.clusters == 24
+    # and the interval is that of the usual draws, but for chance
+    s, n = (np.array([v[i] for v in sums.values()], float) for i in (0, 1))
+    rng = np.random.default_rng(1)
+    usual = [s[p].sum() / n[p].sum() for p in (rng.integers(0, 24, 24) for _ in range(4000))]
+    assert (got.low, got.high) == pytest.approx(tuple(np.percentile(usual, [2.5, 97.5])), abs=0.12)
+    assert N.cluster_bootstrap(df.limit(0), "c", "v").collect() == []

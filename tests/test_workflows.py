@@ -22,7 +22,14 @@ from corvid.sources import files
 
 
 # --- chunks -------------------------------------------------------------------------------------
-def test_chunk_document_links_and_ids():
+def sections_of(spark, document, version, parts):
+    empty = {"heading": None, "level": 0, "section_path": [], "metadata": None, "page_number": None, "kind": "text"}
+    names = [f.split(" ")[0] for f in C.SECTION.split(", ")]
+    rows = [{**dict.fromkeys(names), **empty, **p, "document_id": document, "version": version, "pos": k} for k, p in enumerate(parts)]
+    return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], C.SECTION)
+
+
+def test_chunks_links_and_ids(spark):
     parts = [
         {"text": "root words here", "heading": "Guide", "level": 1},
         {"text": "", "heading": "Empty", "level": 2},
@@ -30,27 +37,50 @@ def test_chunk_document_links_and_ids():
         {"text": "own path", "section_path": ["Guide", "Side"], "page_number": 9},
         {"text": "again", "heading": "Guide", "level": 1},
     ]
-    out = C.chunk_document("d", "1", parts, 4, 1)
-    assert [(c["section_path"], c["text"], c["ordinal"]) for c in out] == [
+    both = sections_of(spark, "d", "1", parts).unionByName(sections_of(spark, "d", "2", parts)).repartition(3)
+    rows = C.chunk_sections(both, 4, 1).orderBy("version", "ordinal").collect()
+    out, other = rows[:6], rows[6:]
+    assert [(c.section_path, c.text, c.ordinal) for c in out] == [
         (["Guide"], "root words here", 0), (["Guide", "Empty"], "Empty", 1), (["Guide", "Empty", "Deep"], "a b c d", 2), (["Guide", "Empty", "Deep"], "d e f g", 3), (["Guide", "Side"], "own path", 4), (["Guide"], "again", 5),
     ]
     # the last section called Guide is not emitted yet when its children are, so they find no parent above
-    assert [c["parent_id"] for c in out] == [None, None, out[1]["chunk_id"], out[1]["chunk_id"], None, None]
+    assert [c.parent_id for c in out] == [None, None, out[1].chunk_id, out[1].chunk_id, None, None]
     # but it is the one that lists the children
-    assert out[5]["child_ids"] == [out[1]["chunk_id"], out[4]["chunk_id"]] and out[1]["child_ids"] == [out[2]["chunk_id"]]
-    assert [c["page_number"] for c in out] == [None, None, 4, 4, 9, None]
-    assert out[0]["section_id"] != out[5]["section_id"] and out[0]["lineage_key"] != out[5]["lineage_key"]
-    other = C.chunk_document("d", "2", parts, 4, 1)
-    assert [c["lineage_key"] for c in other] == [c["lineage_key"] for c in out] and [c["content_hash"] for c in other] == [c["content_hash"] for c in out]
-    assert not {c["chunk_id"] for c in other} & {c["chunk_id"] for c in out}
-
-
-def test_structured_windows_keep_blocks_whole():
-    text = "one two three\nfour\n\ncaption\n| a | b |\n|---|---|\n| 1 | 2 |\nafter\n```\ncode | x\n"
-    assert C.structured_windows(text, "text", 3, 0) == [("text", "one two three"), ("text", "four"), ("table", "caption\n| a | b |\n|---|---|\n| 1 | 2 |"), ("text", "after"), ("code", "```\ncode | x")]
-    assert C.structured_windows(" x y ", "table", 1, 0) == [("table", "x y")] and C.structured_windows("  ", "code", 1, 0) == []
-    # a rule of one column makes no table
-    assert [k for k, _ in C.structured_windows("a\n---\nb", "text", 9, 0)] == ["text"]
+    assert out[5].child_ids == [out[1].chunk_id, out[4].chunk_id] and out[1].child_ids == [out[2].chunk_id]
+    assert [c.page_number for c in out] == [None, None, 4, 4, 9, None]
+    assert out[0].section_id != out[5].section_id and out[0].lineage_key != out[5].lineage_key
+    assert [c.lineage_key for c in other] == [c.lineage_key for c in out] and [c.content_hash for c in other] == [c.content_hash for c in out]
+    assert not {c.chunk_id for c in other} & {c.chunk_id for c in out}
+
+
+def test_blocks_stay_whole_and_headings_cut(spark):
+    texts = [
+        "one two three\nfour\n\ncaption\n| a | b |\n|---|---|\n| 1 | 2 |\nafter\n```\ncode | x\n",
+        "a\n---\nb",  # a rule of one column makes no table
+        "~~~\n# no\n```\n| a | b |\n|---|---|\n~~~\nend\n\n\n",
+        "p\n\nq\n\n\na\n--|--\n---|---\n---|---\nr",
+        "\n \n",
+        None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {r.k: [tuple(w) for w in r.w or []] for r in rows.select("k", C.structured_windows(F.col("text"), F.lit("text"), 3, 0).alias("w")).collect()}
+    assert got[0] == [("text", "one two three"), ("text", "four"), ("table", "caption\n| a | b |\n|---|---|\n| 1 | 2 |"), ("text", "after"), ("code", "```\ncode | x")]
+    assert got[1] == [("text", "a\n---\nb")] and got[4] == [] and got[5] == []
+    assert got[2] == [("code", "~~~\n# no\n```\n| a | b |\n|---|---|\n~~~"), ("text", "end")]
+    assert got[3] == [("text", "p\n\nq"), ("table", "a\n--|--\n---|---\n---|---"), ("text", "r")]
+    other = rows.select(C.structured_windows(F.lit(" x y "), F.lit("table"), 1, 0).alias("w"), C.structured_windows(F.lit("  "), F.lit("code"), 1, 0).alias("n")).first()
+    assert [tuple(w) for w in other.w] == [("table", "x y")] and other.n == []
+    parts = spark.createDataFrame([("in\n# A ##\nx\n```\n# no\n```\n   ### B\n",)], "text string").select(C.heading_parts(F.col("text"), F.lit(None).cast("string"), F.lit(7)).alias("p")).first().p
+    assert [tuple(p) for p in parts] == [(None, 7, "in"), ("A ##", 1, "x\n```\n# no\n```"), ("B", 3, "B")]
+
+
+def test_html_sections_of_blocks(spark):
+    page = "x &lt; <b>y</b><h1>T &amp; <i>u</i></h1><p>one<br>two</p><table><tr><th>a<td>b</td></tr><tr><td>1</td><td>2&nbsp;3</td></tr></table><pre>\n k\n  l</pre><table summary='Navigation'><tr><td>n</td></tr></table><script>if (a<b) {}</script>z <"
+    rows = I.html_sections(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")).orderBy("pos").collect()
+    assert [tuple(r)[2:] for r in rows] == [
+        (None, 0, "text", "x < y"), ("T &", 1, "text", "T &"), (None, 0, "text", "onetwo"), (None, 0, "table", "| ab |\n| --- | --- |\n| 1 | 2 3 |".replace("| ab |", "| ab |  |")),
+        (None, 0, "code", "k\n  l"), (None, 0, "text", "if (a<b) {}z <"),
+    ]
 
 
 def test_chunk_sections_coerce_and_rechunk(spark):
@@ -185,14 +215,6 @@ def test_dense_top_takes_blocks_lengths_and_ties(spark, monkeypatch):
         assert got == want
 
 
-def test_compound_terms_count_as_phrases(spark):
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["set max_size and max_size", "max of size", "the size", *["filler"] * 60])], "chunk_id long, text string")
-    q = spark.createDataFrame([(1, "what is max_size")], "qid long, query string")
-    got = {r.chunk_id: r.score for r in T.fts_scores(docs, q, ["what", "is"]).collect()}
-    # prose: two phrases; identifiers: both parts twice and the phrase twice
-    assert got == {0: 0.6, 1: 0.2, 2: 0.1}
-
-
 # --- answers ------------------------------------------------------------------------------------
 def test_verify_keeps_supported_claims(spark):
     chunk = ("c1", "doc", "v1", ["P"], "The work_mem default is 4MB. It is not shared.")
