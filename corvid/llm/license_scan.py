@@ -4,8 +4,10 @@ Segments of a file are its lines, its paragraphs (runs of lines with a letter or
 matter and a wrapped header is one segment) and, in a file named like a licence, the whole text. Segments are
 compared with the templates by the cosine of TF-IDF vectors; terms are ASCII letters and digits in
 lower case, the inverse document frequency comes from the templates, and a term that no template has
-weighs most; stop words weigh nothing. The best template at or above ``threshold`` is the file's own licence. A file without
-one takes the licence of the licence file in its nearest ancestor directory. Long licences are known by
+weighs most; stop words weigh nothing. The best template at or above ``threshold`` whose marks are in the segment is the file's
+own licence: cosine hardly sees one number or word, so the versions, the families and the clauses that tell a template from its
+neighbours are patterns that a segment must have or must not have. An opening that licences share, alone, decides nothing.
+A file without a licence takes that of the licence file in its nearest ancestor directory. Long licences are known by
 their title, notice and grant, as they stand in every copy.
 
 Only segments with an anchor term are scored. Anchors are, per template, terms (function words last, else
@@ -26,12 +28,20 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import free_column, materialise
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def terms_of(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.translate(str.maketrans(_UPPER, _LOWER)))
+
+
 THRESHOLD = 0.75
 LICENSE_NAME = r"(?i)^(licen[sc]e|copying|notice|unlicense)([._-].*)?$"
 
@@ -57,65 +67,121 @@ _APACHE_REST = (
 )
 
 
-def _gnu(program: str, name: str, version: str) -> str:
-    return (
-        f"This {program} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} General Public License as published by the Free Software Foundation, "
-        f"either version {version} of the License, or (at your option) any later version."
-    )
+_COPY = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_ADVERTISING = "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization."
+_HOLDERS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND '
+    "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+    "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+
+
+class Template(NamedTuple):
+    """A licence's name, a text that stands for it, and what a segment must have and must not have.
+
+    ``has`` and ``lacks`` are patterns over a segment's terms, with a space around each.
+    """
+
+    name: str
+    text: str
+    has: tuple[str, ...] = ()
+    lacks: tuple[str, ...] = ()
+
+
+def _gnu(license: str, family: str, version: str, titles: list[str], program: str = "program") -> list[Template]:
+    """Titles and grants of a GNU licence, the version alone and with later ones."""
+    number = " ".join(terms_of(version))
+    others = [f" {x} general public " for x in ("lesser", "library", "affero") if x != family.lower()]
+    named = f" {family.lower()} general public license " if family else " general public license "
+    has, lacks = (named, f" version {number} "), (*others, *([f" version {number} [0-9] "] if " " not in number else []))
+    name = " ".join(["GNU", *([family] if family else []), "General Public License"])
+    grant = f"This {program} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation"
+    return [
+        *[Template(f"{license}-only", text, has, (*lacks, " later version ")) for text in (*titles, f"Licensed under the {name}, version {version}.", f"This work is licensed under the {name}, version {version}.")],
+        Template(f"{license}-only", f"{grant}; version {version} of the License.", has, (*lacks, " later version ")),
+        Template(f"{license}-or-later", f"{grant}, either version {version} of the License, or (at your option) any later version.", (*has, " later version "), lacks),
+    ]
+
+
+def _creative(kind: str, words: str) -> list[Template]:
+    """Short and long notices of a Creative Commons licence of version 4.0; ``kind`` and ``words`` tell what it restricts."""
+    marks = {"nc": "noncommercial|non commercial", "sa": "sharealike|share alike", "nd": "noderivatives|noderivs|no derivatives"}
+    own = terms_of(kind)
+    has = tuple(f" (?:{m}|{long}) " for m, long in marks.items() if m in own)
+    lacks = tuple(f" (?:{m}|{long}) " for m, long in marks.items() if m not in own)
+    return [
+        Template(f"CC-BY{kind}-4.0", f"Licensed under CC BY{kind} 4.0.", (" cc by ", " 4 0 ", *has), lacks),
+        Template(f"CC-BY{kind}-4.0", f"Licensed under the Creative Commons Attribution{words} 4.0 International License.", (" creative commons attribution ", " 4 0 ", *has), lacks),
+    ]
 
 
 #: Identifiers that stand in SPDX tags.
-SPDX = ["Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-or-later", "AGPL-3.0-or-later"]
+SPDX = [
+    "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+]
+_TWO, _CLAUSES = (" 2 0 ",), (" neither the names? of ", " nor the names ", " endorse or promote ", " advertising materials ")
 
 #: Titles, notices and grants that stand for licences, several for one licence where wordings differ.
-TEMPLATES: list[tuple[str, str]] = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", _APACHE),
-    ("Apache-2.0", f"{_APACHE} {_APACHE_REST}"),
-    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", _MIT),
-    ("MIT", f"{_MIT} {_INCLUDED} {_AS_IS}"),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
-    ("GPL-3.0-or-later", _gnu("program", "", "3")),
-    ("GPL-2.0-or-later", _gnu("program", "", "2")),
-    ("LGPL-2.1-only", "Licensed under the GNU Lesser General Public License, version 2.1."),
-    ("LGPL-3.0-or-later", _gnu("library", "Lesser", "3")),
-    ("AGPL-3.0-or-later", _gnu("program", "Affero", "3")),
-    ("BSD-3-Clause", _BSD),
-    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("BSD-3-Clause", "Licensed under the 3-Clause BSD License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("MPL-2.0", "Mozilla Public License Version 2.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights; CC0 1.0 public domain dedication."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("all-rights-reserved", "All rights reserved."),
-    *[(name, f"SPDX-License-Identifier: {name}") for name in SPDX],
+TEMPLATES: list[Template] = [
+    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0.", _TWO),
+    Template("Apache-2.0", _APACHE, _TWO),
+    Template("Apache-2.0", f"{_APACHE} {_APACHE_REST}", _TWO),
+    Template("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", _TWO),
+    Template("MIT", "Released under the MIT License.", (" mit ",), (" mit 0 ", " no attribution ")),
+    Template("MIT", _MIT, (" subject to the following ",)),
+    Template("MIT", f"{_MIT} {_INCLUDED} {_AS_IS}", (" subject to the following ",)),
+    Template("MIT-0", _MIT.replace(", subject to the following conditions:", "."), (), (" subject to the following ",)),
+    Template("MIT-0", f"{_MIT.replace(', subject to the following conditions:', '.')} {_AS_IS}", (), (" subject to the following ",)),
+    *_gnu("GPL-3.0", "", "3", ["GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"]),
+    *_gnu("GPL-2.0", "", "2", ["GNU GENERAL PUBLIC LICENSE Version 2, June 1991"]),
+    *_gnu("LGPL-3.0", "Lesser", "3", ["GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"], "library"),
+    *_gnu("LGPL-2.1", "Lesser", "2.1", ["GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"], "library"),
+    *_gnu("LGPL-2.0", "Library", "2", ["GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"], "library"),
+    *_gnu("AGPL-3.0", "Affero", "3", ["GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"]),
+    Template("BSD-2-Clause", f"{_BSD} {_COPY} {_BINARY}", (" binary form must reproduce ",), _CLAUSES),
+    Template("BSD-2-Clause", f"{_BSD} {_COPY} {_BINARY} {_HOLDERS}", (" binary form must reproduce ",), _CLAUSES),
+    Template("BSD-2-Clause", "Licensed under the 2-Clause BSD License.", (" 2 clause ",)),
+    Template("BSD-4-Clause", _ADVERTISING, (" advertising materials ",)),
+    Template("BSD-4-Clause", f"{_BSD} {_COPY} {_BINARY} {_ADVERTISING} {_NAMES}", (" advertising materials ",)),
+    Template("BSD-4-Clause", f"{_BSD} {_COPY} {_BINARY} {_ADVERTISING} {_NAMES} {_HOLDERS}", (" advertising materials ",)),
+    Template("BSD-3-Clause", _NAMES, (" endorse or promote ",), (" advertising materials ",)),
+    Template("BSD-3-Clause", f"{_BSD} {_COPY} {_BINARY} {_NAMES}", (" endorse or promote ",), (" advertising materials ",)),
+    Template("BSD-3-Clause", f"{_BSD} {_COPY} {_BINARY} {_NAMES} {_HOLDERS}", (" endorse or promote ",), (" advertising materials ",)),
+    Template("BSD-3-Clause", "Licensed under the 3-Clause BSD License.", (" 3 clause ",)),
+    Template("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies.", (" provided that the above ",)),
+    Template("0BSD", f"{_ISC}.", (" hereby granted ",), (" provided that the above ",)),
+    Template("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    Template("MPL-2.0", f"{_MPL} If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", _TWO),
+    Template("MPL-2.0", _MPL, _TWO),
+    Template("MPL-2.0", "Mozilla Public License Version 2.0", _TWO),
+    *_creative("-NC", "-NonCommercial"),
+    *_creative("", ""),
+    *_creative("-SA", "-ShareAlike"),
+    *_creative("-ND", "-NoDerivatives"),
+    *_creative("-NC-SA", "-NonCommercial-ShareAlike"),
+    *_creative("-NC-ND", "-NonCommercial-NoDerivatives"),
+    Template("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights; CC0 1.0 public domain dedication."),
+    Template("Unlicense", "This is free and unencumbered software released into the public domain."),
+    Template("all-rights-reserved", "All rights reserved."),
+    *[Template(name, f"SPDX-License-Identifier: {name}", (f" identifier {' '.join(terms_of(name))} ",), (" mit 0 ", " clause (?:clear|patent) ")) for name in SPDX],
 ]
 #: Words that anchor a template only where its other words do not suffice, as they stand in any prose, of other languages too.
 FUNCTION_WORDS = set(
     "mit a all an and any are as at be by for from has have in into is it may not of on or that the this to under with you 0 1 2 3 4 was were been do does done no nor only one if other others so see your out can its but either neither name names free general work use used person persons file files form forms kind law met could would should shall whom whether without including included following above action anyone author "
-    "authors basis below case change claim code copy copies deal event extent fee issue later language limited made make more most obtain option part place portions possible prior program provided public publish published purpose required same sell several some source specific subject such terms than their them then there these they those time upon us user version way we what when where which while who will within writing".split()
+    "authors basis below case change claim code copy copies deal event extent fee issue later language limited made make more most obtain option part place portions possible prior program provided public publish published purpose required same sell several some source specific subject such terms than their them then there these they those time upon us user version way we what when where which while who will within writing "
+    "advised business caused contract data developed direct display even features list products related restriction restrictions".split()
 )
 #: Words without weight on either side.
 STOP_WORDS = sorted(
     "a all an and any are as at be been but by can do for from has have in into is it its no nor not of on or other so than that the their them then there these they this those to under was were "
     "what when where which while who will with within without would you your".split()
 )
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def terms_of(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.translate(str.maketrans(_UPPER, _LOWER)))
-
 
 @dataclass
 class Templates:
@@ -127,10 +193,11 @@ class Templates:
     unseen_idf: float
     vectors: list[list[float]]
     anchors: list[str]
+    marks: list[list[tuple[str, bool]]]
 
     @staticmethod
-    def of(templates: list[tuple[str, str]], threshold: float) -> Templates:
-        counts = [Counter(terms_of(text)) for _, text in templates]
+    def of(templates: list[Template], threshold: float) -> Templates:
+        counts = [Counter(terms_of(t.text)) for t in templates]
         vocabulary = sorted(set().union(STOP_WORDS, *counts))
         n = len(templates)
         idf = {t: 0.0 if t in STOP_WORDS else round(math.log((1 + n) / (1 + sum(t in c for c in counts))) + 1, 9) for t in vocabulary}
@@ -146,7 +213,8 @@ class Templates:
                     break
                 anchors.add(t)
                 rest -= unit[t] ** 2
-        return Templates([name for name, _ in templates], vocabulary, [idf[t] for t in vocabulary], round(math.log(1 + n) + 1, 9), vectors, sorted(anchors))
+        marks = [[*[(p, True) for p in t.has], *[(p, False) for p in t.lacks]] for t in templates]
+        return Templates([t.name for t in templates], vocabulary, [idf[t] for t in vocabulary], round(math.log(1 + n) + 1, 9), vectors, sorted(anchors), marks)
 
 
 def _literal(value: object, kind: str) -> Column:
@@ -166,14 +234,16 @@ _BETWEEN = r"\n(?:[^A-Za-z0-9\n]*\n)+"
 
 
 def _best(terms: Column, t: Templates, threshold: float) -> Column:
-    """Struct of the best score (6 decimals) and the negated number of its template, from a segment's terms.
+    """Struct of the best score (6 decimals) at or above the threshold and the negated number of its template, from a segment's terms.
 
-    Null where no score can reach the threshold: a score is at most the share of the known terms in the segment's
+    Only templates whose marks are in the segment count. Null where no score can reach the threshold: a score is at most the share of the known terms in the segment's
     length, and each distinct unknown term adds its weight to the rest at least once. So prose costs two set operations.
     """
     weighty = [(k, v, w) for k, (v, w) in enumerate(zip(t.vocabulary, t.idf, strict=True)) if w]
     vocabulary = _literal([{"term": v, "idf": w, "at": k} for k, v, w in weighty], "array<struct<term:string,idf:double,at:int>>")
-    vectors = _literal([{"i": -i, "w": v} for i, v in enumerate(t.vectors)], "array<struct<i:int,w:array<double>>>")
+    rows = [{"i": -i, "w": v, "marks": [{"pattern": p, "wanted": w} for p, w in m]} for i, (v, m) in enumerate(zip(t.vectors, t.marks, strict=True))]
+    vectors = _literal(rows, "array<struct<i:int,w:array<double>,marks:array<struct<pattern:string,wanted:boolean>>>>")
+    spaced = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" "))
     known = _literal(t.vocabulary, "array<string>")
     zero, heavy = F.lit(0.0), t.unseen_idf**2
 
@@ -192,10 +262,13 @@ def _best(terms: Column, t: Templates, threshold: float) -> Column:
             norm = F.nullif(F.sqrt(own + unseen_of(others)), zero)
             scored = F.transform(
                 vectors,
-                lambda v: F.struct(F.round(F.aggregate(w, zero, lambda acc, p: acc + p["x"] * F.get(v["w"], p["at"])) / norm, 6).alias("score"), v["i"].alias("i")),
+                lambda v: F.struct(F.round(F.aggregate(w, zero, lambda acc, p: acc + p["x"] * F.get(v["w"], p["at"])) / norm, 6).alias("score"), v["i"].alias("i"), v["marks"].alias("marks")),
             )
+            near = F.filter(scored, lambda x: x["score"] >= threshold)
+            marked = F.filter(near, lambda x: F.forall(x["marks"], lambda m: F.rlike(spaced, m["pattern"]) == m["wanted"]))
+            best = F.array_max(F.transform(marked, lambda x: F.struct(x["score"].alias("score"), x["i"].alias("i"))))
             least = own + F.size(F.array_except(terms, known)) * heavy
-            return F.when((own > 0) & (own * (1 + 1e-6) >= threshold**2 * least * (1 - 1e-6)), F.array_max(scored))
+            return F.when((own > 0) & (own * (1 + 1e-6) >= threshold**2 * least * (1 - 1e-6)), best)
 
         return _let(F.aggregate(w, zero, lambda acc, p: acc + p["x"] * p["x"]), with_length)
 
@@ -215,7 +288,7 @@ def directory(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def detect(files: DataFrame, *, text: str = "text", path: str = "path", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, out: str = "own") -> DataFrame:
+def detect(files: DataFrame, *, text: str = "text", path: str = "path", templates: list[Template] = TEMPLATES, threshold: float = THRESHOLD, out: str = "own") -> DataFrame:
     """``files`` with the struct ``out``: name, score and whether the file is a licence file; null name if none."""
     t = Templates.of(templates, threshold)
     anchors = _literal(t.anchors, "array<string>")
@@ -285,13 +358,15 @@ def license_report(files: DataFrame, *, key: str = "doc_id", **options) -> DataF
 
 def _report_sql() -> str:
     """The same from the templates' texts: SQL makes the terms, frequencies and vectors itself, and scores every segment."""
-    quoted = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+    quoted = ", ".join("({}, '{}', '{}')".format(i, t.name, t.text.replace("'", "''")) for i, t in enumerate(TEMPLATES))
+    marks = ", ".join(f"({i}, '{p}', {w})" for i, t in enumerate(TEMPLATES) for w, patterns in ((True, t.has), (False, t.lacks)) for p in patterns)
     stops = ", ".join(f"('{t}')" for t in STOP_WORDS)
     cut = f"regexp_extract_all(translate({{0}}, '{_UPPER}', '{_LOWER}'), '[a-z0-9]+')"
     return f"""
 WITH templates(i, name, body) AS (VALUES {quoted}),
 tt AS (SELECT i, name, term, count(*) AS n FROM (SELECT i, name, unnest({cut.format('body')}) AS term FROM templates) GROUP BY ALL),
 stop(term) AS (VALUES {stops}),
+marks(i, pattern, wanted) AS (VALUES {marks}),
 idf AS (SELECT term, CASE WHEN term IN (FROM stop) THEN 0 ELSE round(ln((1 + (SELECT count(*) FROM templates))::DOUBLE / (1 + count(i))) + 1, 9) END AS w FROM (SELECT i, term FROM tt UNION ALL SELECT NULL, term FROM stop) GROUP BY term),
 unseen AS (SELECT round(ln(1 + count(*)) + 1, 9) AS w FROM templates),
 lengths AS (SELECT i, sqrt(sum(n * w * n * w)) AS norm FROM tt JOIN idf USING (term) GROUP BY i),
@@ -305,7 +380,7 @@ files AS (
          concat_ws('/', source, lang, CASE WHEN pick <> 0 THEN substr(digest, 3, 1) END) AS dir,
          CASE WHEN pick < 2 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END AS name FROM marked
 ),
-segments AS (
+segments AS MATERIALIZED (
   SELECT row_id, row_number() OVER () AS seg, body FROM (
     SELECT row_id, unnest(string_split(text, chr(10))) AS body FROM files
     UNION ALL SELECT row_id, unnest(regexp_split_to_array(text, '\\n(?:[^A-Za-z0-9\\n]*\\n)+')) FROM files
@@ -319,11 +394,13 @@ tf AS (
 weighted AS (SELECT tf.*, n * coalesce(idf.w, unseen.w) AS x FROM tf CROSS JOIN unseen LEFT JOIN idf USING (term)),
 norms AS (SELECT seg, sqrt(sum(x * x)) AS norm FROM weighted GROUP BY seg),
 scored AS (
-  SELECT row_id, round(sum(x * v.w) / nullif(any_value(norm), 0), 6) AS score, v.i, any_value(v.name) AS name
-  FROM weighted JOIN vectors v USING (term) JOIN norms USING (seg) GROUP BY row_id, seg, v.i
+  SELECT row_id, seg, round(sum(x * v.w) / nullif(any_value(norm), 0), 6) AS score, v.i, any_value(v.name) AS name
+  FROM weighted JOIN vectors v USING (term) JOIN norms USING (seg) GROUP BY row_id, seg, v.i HAVING score >= {THRESHOLD}
 ),
+spaced AS (SELECT seg, ' ' || array_to_string({cut.format('body')}, ' ') || ' ' AS line FROM segments SEMI JOIN scored USING (seg)),
+unmarked AS (SELECT DISTINCT seg, i FROM scored JOIN spaced USING (seg) JOIN marks USING (i) WHERE regexp_matches(line, pattern) <> wanted),
 own AS (
-  SELECT row_id, score, name FROM scored WHERE score >= {THRESHOLD}
+  SELECT row_id, score, name FROM scored ANTI JOIN unmarked USING (seg, i)
   QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, i) = 1
 ),
 judged AS (SELECT f.*, o.name AS license, o.score FROM files f LEFT JOIN own o USING (row_id)),
