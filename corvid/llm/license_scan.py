@@ -10,8 +10,8 @@ neighbours are patterns that a segment must have or must not have. An opening th
 A file without a licence takes that of the licence file in its nearest ancestor directory. Long licences are known by
 their title, notice and grant, as they stand in every copy.
 
-Only segments with an anchor term are scored. Anchors are, per template, terms (function words last, else
-the heaviest) without which the rest of the vector is shorter than the threshold, so by Cauchy-Schwarz no segment without
+Only segments with an anchor term are scored. Anchors are, per template, terms (function words and terms of
+one or two characters last, else the heaviest) without which the rest of the vector is shorter than the threshold, so by Cauchy-Schwarz no segment without
 an anchor can reach it. A text is cut into terms once, and only one with an anchor is cut into segments. Detection needs
 no shuffle; inheritance joins distinct directories, not
 files, to licensed directories over path prefixes. All of it is DataFrame functions.
@@ -208,7 +208,7 @@ class Templates:
             unit = {t: round(x / norm, 9) for t, x in raw.items()}
             vectors.append([unit.get(t, 0.0) for t in vocabulary])
             rest = 1.0
-            for t in sorted(unit, key=lambda t: (t in FUNCTION_WORDS, -unit[t], t)):
+            for t in sorted(unit, key=lambda t: (t in FUNCTION_WORDS or len(t) < 3, -unit[t], t)):
                 if math.sqrt(max(rest, 0)) < threshold - 1e-6:
                     break
                 anchors.add(t)
