@@ -139,7 +139,9 @@ def filter_scopes(spark, d):
 
 
 #: Common table expressions of the full-text queries: judged terms, postings of what is asked for, minimal covers.
-FTS_TERMS = "list_distinct(list_transform(regexp_extract_all({0}, '(?i)[a-z0-9]+(?:[_./-][a-z0-9]+)*'), lambda t: lower(t)))"
+FTS_SAID = "list_transform(regexp_extract_all({0}, '(?i)[a-z0-9]+(?:[_./-][a-z0-9]+)*'), lambda t: lower(t))"
+#: Distinct in the order of their first places, which phrases go by.
+FTS_TERMS = f"list_filter({FTS_SAID}, lambda t, i: list_position({FTS_SAID}, t) = i)"
 FTS_LEX = "list_transform(regexp_extract_all({0}, '[\\p{{L}}\\p{{N}}]+'), lambda t: lower(t))"
 FTS_JUDGED = f"""terms AS (SELECT item_id AS qid, 'plain' AS side, unnest({FTS_TERMS.format('text')}) AS term, generate_subscripts({FTS_TERMS.format('text')}, 1) AS place FROM benchmark
   UNION ALL SELECT item_id, 'identifiers', unnest({FTS_TERMS.format("regexp_replace(text, '[_./-]', ' ', 'g')")}), generate_subscripts({FTS_TERMS.format("regexp_replace(text, '[_./-]', ' ', 'g')")}, 1) FROM benchmark),
