@@ -6,12 +6,14 @@ lexemes that follow each other. A cover is a stretch of a chunk that satisfies t
 adds 0.1 / (1 + other words inside) to the score. ``any`` is satisfied by one unit, ``all`` needs every unit.
 
 Texts are read twice: once for document frequencies, of which only counts are shuffled, and once for the postings of
-lexemes that are asked for, which are shuffled by chunk. Phrases are found by joining postings on (place - offset), and covers
+lexemes that are asked for, which are written, counted and dealt by chunk to as many tasks as ``POSTINGS`` a task need. Phrases are found by joining postings on (place - offset), and covers
 by running maxima within (query, side, chunk), on the same partitioning; token arrays stay in the scan.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,6 +25,8 @@ from corvid.tables import materialise
 WORD = r"[\p{L}\p{N}]+"
 #: Fixed by the semantics of such indexes: the last place, places kept of a lexeme, the weight of a word.
 LAST_PLACE, MOST_PLACES, WEIGHT = 16383, 256, 0.1
+#: Postings of a task: what it sorts and groups stays the same however many chunks there are.
+POSTINGS = 400_000
 
 
 def lexemes(text: Column | str) -> Column:
@@ -47,7 +51,9 @@ def postings(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     # a generator of one row keeps the lexemes from being made once for each use
     found = chunks.select("chunk_id", F.explode(F.array(lexemes("text"))).alias("all")).select("chunk_id", F.posexplode("all").alias("place", "lexeme"))
     found = found.join(R.small(wanted.select("lexeme").distinct()), "lexeme", "left_semi")
-    found = found.select("chunk_id", "lexeme", F.least(F.col("place") + 1, F.lit(LAST_PLACE)).alias("place")).repartition("chunk_id").distinct()
+    found = materialise(found.select("chunk_id", "lexeme", F.least(F.col("place") + 1, F.lit(LAST_PLACE)).alias("place")), "fts-posted")
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, math.ceil(found.count() / POSTINGS))
+    found = found.repartition(tasks, "chunk_id").distinct()
     order = F.row_number().over(Window.partitionBy("chunk_id", "lexeme").orderBy("place"))
     return found.withColumn("n", order).where(F.col("n") <= MOST_PLACES).drop("n")
 
@@ -154,11 +160,14 @@ def diagnostic(chunks: DataFrame, queries: DataFrame, stopwords: list[str], gold
     said = asked.unionByName(compounds).groupBy("qid", "side").agg(X.or_query(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda s: s["term"])).alias("q"))
     said = said.groupBy("qid").agg(F.max(F.when(F.col("side") == "plain", F.col("q"))).alias("plain_query"), F.max(F.when(F.col("side") == "identifiers", F.col("q"))).alias("identifier_query"))
     dropped = terms.where("not kept").groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("dropped_terms"))
-    # a gold chunk may stand at any place, so ranks are made over all matches
-    places = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
-    ranked = materialise(rank(chunks, query_units(terms)).withColumn("rank", places), "fts-ranked")
-    top = ranked.groupBy("qid").agg(F.count("*").alias("n_matching"), F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "chunk_id")))), lambda s: s["chunk_id"]).alias("top_ids"))
-    placed = gold.join(ranked.select("qid", "chunk_id", "rank"), ["qid", "chunk_id"], "left").groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("chunk_id").cast("string"), "rank")))).alias("gold_ranks"))
+    scored = materialise(rank(chunks, query_units(terms)), "fts-scored")
+    first = R.top_k(scored, k, ["qid"], [F.desc("score"), F.asc("chunk_id")]).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda s: s["chunk_id"]).alias("top_ids"))
+    top = scored.groupBy("qid").agg(F.count("*").alias("n_matching")).join(first, "qid", "left")
+    # a gold chunk may stand at any place: those before it are counted, and no query's matches are sorted as a whole
+    met = gold.select("qid", "chunk_id").join(scored, ["qid", "chunk_id"]).select("qid", F.col("chunk_id").alias("gold"), F.col("score").alias("own"))
+    before = (F.col("score") > F.col("own")) | ((F.col("score") == F.col("own")) & (F.col("chunk_id") <= F.col("gold")))
+    places = scored.join(R.small(met), "qid").where(before).groupBy("qid", F.col("gold").alias("chunk_id")).agg(F.count("*").cast("int").alias("rank"))
+    placed = gold.join(places, ["qid", "chunk_id"], "left").groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("chunk_id").cast("string"), "rank")))).alias("gold_ranks"))
     return queries.select("qid").join(said, "qid", "left").join(dropped, "qid", "left").join(top, "qid", "left").join(placed, "qid", "left").fillna(0, ["n_matching"])
 
 
