@@ -124,22 +124,27 @@ def heading_parts(text: Column, heading: Column, level: Column) -> Column:
     Lines inside fences are no headings; a heading without a body stands for itself, and a beginning without text goes.
     """
     bare = lambda x: F.regexp_replace(x, r"\n$", "")
-    is_heading = lambda x: ~x.rlike(FENCE_MARK) & bare(x).rlike(ATX)
+    is_heading = lambda x: x.contains("#") & ~x.rlike(FENCE_MARK) & bare(x).rlike(ATX)
     whole = F.array(F.struct(heading.alias("heading"), level.alias("level"), text.alias("text")))
 
     def cut(pieces: Column) -> Column:
         at = F.filter(F.sequence(F.lit(0), F.size(pieces)), lambda i: (i < F.size(pieces)) & is_heading(F.get(pieces, i)))
-        starts = F.concat(F.array(F.lit(-1)), at)
 
-        def part(start: Column, k: Column) -> Column:
-            stop = F.coalesce(F.get(starts, k + 1), F.size(pieces))
-            line = F.when(start >= 0, bare(F.get(pieces, start)))
-            body = _bare(F.array_join(F.slice(pieces, start + 2, F.greatest(stop - start - 1, F.lit(0))), ""))
-            title = _bare(F.regexp_extract(line, ATX, 2))
-            return F.struct(title.alias("heading"), F.when(line.isNull(), level).otherwise(F.length(F.regexp_extract(line, ATX, 1))).alias("level"), F.when(body == "", F.coalesce(title, F.lit(""))).otherwise(body).alias("text"))
+        # what a step uses more than once is an element of the step before: an expression in a function is computed at each use
+        def parts_of(starts: Column) -> Column:
+            def part(start: Column, k: Column) -> Column:
+                stop = F.coalesce(F.get(starts, k + 1), F.size(pieces))
+                body = _bare(F.array_join(F.slice(pieces, start + 2, F.greatest(stop - start - 1, F.lit(0))), ""))
+                return F.struct(F.when(start >= 0, bare(F.get(pieces, start))).alias("line"), body.alias("body"))
 
-        parts = F.filter(F.transform(starts, part), lambda p: (p["text"] != "") | p["heading"].isNotNull())
-        return F.when(F.size(parts) > 0, parts).otherwise(whole)
+            def titled(p: Column) -> Column:
+                title = _bare(F.regexp_extract(p["line"], ATX, 2))
+                return F.struct(title.alias("heading"), F.when(p["line"].isNull(), level).otherwise(F.length(F.regexp_extract(p["line"], ATX, 1))).alias("level"), F.when(p["body"] == "", F.coalesce(title, F.lit(""))).otherwise(p["body"]).alias("text"))
+
+            return F.filter(F.transform(F.transform(starts, part), titled), lambda p: (p["text"] != "") | p["heading"].isNotNull())
+
+        parts = _bound(F.concat(F.array(F.lit(-1)), at), parts_of)
+        return _bound(parts, lambda found: F.when(F.size(found) > 0, found).otherwise(whole))
 
     return F.when(heading.isNotNull() | ~text.rlike(r"(?m)^[^\S\n]{0,3}#{1,6}[^\S\n]+[^\n]"), whole).otherwise(_bound(_pieces(text, f"{_FENCE}|{_LINE}"), cut))
 
@@ -159,26 +164,29 @@ def structured_windows(text: Column, kind: Column, size: int | None, overlap: in
     item = lambda k, x: F.struct(k.alias("kind"), x.alias("text"))
     none = F.array().cast("array<struct<kind:string,text:string>>")
     prose = lambda x: F.transform(_windowed(x, size, overlap), lambda w: item(F.lit("text"), w))
-    is_code = lambda x: x.rlike(FENCE_MARK)
-    is_table = lambda x: ~is_code(x) & x.rlike(rf"^[^\n]*\n{RULE}(?:\n|\z)")
+    is_code = lambda x: (x.contains("```") | x.contains("~~~")) & x.rlike(FENCE_MARK)
+    is_table = lambda x: x.contains("---") & ~is_code(x) & x.rlike(rf"^[^\n]*\n{RULE}(?:\n|\z)")
 
     def cut(pieces: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(pieces)), lambda i: (i < F.size(pieces)) & (is_code(F.get(pieces, i)) | is_table(F.get(pieces, i))))
-        stops = F.concat(at, F.array(F.size(pieces)))
+        found = F.filter(F.sequence(F.lit(0), F.size(pieces)), lambda i: (i < F.size(pieces)) & (is_code(F.get(pieces, i)) | is_table(F.get(pieces, i))))
+
+        def blocks_of(at: Column) -> Column:
+            def block(stop: Column, k: Column) -> Column:
+                start, piece = F.coalesce(F.get(at, k - 1) + 1, F.lit(0)), F.get(pieces, stop)
+
+                def with_prose(before: Column) -> Column:
+                    def with_caption(caption: Column) -> Column:
+                        left = F.substring(before, F.lit(1), F.length(before) - F.length(caption))
+                        own = F.array(item(F.when(is_code(piece), "code").otherwise("table"), _bare(F.concat(caption, piece))))
+                        return F.concat(prose(left), F.when(piece.isNull(), none).otherwise(own))
 
-        def block(stop: Column, k: Column) -> Column:
-            start = F.coalesce(F.get(at, k - 1) + 1, F.lit(0))
+                    return _bound(F.when(is_table(piece), F.regexp_extract(before, _CAPTION, 0)).otherwise(""), with_caption)
 
-            def with_prose(before: Column) -> Column:
-                piece = F.get(pieces, stop)
-                caption = F.when(is_table(piece), F.regexp_extract(before, _CAPTION, 0)).otherwise("")
-                left = F.substring(before, F.lit(1), F.length(before) - F.length(caption))
-                own = F.array(item(F.when(is_code(piece), "code").otherwise("table"), _bare(F.concat(caption, piece))))
-                return F.concat(prose(left), F.when(piece.isNull(), none).otherwise(own))
+                return _bound(F.array_join(F.slice(pieces, start + 1, stop - start), ""), with_prose)
 
-            return _bound(F.array_join(F.slice(pieces, start + 1, stop - start), ""), with_prose)
+            return F.flatten(F.transform(F.concat(at, F.array(F.size(pieces))), block))
 
-        return F.flatten(F.transform(stops, block))
+        return _bound(found, blocks_of)
 
     whole = F.when(_bare(text) == "", none).otherwise(F.array(item(kind, _bare(text))))
     plain = ~text.rlike("```|~~~|-{3,}")
