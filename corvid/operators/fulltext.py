@@ -26,7 +26,7 @@ WORD = r"[\p{L}\p{N}]+"
 #: Fixed by the semantics of such indexes: the last place, places kept of a lexeme, the weight of a word.
 LAST_PLACE, MOST_PLACES, WEIGHT = 16383, 256, 0.1
 #: Postings of a task: what it sorts and groups stays the same however many chunks there are.
-POSTINGS = 400_000
+POSTINGS = 200_000
 
 
 def lexemes(text: Column | str) -> Column:
